@@ -1,0 +1,203 @@
+"""One surviving record per group of duplicate records.
+
+Two operators share the group definition:
+
+* ``survivors`` chooses, field by field, the row that supplies the value, by a
+  declared order of trust (priority, staleness, recency). It is one partial
+  plus final aggregation; a group of any size is folded on the map side.
+* ``truth_model`` infers each source's sensitivity and specificity by
+  expectation-maximisation over the claims of all groups and keeps every value
+  judged true, so a field may keep several values.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from silverbarn.session import cut_lineage
+
+#: Fixed values of the trust rules.
+NO_PRIORITY = 999
+NO_STALENESS = 36500
+INSTRUMENT_TYPES = {"sec": "security", "fx": "currency_pair"}
+
+
+def instrument_type(canonical_id: Column) -> Column:
+    prefix = F.substring_index(canonical_id, ":", 1)
+    out = prefix
+    for short, long in INSTRUMENT_TYPES.items():
+        out = F.when(prefix == short, F.lit(long)).otherwise(out)
+    return out
+
+
+def with_trust(bars: DataFrame, priority: DataFrame) -> DataFrame:
+    """Adds ``_priority`` and ``_staleness`` to every bar.
+
+    The provider's row for the instrument's type holds, else its row with NULL
+    type, else 999 and 36500 days. Among several rows the lowest priority,
+    then the longest staleness. The dimension is aggregated to one row per
+    provider and type; Spark broadcasts it only if its measured size permits.
+    """
+    ranked = (
+        priority.where(F.col("provider_id").isNotNull())
+        .select(
+            F.col("provider_id").alias("_pp_id"),
+            F.col("instrument_type").alias("_pp_type"),
+            F.struct(
+                F.coalesce("priority", F.lit(NO_PRIORITY)).alias("p"),
+                (-F.coalesce("staleness_days", F.lit(NO_STALENESS))).alias("s"),
+            ).alias("_rule"),
+        )
+        .groupBy("_pp_id", "_pp_type")
+        .agg(F.min("_rule").alias("_rule"))
+    )
+    typed = ranked.where(F.col("_pp_type").isNotNull()).withColumnsRenamed({"_pp_id": "_t_id", "_pp_type": "_t_type", "_rule": "_t_rule"})
+    default = ranked.where(F.col("_pp_type").isNull()).select(F.col("_pp_id").alias("_d_id"), F.col("_rule").alias("_d_rule"))
+    joined = bars.join(
+        typed,
+        (F.col("provider_id") == F.col("_t_id")) & (instrument_type(F.col("canonical_id")) == F.col("_t_type")),
+        "left",
+    ).join(default, F.col("provider_id") == F.col("_d_id"), "left")
+    rule = F.coalesce("_t_rule", "_d_rule")
+    return joined.withColumns(
+        {
+            "_priority": F.coalesce(rule["p"], F.lit(NO_PRIORITY)),
+            "_staleness": F.coalesce(-rule["s"], F.lit(NO_STALENESS)),
+        }
+    ).drop("_t_id", "_t_type", "_t_rule", "_d_id", "_d_rule")
+
+
+def survivors(
+    bars: DataFrame,
+    priority: DataFrame,
+    fields: Sequence[str] = ("close", "adj_close", "volume"),
+    as_of: str = "2026-07-01",
+    least_rows: int = 2,
+) -> DataFrame:
+    """One row per (canonical_id, start_ts): the bar that supplies each field.
+
+    Order of preference among the rows where the field is not null: lowest
+    priority, fresh before stale, latest ``ingested_at`` (null last), lowest
+    ``provider_id`` (null last), lowest ``bar_id``. ``<field>_bar_id`` is 0 if
+    the field is null in all rows. A null ``start_ts`` is never stale and
+    forms a group of its own. Extra columns of ``bars`` are ignored; an empty
+    table gives an empty result. Repeated rows tie and give the same bar_id.
+    """
+    needed = bars.select("bar_id", "canonical_id", "start_ts", "provider_id", "ingested_at", *fields)
+    trusted = with_trust(needed, priority)
+    stale = F.coalesce((F.datediff(F.lit(as_of).cast("date"), "start_ts") > F.col("_staleness")).cast("int"), F.lit(0))
+    rank = F.struct(
+        F.col("_priority"),
+        stale.alias("stale"),
+        F.coalesce(-F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(2**63 - 1)).alias("age"),
+        F.coalesce(F.col("provider_id").cast("long"), F.lit(2**63 - 1)).alias("provider"),
+        F.col("bar_id"),
+    )
+    best = trusted.withColumn("_rank", rank).groupBy("canonical_id", "start_ts").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.min(F.when(F.col(f).isNotNull(), F.col("_rank"))).alias(f) for f in fields],
+    )
+    return best.where(F.col("_n") >= least_rows).select(
+        "canonical_id",
+        F.date_format("start_ts", "yyyy-MM-dd").alias("bar_date"),
+        *[F.coalesce(F.col(f)["bar_id"], F.lit(0)).cast("bigint").alias(f"{f}_bar_id") for f in fields],
+    )
+
+
+def claims(bars: DataFrame, fields: Sequence[str], tolerance: float) -> DataFrame:
+    """(field, group, value bucket, provider) for every value a source reports.
+
+    Values count as the same claim when their logarithms fall into the same
+    bucket of width ``tolerance``; zero and negative values keep their own
+    buckets. Repeated deliveries of one source are one claim.
+    """
+    bucket = lambda c: F.when(c > 0, F.floor(F.log(c) / tolerance)).otherwise(F.lit(-(2**40)) - F.when(c < 0, 1).otherwise(0))
+    one = lambda f: F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))
+    return (
+        bars.where(F.col("provider_id").isNotNull())
+        .select("canonical_id", "start_ts", "provider_id", F.inline(F.array(*[one(f) for f in fields])))
+        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .withColumn("bucket", bucket(F.col("value")))
+        .groupBy("field", "canonical_id", "start_ts", "bucket", "provider_id")
+        .agg(F.min("value").alias("value"))
+    )
+
+
+def truth_model(
+    bars: DataFrame,
+    fields: Sequence[str] = ("close", "adj_close"),
+    tolerance: float = 0.005,
+    rounds: int = 8,
+    prior: float = 0.5,
+    least: float = 0.5,
+) -> tuple[DataFrame, DataFrame]:
+    """Latent two-sided quality of sources: (judged values, source quality).
+
+    A fact is a value bucket of one field of one group. A source that reports
+    the field in the group asserts one fact and denies the group's others.
+    Expectation-maximisation alternates the posterior of every fact with each
+    source's sensitivity and specificity (Beta(2,1) and Beta(9,1) smoothing).
+    Facts with the same sources for and against them are folded into one
+    weighted pattern before the rounds, so the rounds read patterns, not bars.
+
+    Judged values: every fact with posterior of at least ``least``, so a field
+    keeps all values judged true. Null and NaN values assert nothing; a group
+    without claims is absent; sources never seen have no quality row.
+    """
+    seen = claims(bars, fields, tolerance)
+    group = ["field", "canonical_id", "start_ts"]
+    sources = seen.groupBy(*group).agg(F.array_sort(F.collect_set("provider_id")).alias("_all"))
+    facts = (
+        seen.groupBy(*group, "bucket")
+        .agg(F.array_sort(F.collect_set("provider_id")).alias("_for"), F.min("value").alias("value"))
+        .join(sources, group)
+        .withColumn("_against", F.array_except("_all", "_for"))
+        .drop("_all")
+    )
+    facts = cut_lineage(facts)
+    patterns = cut_lineage(facts.groupBy("_for", "_against").agg(F.count(F.lit(1)).alias("n")).withColumn("pattern", F.xxhash64("_for", "_against")))
+    votes = cut_lineage(
+        patterns.select("pattern", "n", F.explode("_for").alias("provider_id"), F.lit(1).alias("said")).unionByName(
+            patterns.select("pattern", "n", F.explode("_against").alias("provider_id"), F.lit(0).alias("said"))
+        )
+    )
+    quality = votes.select("provider_id").distinct().select("provider_id", F.lit(0.8).alias("sensitivity"), F.lit(0.9).alias("specificity"))
+
+    def posterior(q: DataFrame) -> DataFrame:
+        for_true = F.when(F.col("said") == 1, F.col("sensitivity")).otherwise(1 - F.col("sensitivity"))
+        for_false = F.when(F.col("said") == 1, 1 - F.col("specificity")).otherwise(F.col("specificity"))
+        return (
+            votes.join(q, "provider_id")
+            .groupBy("pattern")
+            .agg(F.sum(F.log(for_true) - F.log(for_false)).alias("odds"))
+            .select("pattern", (1 / (1 + F.exp(-(F.col("odds") + F.lit(math.log(prior / (1 - prior))))))).alias("p"))
+        )
+
+    for _ in range(rounds):
+        weighed = votes.join(posterior(quality), "pattern")
+        true_n, false_n = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
+        quality = cut_lineage(
+            weighed.groupBy("provider_id")
+            .agg(
+                F.sum(true_n * F.col("said")).alias("tp"),
+                F.sum(true_n).alias("t"),
+                F.sum(false_n * (1 - F.col("said"))).alias("tn"),
+                F.sum(false_n).alias("f"),
+            )
+            .select(
+                "provider_id",
+                ((F.col("tp") + 2) / (F.col("t") + 3)).alias("sensitivity"),
+                ((F.col("tn") + 9) / (F.col("f") + 10)).alias("specificity"),
+            )
+        )
+    judged = (
+        facts.withColumn("pattern", F.xxhash64("_for", "_against"))
+        .join(posterior(quality), "pattern")
+        .where(F.col("p") >= least)
+        .select(*group, "value", F.col("p").alias("posterior"), F.size("_for").alias("n_sources"))
+    )
+    return judged, quality
