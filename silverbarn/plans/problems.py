@@ -79,7 +79,8 @@ held AS (
   SELECT c.provider, c.k, c.d, arg_max(s.v, (s.recorded_at, s.v)) AS v
   FROM cuts c LEFT JOIN spans s ON s.provider = c.provider AND s.k = c.k AND s.f <= c.d AND c.d < s.t GROUP BY ALL
 ), firsts AS (
-  SELECT * FROM held QUALIFY row_number() OVER w = 1 OR v IS DISTINCT FROM lag(v) OVER w WINDOW w AS (PARTITION BY provider, k ORDER BY d)
+  SELECT provider, k, d, v FROM (SELECT *, row_number() OVER w AS i, lag(v) OVER w AS p FROM held WINDOW w AS (PARTITION BY provider, k ORDER BY d))
+  WHERE i = 1 OR v IS DISTINCT FROM p
 ), ended AS (SELECT *, lead(d) OVER (PARTITION BY provider, k ORDER BY d) AS e FROM firsts),
 snaps AS (
   SELECT DISTINCT provider, provider_region_id AS k, region_id AS v,
