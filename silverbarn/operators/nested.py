@@ -55,7 +55,8 @@ def walk(document: str) -> list[tuple[str, str, int, int, int, str | None]] | No
         elif isinstance(item, list):
             nodes.append([tag + "[]", "list", at, 0, pos, None])
             stack.append((tag, pos, None, at))
-            stack += [(tag, i, item[i], -1) for i in range(len(item) - 1, -1, -1)]
+            # a list within a list gets a level of its own
+            stack += [(tag + "[]" if isinstance(item[i], list) else tag, i, item[i], -1) for i in range(len(item) - 1, -1, -1)]
         else:
             kind = "null" if item is None else "text" if isinstance(item, str) else "other"
             shown = None if item is None else item if isinstance(item, str) else json.dumps(item)

@@ -62,7 +62,7 @@ def test_truth_model_tells_good_from_bad_sources(spark):
 def test_intervals_enclose_descendants():
     doc = {"a": [{"b": 1}, [2, None]], "c": {"d": "x"}, "e": []}
     nodes = nested.walk(json.dumps(doc))
-    spans = {(n[0], n[4]): (n[2], n[3]) for n in nodes}
+    spans = {(n[0], n[4]): (n[2], n[3]) for n in reversed(nodes)}
     inside = lambda x, y: spans[y][0] < spans[x][0] and spans[x][1] < spans[y][1]
     assert inside(("a.b", 0), ("a", 0)) and inside(("a", 0), ("a[]", 0)) and inside(("c.d", 0), ("c", 0))
     assert not inside(("c.d", 0), ("a[]", 0))
