@@ -29,11 +29,14 @@ def deduplicated(stream: DataFrame, key: Sequence[str], time: str, late: str) ->
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(key))
 
 
-def windowed(stream: DataFrame, time: str, late: str, window: str, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, sum and mean per tumbling window and key, emitted once the watermark has passed it."""
+def windowed(stream: DataFrame, time: str, late: str | None, window: str, keys: Sequence[str], value: str) -> DataFrame:
+    """Count, sum and mean per tumbling window and key, emitted once the watermark has passed it.
+
+    ``late`` None: the stream has its watermark already.
+    """
+    marked = stream if late is None else stream.withWatermark(time, late)
     return (
-        stream.withWatermark(time, late)
-        .groupBy(F.window(time, window), *keys)
+        marked.groupBy(F.window(time, window), *keys)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
         .select(F.col("window.start").alias("window_start"), *keys, "n", "total", "mean")
     )
