@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from silverbarn.session import cut_lineage
+
 NODE_SCHEMA = "tree string, tag string, kind string, pre bigint, post bigint, pos bigint, value string"
 
 
@@ -134,7 +136,10 @@ def submission_children(submissions: DataFrame) -> DataFrame:
     """
     rows = submissions.where(F.col("cik").isNotNull() & F.col("payload").isNotNull()).select("cik", F.col("fetched_at").cast("timestamp").alias("fetched_at"), "payload").distinct()
     rows = rows.withColumn("tree", F.to_json(F.struct("cik", "fetched_at", F.xxhash64("payload").alias("h"))))
-    nodes = label_nodes(rows, "tree", "payload")
+    wanted = ["", "tickers", "formerNames", "formerNames.name", "filings.files", "filings.files.name", "filings.recent"]
+    places = [f"filings.recent.{m}" for m in ("accessionNumber", "form", "filingDate")]
+    # walked once; the tables per type below read the written nodes
+    nodes = cut_lineage(label_nodes(rows, "tree", "payload").where(F.col("tag").isin(wanted + places)))
     head = F.from_json("tree", "cik string, fetched_at timestamp, h bigint")
     latest = (
         nodes_of(nodes, "", "object")
@@ -143,9 +148,7 @@ def submission_children(submissions: DataFrame) -> DataFrame:
         .agg(F.max_by("tree", F.struct("t.fetched_at", "t.h")).alias("tree"))
         .select("tree", "cik")
     )
-    wanted = ["tickers", "formerNames", "formerNames.name", "filings.files", "filings.files.name", "filings.recent"]
-    places = [f"filings.recent.{m}" for m in ("accessionNumber", "form", "filingDate")]
-    nodes = nodes.where(F.col("tag").isin(wanted + places)).join(latest, "tree")
+    nodes = nodes.join(latest, "tree")
 
     tickers = nodes_of(nodes, "tickers", "text", "other").select("cik", F.lit("ticker").alias("kind"), "pos", F.col("value").alias("child_key"))
     by_tree = nodes.drop("cik")
@@ -180,8 +183,7 @@ def accession_children(index: DataFrame) -> DataFrame:
     """
     rows = index.where(F.col("accession").isNotNull()).select(plain_accession(F.col("accession")).alias("tree"), F.to_json(F.struct("files")).alias("text")).distinct()
     rows = rows.withColumn("tree", F.concat_ws("|", "tree", F.xxhash64("text").cast("string")))
-    nodes = label_nodes(rows, "tree", "text")
-    nodes = nodes.where(F.col("tag").isin("files", "files.name", "files.members", "files.members.name"))
+    nodes = cut_lineage(label_nodes(rows, "tree", "text").where(F.col("tag").isin("files", "files.name", "files.members", "files.members.name")))
     file_name = nodes_of(nodes, "files.name", "text")
     files = link(nodes_of(nodes, "files", "object"), file_name)
     # the file object again, now carrying its name, as the parent of its members
