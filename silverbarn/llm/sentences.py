@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from silverbarn.session import cut_lineage
+
 #: Abbreviations that stand before their word, so never end a sentence.
 TITLES = frozenset(
     """dr mr mrs ms mme mlle m prof st sr sra srta mgr rev hon gen col capt lt sgt gov sen rep pres ing dipl
@@ -361,7 +363,7 @@ LEAST_SHARE = 2e-5
 def corpus_evidence(documents: DataFrame) -> Evidence:
     """Abbreviations and sentence openers over all documents."""
     counts = documents.select("text").mapInArrow(_count, "kind string, word string, small boolean, n bigint")
-    total = counts.groupBy("kind", "word").agg(F.sum(F.when(F.col("small"), F.col("n")).otherwise(0)).alias("small"), F.sum("n").alias("n"))
+    total = cut_lineage(counts.groupBy("kind", "word").agg(F.sum(F.when(F.col("small"), F.col("n")).otherwise(0)).alias("small"), F.sum("n").alias("n")))
     whole = total.groupBy("kind").agg(F.sum("n").alias("_all"))
     chosen = (
         total.join(F.broadcast(whole), "kind")  # two rows
