@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from silverbarn.session import cut_lineage
+
 #: Days are counted from 0001-01-01 so that every date up to 9999-12-31 fits
 #: into DAY_BITS bits; the ends of the axis stand for unbounded sides.
 DAY_ZERO = "0001-01-01"
@@ -95,7 +97,7 @@ def _holding(updates: DataFrame, key: list[str]) -> DataFrame:
     quadratic. Both ways give the same rows.
     """
     hot = updates.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*key, F.lit(True).alias("_hot"))
-    split = updates.join(hot, key, "left")
+    split = cut_lineage(updates.join(hot, key, "left"))
     few, many = split.where(F.col("_hot").isNull()).drop("_hot"), split.where(F.col("_hot")).drop("_hot")
 
     def bounds(df: DataFrame) -> DataFrame:
