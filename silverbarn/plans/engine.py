@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from silverbarn.functions import classify, markdown, metadata, periods, regions, text
-from silverbarn.operators import best, entities, facts, ranges, upsert
+from silverbarn.functions import blobs, classify, markdown, metadata, periods, regions, text
+from silverbarn.operators import best, entities, facts, listings, ranges, upsert
 from silverbarn.session import table
+from silverbarn.sources import archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -602,3 +603,53 @@ def html_links(read: Read) -> DataFrame:
 def html_to_markdown(read: Read) -> DataFrame:
     page = F.concat(F.lit("<div><b></b><p><b>"), "source", F.lit("</b></p><table><tr><th>id</th><th>lang</th></tr><tr><td>"), F.col("doc_id").cast("string"), F.lit("</td><td>"), F.coalesce("lang", F.lit("")), F.lit("</td></tr></table></div>"))
     return read("documents").select("doc_id", markdown.markdown(page).alias("markdown"))
+
+
+@query("""SELECT 'acc' || o_orderkey AS accession, 'TotalPrice' AS local_name, cast(o_orderdate AS date) AS instant_date, 'USD' AS measure, o_totalprice AS value,
+  CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS decimals FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def xbrl_facts(read: Read) -> DataFrame:
+    xml = F.format_string(
+        '<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:f="http://x.example/f"><context id="c"><entity><identifier scheme="s">%s</identifier></entity><period><instant>%s</instant></period></context>'
+        '<unit id="u"><measure>iso4217:usd</measure></unit><f:TotalPrice contextRef="c" unitRef="u" decimals="%s">%s</f:TotalPrice><f:Note contextRef="c">none</f:Note></xbrl>',
+        F.col("o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 2 == 0, "2").otherwise("INF"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+    )
+    files = read("orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("acc"), F.col("o_orderkey").cast("string")).alias("path"), F.encode(xml, "UTF-8").alias("content"))
+    parsed = archives.xbrl(files).withColumnRenamed("path", "accession")
+    contexts = parsed.where("kind = 'context'").select("accession", F.col("ref").alias("context_ref"), F.col("instant_date"))
+    units = parsed.where("kind = 'unit'").select("accession", F.col("ref").alias("unit_ref"), "measure")
+    fact = parsed.where("kind = 'fact'").select("accession", F.col("name").alias("local_name"), "context_ref", "unit_ref", "value", "decimals")
+    return fact.join(contexts, ["accession", "context_ref"]).join(units, ["accession", "unit_ref"], "left").select("accession", "local_name", "instant_date", "measure", "value", "decimals")
+
+
+@query("""SELECT 'sec:xnas:u' || user_id AS canonical_id, cast(ts AS date) AS start_ts, value AS close FROM events""")
+def bar_files(read: Read) -> DataFrame:
+    line = F.format_string("U%s.US,D,%s,000000,1,2,0.5,%s,100,0\nbad,D,,,,,,,,\n", F.col("user_id"), F.date_format("ts", "yyyyMMdd"), F.col("value").cast("string"))
+    files = read("events").select(F.concat(F.lit("us/nasdaq stocks/"), F.col("event_id").cast("string"), F.lit(".txt")).alias("member"), F.encode(F.concat(F.lit("<TICKER>,<PER>,<DATE>,<TIME>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>,<OPENINT>\n"), line), "UTF-8").alias("content"))
+    return archives.bar_archive(files).select("canonical_id", "start_ts", "close")
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def blob_round_trip(read: Read) -> DataFrame:
+    packed = read("documents").select("doc_id", blobs.compressed(F.encode("text", "UTF-8")).alias("b"))
+    return packed.select("doc_id", F.sha2(blobs.decompressed("b"), 256).alias("digest"))
+
+
+@query()
+def etf_listings(read: Read) -> DataFrame:
+    p = read("part")
+    sym = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))), F.element_at(F.array(F.lit(""), F.lit(".L"), F.lit(".DE")), (F.col("p_partkey") % 3 + 1).cast("int")))
+    rows = p.select(F.col("p_partkey").alias("row_idx"), sym.alias("symbol"), F.col("p_name").alias("name"), F.col("p_brand").alias("family"), F.col("p_type").alias("category"))
+    return listings.products(rows, "etf", "etf", "provider:list").provider_ids
+
+
+@query()
+def equity_listings(read: Read) -> DataFrame:
+    rows = read("sec_rows").distinct().select(F.xxhash64("cik", "ticker", "name").alias("row_idx"), F.col("ticker").alias("symbol"), "name", F.col("cik").alias("cusip"), F.lit("NMS").alias("exchange"))
+    return listings.equities(rows, "provider:list", {"NMS": "XNAS"}, {"united states": "us"}).relations
+
+
+@query(r"""SELECT DISTINCT 'company:us:' || coalesce(nullif(trim(regexp_replace(lower(trim(name)), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'unknown') AS entity_id FROM sec_rows""")
+def sec_companies(read: Read) -> DataFrame:
+    rows = read("sec_rows").select(F.xxhash64("cik", "ticker", "name").alias("row_idx"), "cik", "ticker", "name").distinct()
+    held = read("entities").where("entity_type = 'company'").select("entity_id", "entity_type", metadata.parse(F.col("metadata")).alias("members")).dropDuplicates(["entity_id"])
+    return listings.companies(rows, held, "provider:filings").entities.select("entity_id")
