@@ -76,10 +76,13 @@ def merge_or_split(rows: DataFrame, slug: str, alternate: str, text: str, order:
 
     A row is compared with what the slug's entity holds by then, so the fold
     runs in row order within a slug; a row without conflict adds its members.
-    Returns (slug, row order, entity id). Groups are the listings of one name.
+    A repeated row always meets the fate of its first, so only distinct rows
+    are gathered: the listings of one name, however often they are delivered.
+    Returns (slug, row order, entity id).
     """
-    kept = rows.select(F.col(slug).alias("slug"), F.struct(F.col(order).alias("o"), F.col(alternate).alias("a"), F.col(text).alias("t")).alias("r"))
-    ordered = kept.groupBy("slug").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    kept = rows.select(F.col(slug).alias("slug"), F.col(order).cast("bigint").alias("o"), F.col(alternate).alias("a"), F.col(text).alias("t"))
+    distinct = kept.groupBy("slug", "a", "t").agg(F.min("o").alias("o"))
+    ordered = distinct.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("o", "a", "t"))).alias("rs"))
     start = F.struct(F.lit(None).cast(metadata.MAP).alias("held"), F.array().cast("array<struct<o:bigint,id:string>>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -89,13 +92,21 @@ def merge_or_split(rows: DataFrame, slug: str, alternate: str, text: str, order:
         return F.struct(held.alias("held"), F.concat(acc["out"], F.array(F.struct(r["o"].cast("bigint").alias("o"), F.when(clash, r["a"]).otherwise(F.lit(None)).alias("id")))).alias("out"))
 
     folded = ordered.select("slug", F.aggregate("rs", start, step)["out"].alias("out"))
-    return folded.select("slug", F.inline("out")).select("slug", F.col("o").alias("row_idx"), F.coalesce("id", "slug").alias("entity_id"))
+    fate = folded.select("slug", F.inline("out")).join(distinct, ["slug", "o"]).select(F.col("slug").alias("s"), F.col("a").alias("a2"), F.col("t").alias("t2"), F.coalesce("id", "slug").alias("entity_id"))
+    same = (F.col("slug") == F.col("s")) & F.col("a").eqNullSafe(F.col("a2")) & F.col("t").eqNullSafe(F.col("t2"))
+    return kept.join(fate, same).select("slug", F.col("o").alias("row_idx"), "entity_id")
 
 
 def metadata_by_key(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
-    """Members of all rows of a key, later rows winning; a dictionary merge."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda r: r["t"])
-    return rows.groupBy(key).agg(metadata.merged(ordered).alias("members"))
+    """(key, members): members of all rows of a key, later rows winning; a dictionary merge.
+
+    Each member is folded by itself on the map side, so a key of any number of
+    rows gathers no more than its distinct member names.
+    """
+    parsed = rows.select(key, F.col(order).alias("o"), F.explode_outer(metadata.parse(F.col(text))).alias("name", "value"))
+    last = parsed.groupBy(key, "name").agg(F.max(F.struct("o", "value"))["value"].alias("value"))
+    entry = F.when(F.col("name").isNotNull(), F.struct("name", "value"))
+    return last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("members"))
 
 
 def lag_conflict(rows: DataFrame, key: str, text: str, order: str) -> DataFrame:
