@@ -163,10 +163,11 @@ def leaked(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
     The items are read to the driver as the query set (a few hundred rows) and
     scanned in blocks of BLOCK_WORDS words if there are more. Null and empty
-    texts leak nothing; repeated documents are reported under each doc_id;
+    texts and rows without an id leak nothing; repeated documents are reported under each doc_id;
     repeated items under each item_id; extra columns are ignored.
     """
-    rows = [(r["item_id"], r["text"]) for r in eval_items.select("item_id", "text").where("text is not null").collect()]
+    rows = [(r["item_id"], r["text"]) for r in eval_items.select("item_id", "text").where("item_id is not null and text is not null").collect()]
+    documents = documents.where("doc_id is not null")
     out = None
     for block in _blocks(rows):
         part = _scan(documents, block)

@@ -44,7 +44,7 @@ def test_copies_edits_and_parts(spark):
         (4, "This one says: past performance is no guide to future results. Nothing more."),
         (5, "It mentions the Morpindar effect and the Ranwoje swap curve only."),
         (6, "A hypothetical insurer stress-tests minority puts at the lower bound which reverses after 11 months beside 12 bonds."),
-        (7, None), (8, ""), (9, "word " * 60_000 + OTHER), (10, ITEM), (11, ITEM),
+        (7, None), (8, ""), (None, ITEM), (9, "word " * 60_000 + OTHER), (10, ITEM), (11, ITEM),
     ]
     assert _found(spark, docs) == {(1, 1), (1, 2), (1, 3), (2, 9), (1, 10), (1, 11)}
 
@@ -62,4 +62,4 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
 
 def test_empty_tables(spark):
     assert _found(spark, []) == set()
-    assert _found(spark, [(1, ITEM)], [(1, "en", None)]) == set()
+    assert _found(spark, [(1, ITEM)], [(1, "en", None), (None, "en", ITEM)]) == set()
