@@ -285,13 +285,14 @@ def implausible(bars: DataFrame, alpha: float = 1e-14) -> DataFrame:
 
     Each delivery is judged by its own value; several deliveries of a day do
     not lengthen a run. Null and NaN readings are never flagged and do not
-    interrupt a series. A bar without a date is only checked for its range.
+    interrupt a series. A bar without a date is only checked for its range,
+    one without a bar_id not at all.
     Repeated rows give one result row per bar_id. Extra columns are ignored.
     """
     day = F.coalesce(F.unix_date("start_ts"), F.lit(NO_DAY))
     place = F.pmod(F.col("day"), F.lit(BLOCK_DAYS))
     block = F.floor(F.col("day") / BLOCK_DAYS).cast("int")
-    rows = bars.select("bar_id", "canonical_id", "provider_id", day.alias("day"), *[F.col(f).cast("double") for f in FIELDS])
+    rows = bars.where(F.col("bar_id").isNotNull()).select("bar_id", "canonical_id", "provider_id", day.alias("day"), *[F.col(f).cast("double") for f in FIELDS])
     blocks = F.array_compact(
         F.array(
             F.struct(block.alias("block"), F.lit(True).alias("core")),

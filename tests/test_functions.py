@@ -49,8 +49,8 @@ def test_names_match(spark):
 def test_regions(spark):
     rows = [("Metro", "Fresno, CA", "CA", None), ("neighborhood", "Old Town", "il", "Chicago"), ("state", "", "tx", None), ("national", None, None, None), ("county", "X", None, None), ("planet", "X", "ca", None), ("neighborhood", "X", "ca", " ")]
     df = spark.createDataFrame(rows, "t string, n string, s string, c string")
-    t, n, s, c, us = (F.col(x) for x in "tnsc"), None, None, None, F.lit("US")
     t, n, s, c = (F.col(x) for x in "tnsc")
+    us = F.lit("US")
     got = df.select(regions.region_id(t, n, s, c, us).alias("i"), regions.region_error(t, n, s, c).alias("e"), regions.parent_id(t, s, us).alias("p"), regions.alias_id(t, n, s, us).alias("a")).collect()
     assert [r.i for r in got] == ["region:metro:us:ca:fresno", "region:neighborhood:us:il:chicago:old_town", "region:admin1:us:tx", "region:national:us", None, None, None]
     assert [r.e for r in got] == [None, None, None, None, "state missing", "unsupported type", "city missing"]

@@ -142,7 +142,7 @@ def test_each_delivery_is_judged_by_its_own_value(spark):
     close, volume = _series(120, 2)
     rows = [_bar(i, "sec:x", date(2024, 1, 1) + timedelta(days=i), float(c), 1, 1, None, float(v)) for i, (c, v) in enumerate(zip(close, volume))]
     day = date(2024, 1, 1) + timedelta(days=60)
-    rows += [_bar(500, "sec:x", day, float(close[60] * 3), 1, 5), _bar(501, "sec:x", day, float(close[60] * 3), 1, 6), _bar(502, "sec:x", None, -1.0, 1, 6)]
+    rows += [_bar(500, "sec:x", day, float(close[60] * 3), 1, 5), _bar(501, "sec:x", day, float(close[60] * 3), 1, 6), _bar(502, "sec:x", None, -1.0, 1, 6), _bar(None, "sec:x", day, -1.0, None, 6), _bar(503, None, day, 5.0, None, 6)]
     got = {tuple(r) for r in outliers.implausible(spark.createDataFrame(rows, BAR)).collect()}
     assert got == {(500, "close"), (501, "close"), (502, "close")}
 

@@ -1,7 +1,6 @@
 """Scans, catalog, skills and streaming on files written here."""
 
 import gzip
-import io
 import json
 import zipfile
 from datetime import date
