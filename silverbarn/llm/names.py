@@ -68,7 +68,7 @@ ROWS = 4
 #: One typing error in a word of eight letters leaves this share of its padded q-grams.
 TYPO_SIMILARITY = 0.54
 RECALL = 0.92
-#: Forms of one bucket compared pair by pair; a fuller bucket is divided further.
+#: Forms of one bucket compared by one task; a fuller bucket is cut into blocks of about so many.
 BUCKET = 64
 #: Least Monge-Elkan similarity of the distinctive words, and of a single word against several.
 LEAST = 0.66
@@ -236,39 +236,57 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of form ids that share a bucket, a < b.
 
     A bucket is what must agree exactly (line of business and number, or the
-    given name's initial) with one band of one word. A bucket with more than
-    BUCKET forms is divided by the forms' other bands, so that no bucket,
-    however full, is expanded to all its pairs.
+    given name's initial) with one band of one word. Of a bucket with more
+    than BUCKET forms all pairs are compared too, block against block, but
+    only those that name the same party leave their task.
     """
     banded = nodes.select("node", "words", "kind").mapInArrow(_banded, "node bigint, slot int, hash bigint")
     initials = F.array_distinct(F.transform(F.split("given", r"\|"), lambda g: F.substring(g, 1, 1)))
     info = nodes.select("node", "kind", "exact", F.explode(initials).alias("initial"))
     keyed = banded.join(info, "node").withColumn("bucket", F.xxhash64("kind", "exact", "initial", "slot", "hash"))
     keyed = cut_lineage(keyed.select("node", "bucket").distinct())
-    full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("bucket", F.lit(True).alias("full"))
+    full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
     split = keyed.join(full, "bucket", "left")
-    small = split.where(F.col("full").isNull()).select("node", "bucket")
-    large = split.where(F.col("full"))
-    again = large.select("node", F.col("bucket").alias("outer")).join(keyed.select("node", F.col("bucket").alias("inner")), "node").where(F.col("inner") != F.col("outer"))
-    divided = again.select("node", F.xxhash64(F.least("outer", "inner"), F.greatest("outer", "inner")).alias("bucket"))
-    buckets = small.unionByName(divided).distinct()
-    left, right = buckets.select(F.col("node").alias("a"), "bucket"), buckets.select(F.col("node").alias("b"), "bucket")
-    return left.join(right, "bucket").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    small = split.where(F.col("n").isNull()).select("node", "bucket")
+    left, right = small.select(F.col("node").alias("a"), "bucket"), small.select(F.col("node").alias("b"), "bucket")
+    pairs = left.join(right, "bucket").where(F.col("a") < F.col("b")).select("a", "b")
+    return pairs.unionByName(full_bucket_pairs(nodes, split.where(F.col("n").isNotNull()))).distinct()
 
 
-def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Candidate pairs that name the same party, with their similarity."""
-    side = lambda s: nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "kind", "words", "given", "middle")])
-    both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
+def full_bucket_pairs(nodes: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (a, b) of forms that share a full bucket and name the same party; ``full`` is (node, bucket, n).
+
+    The forms of a bucket fall into blocks; each block meets itself and every
+    other one in a task of its own. A pair of several full buckets is compared
+    in the least of them.
+    """
+    blocks = F.ceil(F.col("n") / BUCKET)
+    placed = full.select("node", "bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("bucket", "node"), blocks).alias("own"))
+    mine = full.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+    placed = placed.join(mine, "node").join(nodes.select("node", "kind", "words", "given", "middle"), "node")
+    side = lambda s, i, j: placed.select("bucket", i.alias("i"), j.alias("j"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "buckets", "kind", "words", "given", "middle")])
+    left = side("a", F.col("own"), F.explode(F.sequence("own", F.col("blocks") - 1)))
+    right = side("b", F.explode(F.sequence(F.lit(0).cast("bigint"), "own")), F.col("own"))
+    both = left.join(right, ["bucket", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a_node") < F.col("b_node")))
+    both = both.where(F.col("bucket") == F.array_min(F.array_intersect("a_buckets", "b_buckets")))
+    return both.where(same_party()).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+
+
+def similarity() -> Column:
+    """Similarity of the words of sides a and b."""
     a, b = F.col("a_words"), F.col("b_words")
     na, nb = F.size(a), F.size(b)
     forth, back = monge_elkan(a, b), monge_elkan(b, a)
     joined = lambda c: F.array_join(c, "")
     whole = 1 - F.levenshtein(joined(a), joined(b)) / F.greatest(F.length(joined(a)), F.length(joined(b)))
     # a name short of a word must have the words it has nearly right
-    similarity = F.when(na == nb, F.greatest((forth + back) / 2, whole)).otherwise(
+    return F.when(na == nb, F.greatest((forth + back) / 2, whole)).otherwise(
         F.greatest(whole, F.when(F.when(na < nb, forth).otherwise(back) >= LEAST_ALONE, 0.9 * F.when(na < nb, forth).otherwise(back)).otherwise(0.0))
     )
+
+
+def agreeing() -> Column:
+    """Sides a and b do not differ in given name or initial; always true of organisations."""
     ga, gb = F.split("a_given", r"\|"), F.split("b_given", r"\|")
     letter = lambda c: (F.length(c) == 1)
     initials = lambda c: F.transform(c, lambda g: F.substring(g, 1, 1))
@@ -279,10 +297,20 @@ def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         | F.when(letter(F.col("a_given")) | letter(F.col("b_given")), F.arrays_overlap(initials(ga), initials(gb))).otherwise(F.arrays_overlap(ga, gb) | near_given)
     )
     middle = (F.col("a_middle") == "") | (F.col("b_middle") == "") | (F.col("a_middle") == F.col("b_middle"))
-    named = (F.col("a_kind") != "person") | (given & middle)
+    return (F.col("a_kind") != "person") | (given & middle)
+
+
+def same_party() -> Column:
+    return agreeing() & (similarity() >= LEAST)
+
+
+def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidate pairs that name the same party, with their similarity."""
+    side = lambda s: nodes.select(*[F.col(c).alias(f"{s}_{c}") for c in ("node", "kind", "words", "given", "middle")])
+    both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
     # among persons the fuller agreement of given name and initial counts a little
     bonus = F.when((F.col("a_kind") == "person") & (F.col("a_given") == F.col("b_given")) & (F.col("a_middle") == F.col("b_middle")), 0.05).otherwise(0.0)
-    kept = both.withColumn("similarity", similarity).where(named & (F.col("similarity") >= LEAST)).withColumn("similarity", F.col("similarity") + bonus)
+    kept = both.withColumn("similarity", similarity()).where(agreeing() & (F.col("similarity") >= LEAST)).withColumn("similarity", F.col("similarity") + bonus)
     return unambiguous(kept.select("a", "b", "similarity", "a_given", "a_middle", "b_given", "b_middle"))
 
 

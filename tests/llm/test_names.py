@@ -68,6 +68,23 @@ def test_full_buckets_are_divided_without_loss(spark, monkeypatch):
     assert expected <= _pairs(spark, rows)
 
 
+def test_a_pair_that_shares_one_full_bucket_only_is_compared(spark, monkeypatch):
+    word = "bretonia"
+    own = set(enumerate(N.word_bands(word)))
+    near = [word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in "aeiklmorstz" if c != word[i]]
+    once = [w for w in near if len(own & set(enumerate(N.word_bands(w)))) == 1]
+    assert len(once) > 5
+    names = [[word], *([w] for w in once), *([word, f"{a}{b}{c}"] for a in ("mir", "tol", "ven") for b in ("dra", "ken", "pos") for c in ("wix", "gar", "lum"))]
+    nodes = spark.createDataFrame([(i, "org", "#", w, "", "") for i, w in enumerate(names)], "node bigint, kind string, exact string, words array<string>, given string, middle string")
+    bands = [{x for w in {*ws, "".join(ws)} for x in enumerate(N.word_bands(w))} for ws in names]
+    shared = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if bands[i] & bands[j]]
+    monkeypatch.setattr(N, "BUCKET", 8)
+    linked = lambda pairs: {(r.a, r.b) for r in N.verified(nodes, pairs).collect()}
+    got = linked(N.candidate_pairs(nodes))
+    assert {(0, i) for i in range(1, len(once) + 1)} <= got
+    assert got == linked(spark.createDataFrame(shared, "a bigint, b bigint"))
+
+
 def test_a_third_of_all_records_under_one_name(spark):
     rows = [(f"h{i:03}", f"h{i}", "Calmelter Bronman Shipping Ltd", False) for i in range(60)] + [(f"o{i}", f"o{i}", f"Zz{chr(97 + i % 26) * 7}{i} Mining", False) for i in range(60)]
     assert sum(a[0] == b[0] == "h" for a, b in _pairs(spark, rows)) == 60 * 59 // 2
