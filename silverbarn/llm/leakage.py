@@ -2,8 +2,8 @@
 
 The test items are a small stated query set held by every task; the corpus is
 only scanned. Pass one counts in how many documents each n-gram of the items
-stands. Pass two takes the rare ones, and those that only one item has however
-often they are copied, as seeds, and aligns each seeded item with the part of
+stands. Pass two takes the rare ones, and those that only one item or one
+passage common to a few items has however often they are copied, as seeds, and aligns each seeded item with the part of
 the document around its seeds, word by word. No pair of documents is formed
 and no document leaves its task.
 """
@@ -82,19 +82,33 @@ def align(items: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
 
 
 class Items:
-    """The test items as word ids, with the items of every seed."""
+    """The test items as word ids, with the items of every seed. Items of equal words are one, known by its place."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids: dict[str, int] = {}
         self.items: dict[int, np.ndarray] = {}
         self.sets: dict[int, frozenset] = {}
         self.seeds: dict[tuple, list[int]] = defaultdict(list)
+        self.same: dict[int, list[int]] = {}
+        place: dict[tuple, int] = {}
         for item_id, text in rows:
             w = words(text or "")
-            self.items[item_id] = np.array([self.ids.setdefault(x, len(self.ids)) for x in w], np.int64)
-            self.sets[item_id] = frozenset(self.items[item_id].tolist())
+            item = place.setdefault(tuple(w), len(place))
+            self.same.setdefault(item, []).append(item_id)
+            if item in self.items:
+                continue
+            self.items[item] = np.array([self.ids.setdefault(x, len(self.ids)) for x in w], np.int64)
+            self.sets[item] = frozenset(self.items[item].tolist())
             for g in set(zip(*(w[k:] for k in range(SEED)))):
-                self.seeds[g].append(item_id)
+                self.seeds[g].append(item)
+
+    def one_passage(self, often: list[tuple]) -> set[tuple]:
+        """Those of the n-grams whose items, at most RARE_DOCS, have a passage in common; by more, it is a stock phrase."""
+        few = [g for g in often if len(self.seeds[g]) <= RARE_DOCS]
+        pairs = sorted({(self.seeds[g][0], other) for g in few for other in self.seeds[g][1:]})
+        scores = align([self.items[a] for a, _ in pairs], [self.items[b] for _, b in pairs])
+        kin = {p for p, s in zip(pairs, scores) if s >= LEAST_SCORE}
+        return {g for g in few if all((self.seeds[g][0], other) in kin for other in self.seeds[g][1:])}
 
     def narrowed(self, keep: set[tuple]) -> None:
         self.seeds = {g: i for g, i in self.seeds.items() if g in keep}
@@ -142,7 +156,7 @@ def leaks(texts: list[tuple[int, str]], held: Items, keys: frozenset) -> list[tu
     if not pairs:
         return []
     scores = align([held.items[p[0]] for p in pairs], [p[2] for p in pairs])
-    return sorted({(item, doc) for (item, doc, _), s in zip(pairs, scores) if s >= LEAST_SCORE})
+    return sorted({(item_id, doc) for (item, doc, _), s in zip(pairs, scores) if s >= LEAST_SCORE for item_id in held.same[item]})
 
 
 def _blocks(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
@@ -197,7 +211,8 @@ def _scan(documents: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     counts = documents.select("text").mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
     df = {r["seed"]: r["n"] for r in counts.collect()}  # one row per n-gram of the block
     limit = max(RARE_DOCS, RARE_SHARE * df.get(-1, 0))
-    keep = {g for i, g in enumerate(order) if 0 < df.get(i, 0) <= limit or (df.get(i, 0) and len(held.seeds[g]) == 1)}
+    keep = {g for i, g in enumerate(order) if 0 < df.get(i, 0) <= limit}
+    keep |= held.one_passage([g for i, g in enumerate(order) if df.get(i, 0) > limit])
     held.narrowed(keep)
     keys = frozenset(keep)
 

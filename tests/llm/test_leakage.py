@@ -54,6 +54,19 @@ def test_an_item_copied_into_a_third_of_all_documents_is_found_everywhere(spark)
     assert _found(spark, docs) == {(1, i) for i in range(0, 300, 3)}
 
 
+def test_a_repeated_item_copied_into_a_third_of_all_documents_is_found_under_each_id(spark):
+    docs = [(i, (ITEM if i % 3 == 0 else "Nothing of note happened today.") + f" Number {i}.") for i in range(300)]
+    items = ((1, "en", ITEM), (2, "en", OTHER), (3, "en", ITEM.upper()))
+    assert _found(spark, docs, items) == {(k, i) for i in range(0, 300, 3) for k in (1, 3)}
+
+
+def test_a_paragraph_of_two_items_is_found_and_a_stock_phrase_of_two_is_not(spark):
+    shared = " ".join(ITEM.split()[:24])
+    items = ((1, "en", shared + " Settlement follows on the ninth day. " + OTHER[-52:]), (2, "en", "Quite another opening about municipal sewers. " + shared), (3, "en", OTHER))
+    docs = [(i, (shared if i % 3 == 0 else "Nothing of note. " + OTHER[-52:]) + f" Number {i}.") for i in range(300)]
+    assert _found(spark, docs, items) == {(k, i) for i in range(0, 300, 3) for k in (1, 2)}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = [(1, ITEM), (2, OTHER), (3, ITEM + OTHER)]
     monkeypatch.setattr(L, "BLOCK_WORDS", 10)
