@@ -348,6 +348,11 @@ def slug_dash(read: Read) -> DataFrame:
     return read("documents").where("lang = 'en'").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
+@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'unknown') AS slug FROM documents")
+def slug_dash_all(read: Read) -> DataFrame:
+    return read("documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
+
+
 @query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', '_', 'g'), '_') AS slug FROM part")
 def slug_underscore(read: Read) -> DataFrame:
     return read("part").select("p_partkey", text.slug(F.col("p_name"), "_").alias("slug"))
