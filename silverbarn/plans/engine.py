@@ -613,12 +613,22 @@ def html_to_markdown(read: Read) -> DataFrame:
 @query("""SELECT 'acc' || o_orderkey AS accession, 'TotalPrice' AS local_name, cast(o_orderdate AS date) AS instant_date, 'USD' AS measure, o_totalprice AS value,
   CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS decimals FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def xbrl_facts(read: Read) -> DataFrame:
+    return _instance_facts(read("orders").where("o_orderpriority = '1-URGENT'"))
+
+
+@query("""SELECT 'acc' || o_orderkey AS accession, 'TotalPrice' AS local_name, cast(o_orderdate AS date) AS instant_date, 'USD' AS measure, o_totalprice AS value,
+  CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS decimals FROM orders""")
+def xbrl_facts_all(read: Read) -> DataFrame:
+    return _instance_facts(read("orders"))
+
+
+def _instance_facts(orders: DataFrame) -> DataFrame:
     xml = F.format_string(
         '<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:f="http://x.example/f"><context id="c"><entity><identifier scheme="s">%s</identifier></entity><period><instant>%s</instant></period></context>'
         '<unit id="u"><measure>iso4217:usd</measure></unit><f:TotalPrice contextRef="c" unitRef="u" decimals="%s">%s</f:TotalPrice><f:Note contextRef="c">none</f:Note></xbrl>',
         F.col("o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 2 == 0, "2").otherwise("INF"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
     )
-    files = read("orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("acc"), F.col("o_orderkey").cast("string")).alias("path"), F.encode(xml, "UTF-8").alias("content"))
+    files = orders.select(F.concat(F.lit("acc"), F.col("o_orderkey").cast("string")).alias("path"), F.encode(xml, "UTF-8").alias("content"))
     parsed = archives.xbrl(files).withColumnRenamed("path", "accession")
     contexts = parsed.where("kind = 'context'").select("accession", F.col("ref").alias("context_ref"), F.col("instant_date"))
     units = parsed.where("kind = 'unit'").select("accession", F.col("ref").alias("unit_ref"), "measure")

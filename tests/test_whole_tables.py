@@ -24,3 +24,8 @@ def test_every_document_in_every_script_has_a_slug(spark):
 
     texts = table(spark, DATA, "documents").select("doc_id", "text").collect()
     assert {r.doc_id: r.slug for r in _rows(spark, "slug_dash_all")} == {r.doc_id: slug(r.text) for r in texts}
+
+
+def test_every_order_is_parsed_as_an_instance(spark):
+    orders = table(spark, DATA, "orders").select("o_orderkey", "o_totalprice").collect()
+    assert sorted((r.accession, r.value) for r in _rows(spark, "xbrl_facts_all")) == sorted((f"acc{r.o_orderkey}", r.o_totalprice) for r in orders)
