@@ -238,6 +238,32 @@ def strict_insert(read: Read) -> DataFrame:
     return yes.withColumn("outcome", F.lit("accepted")).unionByName(no.withColumn("outcome", F.lit("rejected"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LOADS = """WITH a AS (SELECT user_id, cast(ts AS date) AS day, max(value) AS value, min(event_id) AS first_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+b AS (SELECT user_id, cast(ts AS date) AS day, CASE WHEN user_id % 3 <> 0 THEN max(value) END AS value, min(event_id) AS first_id FROM events WHERE event_type IS DISTINCT FROM 'purchase' GROUP BY 1, 2)
+"""
+
+
+def _loads(read: Read) -> tuple[DataFrame, DataFrame]:
+    """Per user and day, the purchases as the old load and all other events as the new one; together every event."""
+    e = read("events").withColumn("day", F.to_date("ts"))
+    bought = F.coalesce(F.col("event_type") == "purchase", F.lit(False))
+    a = e.where(bought).groupBy("user_id", "day").agg(F.max("value").alias("value"), F.min("event_id").alias("first_id"))
+    b = e.where(~bought).groupBy("user_id", "day").agg(F.when(F.col("user_id") % 3 != 0, F.max("value")).alias("value"), F.min("event_id").alias("first_id"))
+    return a, b
+
+
+@query(_LOADS + """SELECT user_id, day, coalesce(b.value, a.value) AS value, CASE WHEN b.user_id IS NOT NULL THEN b.first_id ELSE a.first_id END AS first_id
+  FROM a FULL JOIN b USING (user_id, day)""")
+def upsert_coalesce_all(read: Read) -> DataFrame:
+    return upsert.upsert_keep_old(*_loads(read), ["user_id", "day"], ["value"])
+
+
+@query(_LOADS + "SELECT CASE WHEN (user_id, day) IN (SELECT (user_id, day) FROM a) THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS n FROM b GROUP BY 1")
+def strict_insert_all(read: Read) -> DataFrame:
+    yes, no = upsert.strict_insert(*_loads(read), ["user_id", "day"])
+    return yes.withColumn("outcome", F.lit("accepted")).unionByName(no.withColumn("outcome", F.lit("rejected"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT p_brand || p_type) AS ids FROM (SELECT DISTINCT p_brand, p_type FROM part)")
 def surrogate_keys(read: Read) -> DataFrame:
     keyed = upsert.with_surrogate(read("part"), ["p_brand", "p_type"], "id")

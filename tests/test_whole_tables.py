@@ -29,3 +29,12 @@ def test_every_document_in_every_script_has_a_slug(spark):
 def test_every_order_is_parsed_as_an_instance(spark):
     orders = table(spark, DATA, "orders").select("o_orderkey", "o_totalprice").collect()
     assert sorted((r.accession, r.value) for r in _rows(spark, "xbrl_facts_all")) == sorted((f"acc{r.o_orderkey}", r.o_totalprice) for r in orders)
+
+
+def test_the_two_loads_hold_every_event_and_overlap_in_part(spark):
+    events = table(spark, DATA, "events").selectExpr("user_id", "to_date(ts) AS day", "event_type").collect()
+    old = {(r.user_id, r.day) for r in events if r.event_type == "purchase"}
+    new = {(r.user_id, r.day) for r in events if r.event_type != "purchase"}
+    assert {(r.user_id, r.day) for r in _rows(spark, "upsert_coalesce_all")} == old | new
+    counts = {r.outcome: r.n for r in _rows(spark, "strict_insert_all")}
+    assert counts == {"accepted": len(new - old), "rejected": len(new & old)} and min(counts.values()) > 0
