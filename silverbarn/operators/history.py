@@ -1,13 +1,13 @@
 """History of changing attributes as insert-only satellites.
 
-A hub key (provider, provider key) has one satellite per rate of change: the
-mapping satellite (what the key is mapped to) and, for snapshots, the
-descriptive satellite (provider_name), which take part in the hash-diff. A row
-is appended to a satellite only where its hash-diff differs from the row before
-it; an absent key appends a row without a diff. End dates are never stored:
-``satellite_view`` computes them with ``lead``.
-
-Two loaders feed the satellites:
+Updates with periods go through one satellite. A row is appended only where
+its hash-diff differs from the row before it; a day without a mapping appends
+a row without a diff. End dates are not stored: ``satellite_view`` computes
+them with ``lead``. Snapshots use no satellite: their mapping and
+provider_name share one hash-diff, whose runs of successive revisions are the
+versions, stored with the revision that ends them.
+
+Two loaders find the changes:
 
 * ``interval_changes`` for a log of updates with business periods, where on
   each day the covering row recorded last holds;
