@@ -9,30 +9,45 @@ from silverbarn.functions.text import name_key
 
 #: Words that mark a structured product.
 PRODUCT_WORDS = (
-    "CALL PUT TB LG B OP BONUS CASH BARRIER WRAP CW BON CORR USD EUR TR ETC ETF STW ADX LEG BOOST CDI ORD CLASS SWAP RETURN CDS COUPON FLR FIX FLOAT PERP RATE YIELD ETN"
-).split()
+    "CALL", "PUT", "TB", "LG", "B", "OP", "BONUS", "CASH", "BARRIER", "WRAP", "CW", "BON", "CORR", "USD", "EUR", "TR", "ETC", "ETF", "STW", "ADX",
+    "LEG", "BOOST", "CDI", "ORD", "CLASS", "SWAP", "RETURN", "CDS", "COUPON", "FLR", "FIX", "FLOAT", "PERP", "RATE", "YIELD", "ETN",
+)
 #: Legal forms that mark a company.
-COMPANY_SUFFIXES = "INC CORP COMPANY LLC LTD PLC AG AB SA SAB SE GMBH SPAC HOLDINGS GROUP TRUST REIT PARTNERS BANCORP CO SCA SL".split()
+COMPANY_SUFFIXES = (
+    "INC", "CORP", "COMPANY", "LLC", "LTD", "PLC", "AG", "AB", "SA", "SAB", "SE", "GMBH", "SPAC", "HOLDINGS", "GROUP", "TRUST", "REIT", "PARTNERS",
+    "BANCORP", "CO", "SCA", "SL",
+)
 #: Words of share classes and other securities.
 SECURITY_WORDS = (
-    "share shares ordinary registered depositary depository preferred perpetual floating fixed warrant warrants unit units bond bonds bds cds cdi lof alloc flx hd class "
-    "preference convertible call put bonus vor sta nam inhaber common stock regist registe register regis regi reg pref pclr pcl rights fund fondo fondos fundo waran "
-    "actions action nom adr spons sponsor svcs svc hld hldg navne agnam"
-).split()
+    "share", "shares", "ordinary", "registered", "depositary", "depository", "preferred", "perpetual", "floating", "fixed", "warrant", "warrants",
+    "unit", "units", "bond", "bonds", "bds", "cds", "cdi", "lof", "alloc", "flx", "hd", "class", "preference", "convertible", "call", "put", "bonus",
+    "vor", "sta", "nam", "inhaber", "common", "stock", "regist", "registe", "register", "regis", "regi", "reg", "pref", "pclr", "pcl", "rights",
+    "fund", "fondo", "fondos", "fundo", "waran", "actions", "action", "nom", "adr", "spons", "sponsor", "svcs", "svc", "hld", "hldg", "navne",
+    "agnam",
+)
 #: Words of which three make a vehicle's description, not a company.
-VEHICLE_WORDS = "real estate investment management development international global company portfolio capital trust fund realestate invest".split()
+VEHICLE_WORDS = (
+    "real", "estate", "investment", "management", "development", "international", "global", "company", "portfolio", "capital", "trust", "fund",
+    "realestate", "invest",
+)
 #: Last words that keep a description a company.
-FINAL_FORMS = "company corporation corp inc llc ltd plc ag nv".split()
+FINAL_FORMS = (
+    "company", "corporation", "corp", "inc", "llc", "ltd", "plc", "ag", "nv",
+)
 #: Last words and markers of funds.
-FUND_LAST = "FUND ETF TRUST INDEX MUTUAL BOND FOND".split()
-FUND_MARKERS = "FUND FUNDO FONDOS FONDO FOND RENTE".split()
+FUND_LAST = (
+    "FUND", "ETF", "TRUST", "INDEX", "MUTUAL", "BOND", "FOND",
+)
+FUND_MARKERS = (
+    "FUND", "FUNDO", "FONDOS", "FONDO", "FOND", "RENTE",
+)
 
 
 def _words(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern), lambda t: t != "")
 
 
-def _any_of(tokens: Column, words: list[str]) -> Column:
+def _any_of(tokens: Column, words: tuple[str, ...] | list[str]) -> Column:
     return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
 
 
@@ -58,7 +73,7 @@ def is_fund_name(name: Column) -> Column:
     rule = (
         F.when(F.size(tokens) == 0, False)
         .when(last == "ETN", False)
-        .when(last.isin(FUND_LAST), True)
+        .when(last.isin(*FUND_LAST), True)
         .when(F.startswith(key, F.lit("fund")) | F.endswith(key, F.lit("qpsc")), True)
         .when(F.array_contains(tokens, "QPSC"), True)
         .when(F.array_contains(tokens, "COLL") & F.regexp_like(text, F.lit(r"\p{Nd}")), True)
@@ -75,7 +90,7 @@ def is_company_name(name: Column) -> Column:
     tokens, low = F.transform(raw, F.upper), F.transform(raw, F.lower)
     last, product = _last(tokens), is_product_label(text)
     suffix = _any_of(tokens, COMPANY_SUFFIXES)
-    vehicle = ~F.lower(last).isin(FINAL_FORMS) & ((F.size(F.filter(low, lambda t: t.isin(VEHICLE_WORDS))) >= 3) | (F.startswith(F.lower(last), F.lit("reg")) & (F.size(low) > 1)))
+    vehicle = ~F.lower(last).isin(*FINAL_FORMS) & ((F.size(F.filter(low, lambda t: t.isin(*VEHICLE_WORDS))) >= 3) | (F.startswith(F.lower(last), F.lit("reg")) & (F.size(low) > 1)))
     rule = (
         F.when(F.coalesce(text, F.lit("")) == "", False)
         .when(is_fund_name(text), False)

@@ -1,25 +1,78 @@
-"""HTML to Markdown, SGML wrappers and text blocks: stateful parsing in Arrow batches."""
+"""HTML to Markdown, wrapped filings and text blocks, parsed in Arrow batches.
+
+A page becomes an element tree first. The tree is then folded from its leaves:
+every element turns into text once all its children have, so depth costs no
+recursion.
+"""
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import chain
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SIGNS = {"b": "**", "strong": "**", "i": "*", "em": "*", "u": "*"}
-_OPEN = {"span": " ", "br": "\n", "p": "\n\n", "div": "\n\n", "ul": "\n", "ol": "\n", "li": "- "}
-_CLOSE = {"span": " ", "p": "\n\n", "div": "\n\n", "li": "\n"}
+#: Markdown around an element; emphasis around nothing is left out.
+EMPHASIS = {"b": "**", "strong": "**", "i": "*", "em": "*", "u": "*"}
+AROUND = {"span": (" ", " "), "br": ("\n", ""), "p": ("\n\n", "\n\n"), "div": ("\n\n", "\n\n"), "ul": ("\n", ""), "ol": ("\n", ""), "li": ("- ", "\n")}
+#: Elements without content.
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+#: Elements that an opening tag closes, and the one that holds them.
+CLOSED_BY = {"td": (("td", "th"), "table"), "th": (("td", "th"), "table"), "tr": (("tr",), "table")}
+
+
+class _Tree(HTMLParser):
+    """The page as an ElementTree under one root."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__()
+        self.root = ElementTree.Element("page")
+        self.path = [self.root]
+        self.feed(html)
+        self.close()
+        for node in self.path:
+            if node.tag == "table":  # never closed: nothing of it counts
+                node.clear()
+
+    def _leave(self, tags, within: str | None = None) -> None:
+        """Closes the innermost open element of these tags, unless ``within`` is open inside it."""
+        for depth in range(len(self.path) - 1, 0, -1):
+            if self.path[depth].tag in tags:
+                del self.path[depth:]
+                return
+            if self.path[depth].tag == within:
+                return
 
+    def handle_starttag(self, tag, attrs):
+        if tag in CLOSED_BY:
+            self._leave(*CLOSED_BY[tag])
+        node = ElementTree.SubElement(self.path[-1], tag, {k: v or "" for k, v in attrs})
+        if tag not in VOID:
+            self.path.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.path.pop()
+
+    def handle_endtag(self, tag):
+        self._leave((tag,))
+
+    def handle_data(self, data):
+        here = self.path[-1]
+        if len(here):
+            here[-1].tail = (here[-1].tail or "") + data
+        else:
+            here.text = (here.text or "") + data
 
-def _span(attrs: dict, name: str) -> int:
-    try:
-        return max(1, min(1000, int(attrs.get(name) or 1)))
-    except ValueError:
-        return 1
+
+def _span(node, name: str) -> int:
+    text = node.get(name, "").strip()
+    return min(1000, max(1, int(text))) if re.fullmatch("[0-9]{1,9}", text) else 1
 
 
 def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
@@ -39,118 +92,100 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
     return [[taken.get((r, c), "") for c in range(width[r])] for r in range(height)]
 
 
-class _Writer(HTMLParser):
-    """Collects output in nested buffers: the page, then one per open table cell."""
+def _parts(table, tags: tuple[str, ...]) -> list:
+    """Elements of these tags inside an element, in order, those of inner tables left out."""
+    found, todo = [], list(reversed(table))
+    while todo:
+        node = todo.pop()
+        if node.tag in tags:
+            found.append(node)
+        elif node.tag != "table":
+            todo += reversed(node)
+    return found
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.buffers: list[list[str]] = [[]]
-        self.tables: list[dict] = []
-        self.marks: list[list] = []
-        self.hidden = 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag == "script":
-            self.hidden += 1
-        elif tag in _SIGNS:
-            self.marks.append([_SIGNS[tag], False, len(self.buffers[0])])
-            self.buffers[0].append(_SIGNS[tag])
-        elif tag == "table":
-            self.tables.append({"rows": [], "row": None, "cell": None})
-        elif tag == "tr" and self.tables:
-            self.tables[-1]["row"] = []
-        elif tag in ("td", "th") and self.tables:
-            self.tables[-1]["cell"] = ([], dict(attrs))
-        elif tag in _OPEN:
-            self.buffers[0].append(_OPEN[tag])
+def _table(table, plain: dict) -> str:
+    """A pipe table: the first row is its head, cells are plain text."""
+    cells = lambda row: [(plain[c].strip(), _span(c, "colspan"), _span(c, "rowspan")) for c in _parts(row, ("td", "th"))]
+    grid = _grid([cells(row) for row in _parts(table, ("tr",))])
+    if not grid or not grid[0]:
+        return ""
+    wide = len(grid[0])
+    lines = [grid[0], ["---"] * wide, *(row + [""] * (wide - len(row)) for row in grid[1:])]
+    return "\n" + "".join(f"| {' | '.join(line)} |\n" for line in lines)
 
-    def handle_endtag(self, tag):
-        page = self.buffers[0]
-        if tag == "script":
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in _SIGNS:
-            sign = _SIGNS[tag]
-            if not self.marks or self.marks[-1][0] != sign:
-                page.append(sign)
-                return
-            _, used, at = self.marks.pop()
-            if used:
-                page.append(sign)
-            elif at == len(page) - 1:
-                page.pop()
-        elif tag in ("td", "th") and self.tables:
-            t = self.tables[-1]
-            if t["row"] is not None and t["cell"] is not None:
-                text, attrs = t["cell"]
-                t["row"].append(("".join(text).strip(), _span(attrs, "colspan"), _span(attrs, "rowspan")))
-            t["cell"] = None
-        elif tag == "tr" and self.tables:
-            t = self.tables[-1]
-            if t["row"] is not None:
-                t["rows"].append(t["row"])
-            t["row"] = None
-        elif tag == "table" and self.tables:
-            grid = _grid(self.tables.pop()["rows"])
-            if grid:
-                head, *body = grid
-                lines = [head, ["---"] * len(head)] if head else []
-                lines += [row + [""] * (len(head) - len(row)) for row in body]
-                page.append("\n" + "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n")
-        elif tag in _CLOSE:
-            page.append(_CLOSE[tag])
 
-    def handle_data(self, data):
-        if self.hidden:
-            return
-        if data.strip():
-            for mark in self.marks:
-                mark[1] = True
-        cell = self.tables[-1]["cell"] if self.tables else None
-        (cell[0] if cell else self.buffers[0]).append(data)
+def _shown(node, inner: str) -> str:
+    if node.tag in EMPHASIS:
+        sign = EMPHASIS[node.tag]
+        return f"{sign}{inner}{sign}" if inner.strip() else inner
+    before, after = AROUND.get(node.tag, ("", ""))
+    return before + inner + after
 
 
 def to_markdown(html: str) -> str:
-    writer = _Writer()
-    writer.feed(html)
-    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(writer.buffers[0]).strip()))
-    return "\n".join(line.rstrip() for line in text.strip().splitlines() if set(line.strip()) != {"*"}).strip()
+    """Markdown of a page: scripts dropped, at most one blank line in a row, no blanks at line ends.
 
+    A table within a table's cell stands before the outer one.
+    """
+    root = _Tree(html).root
+    shown, plain, inner_tables = {}, {}, {}
+    # the reverse of document order meets every element after all its descendants
+    for node in reversed(list(root.iter())):
+        text = node.text or ""
+        tables = "".join(inner_tables.pop(c) for c in node)
+        pick = lambda of: text + "".join(chain.from_iterable((of[c], c.tail or "") for c in node))  # noqa: B023, E731
+        plain[node] = "" if node.tag in ("script", "table") else pick(plain)
+        if node.tag == "script":
+            shown[node], tables = "", ""
+        elif node.tag == "table":
+            tables = shown[node] = tables + _table(node, plain)
+        else:
+            shown[node] = _shown(node, pick(shown))
+        inner_tables[node] = tables
+    lines = "\n".join(line.rstrip() for line in shown[root].splitlines())
+    return re.sub(r"\n{3,}", "\n\n", lines).strip()
 
-_PART = re.compile(r"<document>(.*?)</document>", re.I | re.S)
-_MEMBER = re.compile(r"<([^<>/\s]+)>(.*?)</\1>", re.I | re.S)
+
+_DOCUMENT = re.compile(r"<document>(.*?)(?:</document>|\Z)", re.I | re.S)
+_BODY = re.compile(r"<text>(.*?)(?:</text>|\Z)", re.I | re.S)
+
+
+def _header(document: str, name: str) -> str:
+    """Value of a header line, with or without a closing tag."""
+    found = re.search(rf"<{name}>([^<\r\n]*)", document, re.I)
+    return found.group(1).strip() if found else ""
+
+
+def _section(document: str) -> str:
+    description, body = _header(document, "description"), _BODY.search(document)
+    title = f"### {_header(document, 'filename') or 'unknown'} (sequence {_header(document, 'sequence')})\n"
+    return title + (f"Description: {description}\n" if description else "") + (to_markdown(body.group(1)) if body else "") + "\n---"
 
 
 def wrapped_to_markdown(text: str) -> str:
-    """Every part of type XML of an SGML wrapper under a heading; other pages as they are."""
-    low = text.lower()
-    if "<document>" not in low or "<type>xml" not in low:
-        return to_markdown(text)
-    out = []
-    for part in _PART.findall(text):
-        member = {k.strip().lower(): v.strip() for k, v in _MEMBER.findall(part)}
-        if member.get("type", "").upper() == "XML":
-            out.append(f"### {member.get('filename', 'unknown')} (sequence {member.get('sequence', '')})")
-            out += [f"Description: {member['description']}"] if member.get("description") else []
-            out += [to_markdown(member.get("text", "")), "---"]
-    if out:
-        return "\n".join(out).strip()
-    body = re.search(r"<text>(.*)</text>", (_PART.search(text) or ["", ""])[1] if _PART.search(text) else "", re.I | re.S)
-    return (to_markdown(body.group(1)) if body else "") or to_markdown(text)
+    """Every document of type XML of a wrapped filing as a section of its own.
+
+    Without one, the body of the first document, else the text as a page.
+    """
+    documents = _DOCUMENT.findall(text)
+    sections = [_section(d) for d in documents if _header(d, "type").upper() == "XML"]
+    if sections:
+        return "\n".join(sections)
+    body = _BODY.search(documents[0]) if documents else None
+    return to_markdown(body.group(1) if body and body.group(1).strip() else text)
 
 
 def textblocks_to_markdown(xml: str) -> str:
-    """The text of every element whose name holds 'textblock' as Markdown; the rest unchanged."""
+    """The content of every element whose name holds 'textblock' as Markdown; the rest unchanged."""
     root = ElementTree.fromstring(xml)
-    for node in root.iter():
-        if "textblock" not in node.tag.rpartition("}")[2].lower():
-            continue
-        inner = (node.text or "") + "".join(ElementTree.tostring(child, encoding="unicode", method="html") for child in node)
-        if inner.strip():
-            attributes, tail = dict(node.attrib), node.tail
-            node.clear()
-            node.attrib.update(attributes)
-            node.text, node.tail = to_markdown(inner.strip()), tail
-    return ElementTree.tostring(root, encoding="unicode")
+    blocks = [n for n in root.iter() if "textblock" in n.tag.partition("}")[2].lower() or "}" not in n.tag and "textblock" in n.tag.lower()]
+    for block in reversed(blocks):
+        html = (block.text or "") + "".join(ElementTree.tostring(c, "unicode", "html") for c in block)
+        if html.strip():
+            block[:] = []
+            block.text = to_markdown(html)
+    return ElementTree.tostring(root, "unicode")
 
 
 def _column(convert):

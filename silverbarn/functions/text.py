@@ -32,8 +32,9 @@ def strip_state(name: Column, state: Column) -> Column:
 
 #: Tokens without meaning for the identity of an issuer.
 FILLER = (
-    "company co corp corporation inc ltd limited llc plc nv sa ag gmbh ab spac group adr hold holding holdings et expl p g cl a pg"
-).split()
+    "company", "co", "corp", "corporation", "inc", "ltd", "limited", "llc", "plc", "nv", "sa", "ag", "gmbh", "ab", "spac", "group", "adr", "hold",
+    "holding", "holdings", "et", "expl", "p", "g", "cl", "a", "pg",
+)
 
 
 def name_key(name: Column) -> Column:
@@ -41,7 +42,7 @@ def name_key(name: Column) -> Column:
     spaced = F.lower(F.regexp_replace(name, "(?<=[a-z])(?=[A-Z])", " "))
     words = F.trim(F.regexp_replace(spaced, r"[^\p{L}\p{N}_]+", " "))
     joined = F.regexp_replace(words, r"(?<=(^| )[\p{L}\p{N}_]) (?=[\p{L}\p{N}_]( |$))", "")
-    return F.array_join(F.filter(F.split(joined, " "), lambda t: (t != "") & ~t.isin(FILLER)), "-")
+    return F.array_join(F.filter(F.split(joined, " "), lambda t: (t != "") & ~t.isin(*FILLER)), "-")
 
 
 def names_match(left: Column, right: Column) -> Column:
@@ -83,13 +84,12 @@ def isin(text: Column) -> Column:
 
 
 #: Listing suffixes and the market they stand for.
-SUFFIX_MARKET = dict(
-    pair.split("=")
-    for pair in (
-        "KS=XKRX KQ=XKOS HK=XHKG TW=XTAI TWO=ROCO JP=XTKS TO=XTSE V=XTSX NE=NEOE AX=XASX NZ=XNZE NX=ENX T=XTKS SA=BVMF L=XLON IL=XLON PA=XPAR F=XFRA "
-        "BE=XBER DU=XDUS MU=XMUN HA=XHAM DE=XFRA SG=XSES MI=XMIL AS=XAMS BR=XBRU VI=XWBO LS=XLIS IR=XDUB HE=XHEL CO=XCSE HM=XHAM SS=XSHG SZ=XSHE KL=XKLS"
-    ).split()
-)
+SUFFIX_MARKET = {
+    "KS": "XKRX", "KQ": "XKOS", "HK": "XHKG", "TW": "XTAI", "TWO": "ROCO", "JP": "XTKS", "TO": "XTSE", "V": "XTSX", "NE": "NEOE", "AX": "XASX",
+    "NZ": "XNZE", "NX": "ENX", "T": "XTKS", "SA": "BVMF", "L": "XLON", "IL": "XLON", "PA": "XPAR", "F": "XFRA", "BE": "XBER", "DU": "XDUS",
+    "MU": "XMUN", "HA": "XHAM", "DE": "XFRA", "SG": "XSES", "MI": "XMIL", "AS": "XAMS", "BR": "XBRU", "VI": "XWBO", "LS": "XLIS", "IR": "XDUB",
+    "HE": "XHEL", "CO": "XCSE", "HM": "XHAM", "SS": "XSHG", "SZ": "XSHE", "KL": "XKLS",
+}
 
 
 def suffix_market(text: Column) -> Column:
@@ -156,20 +156,26 @@ def accession_url(base: str, cik_text: Column, accession: Column) -> Column:
 
 #: What a filing's directory holds besides its documents.
 IGNORED_FILES = ("metalink.json", "metalinks.json", "filingsummary.xml")
-IGNORED_ENDINGS = "_def.xml _pre.xml _cal.xml _lab.xml .css .js .png .jpg .jpeg .gif .svg .ico .map .woff .ttf .eot .mp4 .jsonld .webmanifest .rdf .xsd".split()
+IGNORED_ENDINGS = (
+    "_def.xml", "_pre.xml", "_cal.xml", "_lab.xml", ".css", ".js", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".map", ".woff", ".ttf", ".eot",
+    ".mp4", ".jsonld", ".webmanifest", ".rdf", ".xsd",
+)
 ATTACHMENTS = (".pdf", ".xlsx", ".xslx", ".xls")
 
 
+def _ends_in(endings: tuple[str, ...]) -> Column:
+    return F.lit("(" + "|".join(e.replace(".", r"\.") for e in endings) + ")$")
+
+
 def ignorable_file(accession: Column, file_name: Column) -> Column:
     """The filing's own text, known side files, linkbases and page furniture."""
     low = F.lower(file_name)
-    endings = "(" + "|".join(e.replace(".", r"\.") for e in IGNORED_ENDINGS) + ")$"
     own = (low == F.concat(F.lower(accession), F.lit(".txt"))) | (low == F.concat(digits(accession), F.lit(".txt")))
-    return F.coalesce(own | low.isin(*IGNORED_FILES) | F.regexp_like(low, F.lit(endings)), F.lit(False))
+    return F.coalesce(own | low.isin(*IGNORED_FILES) | F.regexp_like(low, _ends_in(IGNORED_ENDINGS)), F.lit(False))
 
 
 def is_attachment(file_name: Column) -> Column:
-    return F.coalesce(F.regexp_like(F.lower(file_name), F.lit(r"\.(pdf|xlsx|xslx|xls)$")), F.lit(False))
+    return F.coalesce(F.regexp_like(F.lower(file_name), _ends_in(ATTACHMENTS)), F.lit(False))
 
 
 def is_xbrl_file(file_name: Column) -> Column:

@@ -112,6 +112,9 @@ def test_markdown():
     page = "<div><script>x</script><b></b><p><b>Bold</b> and <i>it</i></p><ul><li>one</li></ul><table><tr><th>a</th><th>b</th></tr><tr><td rowspan=2>1</td><td>2</td></tr><tr><td>3</td></tr></table></div>"
     assert markdown.to_markdown(page) == "**Bold** and *it*\n\n- one\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n|  | 3 |"
     assert markdown.to_markdown("") == "" and markdown.to_markdown("<table><tr><td colspan=x>q</td></tr>") == ""
+    assert markdown.to_markdown("<p>a<p>b<table><tr><td>1<td><i>2</i><tr><td><table><tr><td>in</td></tr></table></table>c") == "a\n\nb\n| in |\n| --- |\n\n| 1 | 2 |\n| --- | --- |\n|  |  |\nc"
+    assert markdown.to_markdown("<b>" * 5000 + "x") == "**" * 5000 + "x" + "**" * 5000 and markdown.to_markdown("a </b>&amp; b<br>c") == "a & b\nc"
+    assert markdown.wrapped_to_markdown("<document>\n<type>10-K\n<text><p>k</p></text></document>") == "k" == markdown.wrapped_to_markdown("<p>k")
     sgml = "<DOCUMENT><TYPE>XML</TYPE><FILENAME>r.htm</FILENAME><SEQUENCE>2</SEQUENCE><TEXT><p>hi</p></TEXT></DOCUMENT>"
     assert markdown.wrapped_to_markdown(sgml) == "### r.htm (sequence 2)\nhi\n---"
     assert "**x**" in markdown.textblocks_to_markdown("<r><PolicyTextBlock id='1'>&lt;b&gt;x&lt;/b&gt;</PolicyTextBlock><o>1</o></r>")

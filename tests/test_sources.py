@@ -86,7 +86,8 @@ def test_xbrl_star(spark):
     star = archives.star(parsed)
     joined = star["facts"].join(star["contexts"].drop("accession"), "context_id").join(star["units"].drop("accession"), "unit_id").collect()
     assert len(joined) == 2 and {r.measure for r in joined} == {"USD"}
-    assert archives.unit_of(["x:shares"]) == "shares" and archives.unit_of(["m"]) == "m" and archives.unit_of([]) is None
+    units = spark.createDataFrame([(0, ["x:shares"]), (1, ["m", "ISO4217:usd"]), (2, ["m", "n"]), (3, []), (4, None)], "i int, m array<string>")
+    assert [r.u for r in units.orderBy("i").select(archives.unit_of(F.col("m")).alias("u")).collect()] == ["shares", "USD", "m", None, None]
 
 
 def test_catalog_sources_and_cli(spark, tmp_path):
