@@ -4,7 +4,9 @@
 pre-order and a post-order number: node A encloses node B exactly if
 A.pre < B.pre and B.post < A.post. The tables per type are selections of
 nodes by tag; a child finds its parent by containment, with no key copied
-into it during the walk.
+into it during the walk. A tree lies in one record, so ``enclosing`` links the
+nodes of a record where it is walked, without a shuffle; ``link`` does the same
+for node tables that were stored.
 
 Tags are key paths (``filings.recent.form``). The elements of a list carry the
 list's own path and their place; the list node itself has ``[]`` appended. A
@@ -15,15 +17,14 @@ element, at place 0.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from silverbarn.session import cut_lineage
-
 NODE_SCHEMA = "tree string, tag string, kind string, pre bigint, post bigint, pos bigint, value string"
 
 
@@ -31,10 +32,13 @@ def walk(document: str) -> list[tuple[str, str, int, int, int, str | None]] | No
     """(tag, kind, pre, post, pos, value) of every node in pre-order; None if the text is no JSON object.
 
     Iterative, so depth is limited only by the parser; a text the parser
-    rejects, for depth as for syntax, is unreadable.
+    rejects, for depth as for syntax, is unreadable. A document that is a JSON
+    text holding a document is read through, however often it is wrapped.
     """
+    root = document
     try:
-        root = json.loads(document)
+        while isinstance(root, str):
+            root = json.loads(root)
     except (ValueError, TypeError, RecursionError):
         return None
     if not isinstance(root, dict):
@@ -115,14 +119,105 @@ def link(parents: DataFrame, children: DataFrame) -> DataFrame:
     )
 
 
+Node = tuple[str, str, int, int, int, str | None]
+Child = tuple[str, str | None, int, str]
+_PRE, _POST, _POS, _VALUE = 2, 3, 4, 5
+
+
+class NodeTables:
+    """The nodes of one record by tag, each table in pre-order."""
+
+    def __init__(self, nodes: list[Node]):
+        self.by_tag: dict[str, list[Node]] = {}
+        for node in nodes:
+            self.by_tag.setdefault(node[0], []).append(node)
+
+    def of(self, tag: str, *kinds: str) -> list[Node]:
+        return [n for n in self.by_tag.get(tag, ()) if n[1] in kinds]
+
+
+def enclosing(parents: list[Node], children: list[Node]) -> Iterator[tuple[Node, Node]]:
+    """(parent, child) of every child whose interval lies within a parent's.
+
+    ``parents`` is in pre-order and of a type that does not nest in itself, so
+    the only candidate is the last one opened before the child.
+    """
+    opened = [p[_PRE] for p in parents]
+    for child in children:
+        k = bisect_left(opened, child[_PRE]) - 1
+        if k >= 0 and child[_POST] < parents[k][_POST]:
+            yield parents[k], child
+
+
 def plain_accession(accession: Column) -> Column:
     return F.regexp_replace(accession, "-", "")
 
 
-def _named(nodes: DataFrame, kind: str, tag: str) -> DataFrame:
+def _named(t: NodeTables, kind: str, tag: str) -> list[Child]:
     """Objects of a tag with the text of their member ``name``."""
-    found = link(nodes_of(nodes, tag, "object"), nodes_of(nodes, f"{tag}.name", "text"))
-    return found.select("tree", F.lit(kind).alias("kind"), F.col("parent_pos").alias("pos"), F.col("value").alias("child_key"))
+    return [(kind, None, p[_POS], c[_VALUE]) for p, c in enclosing(t.of(tag, "object"), t.of(f"{tag}.name", "text"))]
+
+
+_PLACES = tuple(f"filings.recent.{m}" for m in ("accessionNumber", "form", "filingDate"))
+
+
+def _filings(t: NodeTables) -> list[Child]:
+    rows = t.of("filings.recent", "object")
+    # in a list of objects the place is that of the enclosing object, in parallel lists it is the value's own
+    in_list = bool(t.by_tag.get("filings.recent[]"))
+    found: list[dict[int, str | None]] = []
+    for tag in _PLACES:
+        linked = enclosing(rows, t.of(tag, "text", "other", "null"))
+        found.append({(p[_POS] if in_list else c[_POS]): c[_VALUE] for p, c in linked})
+    accessions, forms, days = found
+    first: dict[str, int] = {}
+    for place in sorted(accessions.keys() & forms.keys() & days.keys()):
+        plain = (accessions[place] or "").replace("-", "")
+        if accessions[place]:
+            first.setdefault(plain, place)
+    return [("filing", None, place, plain) for plain, place in first.items()]
+
+
+def submission_tables(document: str) -> list[Child] | None:
+    """(kind, None, place, key) of the tickers, former names, filing pages and filings of a payload; None if unreadable."""
+    nodes = walk(document)
+    if nodes is None:
+        return None
+    t = NodeTables(nodes)
+    tickers = [("ticker", None, n[_POS], n[_VALUE]) for n in t.of("tickers", "text", "other")]
+    return tickers + _named(t, "former_name", "formerNames") + _named(t, "page", "filings.files") + _filings(t)
+
+
+def file_tables(document: str) -> list[Child] | None:
+    """(kind, name of the file for a member, place, key) of the files and archive members of an index entry."""
+    nodes = walk(document)
+    if nodes is None:
+        return None
+    t = NodeTables(nodes)
+    files = list(enclosing(t.of("files", "object"), t.of("files.name", "text")))
+    name = {p[_PRE]: c[_VALUE] for p, c in files}
+    members = list(enclosing(t.of("files.members", "object"), t.of("files.members.name", "text")))
+    owner = {c[_PRE]: p[_PRE] for p, c in enclosing([p for p, _ in files], [c for _, c in members])}
+    out: list[Child] = [("file", None, p[_POS], c[_VALUE]) for p, c in files]
+    return out + [("member", name[owner[c[_PRE]]], p[_POS], c[_VALUE]) for p, c in members if c[_PRE] in owner]
+
+
+_CHILD = "struct<kind:string,owner:string,pos:bigint,child_key:string>"
+_CHILDREN = pa.list_(pa.struct([("kind", pa.string()), ("owner", pa.string()), ("pos", pa.int64()), ("child_key", pa.string())]))
+
+
+def _tables(make: Callable[[str], list[Child] | None]) -> Callable:
+    """Batches with the children of the last column instead of its text; unreadable records go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [make(text) for text in batch.columns[-1].to_pylist()]
+            keep = pa.array([m is not None for m in made], pa.bool_())
+            kept = batch.filter(keep)
+            rows = [[dict(zip(("kind", "owner", "pos", "child_key"), c)) for c in m] for m in made if m is not None]
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(rows, _CHILDREN)], [*kept.schema.names[:-1], "children"])
+
+    return run
 
 
 def submission_children(submissions: DataFrame) -> DataFrame:
@@ -132,71 +227,29 @@ def submission_children(submissions: DataFrame) -> DataFrame:
     tickers and names are no children. A filing exists at every place that
     accessionNumber, form and filingDate all reach, in parallel lists, in a
     list of objects and as single values; of places with one accession the
-    first counts.
+    first counts. Of payloads fetched in one microsecond the greater text
+    counts. One shuffle by cik, after all but the latest payload of a task
+    have been dropped.
     """
-    rows = submissions.where(F.col("cik").isNotNull() & F.col("payload").isNotNull()).select("cik", F.col("fetched_at").cast("timestamp").alias("fetched_at"), "payload").distinct()
-    rows = rows.withColumn("tree", F.to_json(F.struct("cik", "fetched_at", F.xxhash64("payload").alias("h"))))
-    wanted = ["", "tickers", "formerNames", "formerNames.name", "filings.files", "filings.files.name", "filings.recent"]
-    places = [f"filings.recent.{m}" for m in ("accessionNumber", "form", "filingDate")]
-    # walked once; the tables per type below read the written nodes
-    nodes = cut_lineage(label_nodes(rows, "tree", "payload").where(F.col("tag").isin(wanted + places)))
-    head = F.from_json("tree", "cik string, fetched_at timestamp, h bigint")
-    latest = (
-        nodes_of(nodes, "", "object")
-        .select("tree", head.alias("t"))
-        .groupBy("t.cik")
-        .agg(F.max_by("tree", F.struct("t.fetched_at", "t.h")).alias("tree"))
-        .select("tree", "cik")
-    )
-    nodes = nodes.join(latest, "tree")
-
-    tickers = nodes_of(nodes, "tickers", "text", "other").select("cik", F.lit("ticker").alias("kind"), "pos", F.col("value").alias("child_key"))
-    by_tree = nodes.drop("cik")
-    named = _named(by_tree, "former_name", "formerNames").unionByName(_named(by_tree, "page", "filings.files")).join(latest, "tree")
-
-    # In a list of objects the place is that of the enclosing object, in parallel lists it is the value's own.
-    members = by_tree.where(F.col("tag").isin(places) & (F.col("kind") != "object"))
-    rows_of = link(nodes_of(by_tree, "filings.recent", "object"), members)
-    in_list = F.max("parent_pos").over(W.partitionBy("tree")) > 0
-    rows_of = rows_of.withColumn("place", F.when(in_list | (F.col("parent_pos") > 0), F.col("parent_pos")).otherwise(F.greatest("parent_pos", "pos")))
-    filings = (
-        rows_of.groupBy("tree", "place")
-        .agg(
-            F.max(F.when(F.col("tag") == places[0], F.col("value"))).alias("accession"),
-            *[F.max((F.col("tag") == p).cast("int")).alias(f"_has{i}") for i, p in enumerate(places)],
-        )
-        .where((F.col("_has0") + F.col("_has1") + F.col("_has2") == 3) & (F.coalesce(F.col("accession"), F.lit("")) != ""))
-        .groupBy("tree", plain_accession(F.col("accession")).alias("child_key"))
-        .agg(F.min("place").alias("pos"))
-        .join(latest, "tree")
-        .select("cik", F.lit("filing").alias("kind"), "pos", "child_key")
-    )
-    out = tickers.unionByName(named.select("cik", "kind", "pos", "child_key")).unionByName(filings)
-    return out.select("kind", F.col("cik").alias("parent_key"), "pos", "child_key")
+    rows = submissions.where(F.col("cik").isNotNull() & F.col("payload").isNotNull())
+    rows = rows.select("cik", F.coalesce(F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(-(2**63))).alias("at"), F.sha2("payload", 256).alias("h"), "payload")
+    walked = rows.mapInArrow(_tables(submission_tables), f"cik string, at bigint, h string, children array<{_CHILD}>")
+    latest = walked.groupBy("cik").agg(F.max_by("children", F.struct("at", "h")).alias("children"))
+    return latest.select("cik", F.inline("children")).select("kind", F.col("cik").alias("parent_key"), "pos", "child_key")
 
 
 def accession_children(index: DataFrame) -> DataFrame:
-    """Files of every accession and archive members of every file, as (kind, parent_key, pos, child_key).
+    """Files of every accession and archive members of every file, as distinct (kind, parent_key, pos, child_key).
 
     Null and empty lists give no rows, a null accession or file name none
-    either; repeated rows are folded before the walk.
+    either; entries are walked where they lie.
     """
-    rows = index.where(F.col("accession").isNotNull()).select(plain_accession(F.col("accession")).alias("tree"), F.to_json(F.struct("files")).alias("text")).distinct()
-    rows = rows.withColumn("tree", F.concat_ws("|", "tree", F.xxhash64("text").cast("string")))
-    nodes = cut_lineage(label_nodes(rows, "tree", "text").where(F.col("tag").isin("files", "files.name", "files.members", "files.members.name")))
-    file_name = nodes_of(nodes, "files.name", "text")
-    files = link(nodes_of(nodes, "files", "object"), file_name)
-    # the file object again, now carrying its name, as the parent of its members
-    owners = nodes_of(nodes, "files", "object").drop("value").join(files.select("tree", F.col("parent_pre").alias("pre"), "value"), ["tree", "pre"])
-    member = link(nodes_of(nodes, "files.members", "object"), nodes_of(nodes, "files.members.name", "text"))
-    member = member.withColumn("pos", F.col("parent_pos")).drop("parent_pre", "parent_pos", "parent_value")
-    member = link(owners.select(*member.columns), member)
-    accession = F.substring_index("tree", "|", 1)
-    return files.select(F.lit("file").alias("kind"), accession.alias("parent_key"), F.col("parent_pos").alias("pos"), F.col("value").alias("child_key")).unionByName(
-        member.select(F.lit("member").alias("kind"), F.concat_ws("/", accession, "parent_value").alias("parent_key"), "pos", F.col("value").alias("child_key"))
-    )
+    rows = index.where(F.col("accession").isNotNull() & F.col("files").isNotNull()).select(plain_accession(F.col("accession")).alias("parent"), F.to_json(F.struct("files")).alias("text"))
+    walked = rows.mapInArrow(_tables(file_tables), f"parent string, children array<{_CHILD}>")
+    parts = walked.select("parent", F.inline("children"))
+    return parts.select("kind", F.concat_ws("/", "parent", "owner").alias("parent_key"), "pos", "child_key").distinct()
 
 
 def nested_tables(submissions: DataFrame, index: DataFrame) -> DataFrame:
-    """Every child of both sources with its parent and place, distinct."""
-    return submission_children(submissions).unionByName(accession_children(index)).distinct()
+    """Every child of both sources with its parent and place, distinct; kinds and keys of the two never meet."""
+    return submission_children(submissions).distinct().unionByName(accession_children(index))

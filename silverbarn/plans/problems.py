@@ -102,4 +102,47 @@ SELECT DISTINCT 'region_provider_map', provider, k, v, strftime(to_timestamp(a)
   CASE WHEN b < 0 THEN '' ELSE strftime(to_timestamp(b) AT TIME ZONE 'UTC', '%Y-%m-%d') END FROM regions
 """
 
-ORACLE = {"p2_found": _P2, "p3_found": _P3}
+_P4 = r"""
+WITH readable AS (
+  SELECT cik, epoch_us(fetched_at) AS us, sha256(payload) AS h,
+    CASE WHEN NOT json_valid(payload) THEN NULL WHEN json_type(payload) = 'OBJECT' THEN cast(payload AS json)
+      WHEN json_type(payload) = 'VARCHAR' AND json_valid(json_extract_string(payload, '$')) AND json_type(json_extract_string(payload, '$')) = 'OBJECT'
+        THEN cast(json_extract_string(payload, '$') AS json) END AS o
+  FROM edgar_submissions WHERE cik IS NOT NULL
+), latest AS (
+  SELECT cik, arg_max(o, row(coalesce(us, -9223372036854775807), h)) AS o FROM readable WHERE o IS NOT NULL GROUP BY cik
+), members(kind, path, key) AS (VALUES ('ticker', '$.tickers', ''), ('former_name', '$.formerNames', '$.name'), ('page', '$.filings.files', '$.name')),
+lists AS (
+  SELECT cik, kind, key, json_extract(o, path) AS v FROM latest, members
+), items AS (
+  SELECT cik, kind, key, CASE json_type(v) WHEN 'ARRAY' THEN cast(v AS json[]) ELSE [v] END AS l FROM lists WHERE v IS NOT NULL
+), children AS (
+  SELECT cik, kind, key, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM items
+), named AS (
+  SELECT kind, cik, pos, CASE WHEN key = '' THEN json_extract_string(x, '$') WHEN json_type(json_extract(x, key)) = 'VARCHAR' THEN json_extract_string(x, key) END AS child_key
+  FROM children WHERE key <> '' OR json_type(x) NOT IN ('OBJECT', 'ARRAY', 'NULL')
+), recent AS (
+  SELECT cik, json_extract(o, '$.filings.recent') AS r FROM latest
+), columns_ AS (
+  SELECT cik, [CASE json_type(v) WHEN 'ARRAY' THEN cast(v AS json[]) ELSE [v] END FOR v IN [json_extract(r, '$.accessionNumber'), json_extract(r, '$.form'), json_extract(r, '$.filingDate')]] AS c
+  FROM recent WHERE json_type(r) = 'OBJECT' AND json_exists(r, '$.accessionNumber') AND json_exists(r, '$.form') AND json_exists(r, '$.filingDate')
+), placed AS (
+  SELECT cik, unnest(c[1][: least(len(c[1]), len(c[2]), len(c[3]))]) AS a, generate_subscripts(c[1][: least(len(c[1]), len(c[2]), len(c[3]))], 1) - 1 AS pos FROM columns_
+  UNION ALL
+  SELECT cik, json_extract(x, '$.accessionNumber'), pos FROM (SELECT cik, unnest(cast(r AS json[])) AS x, generate_subscripts(cast(r AS json[]), 1) - 1 AS pos FROM recent WHERE json_type(r) = 'ARRAY')
+  WHERE json_exists(x, '$.accessionNumber') AND json_exists(x, '$.form') AND json_exists(x, '$.filingDate')
+), filings AS (
+  SELECT 'filing' AS kind, cik, min(pos) AS pos, replace(json_extract_string(a, '$'), '-', '') AS child_key
+  FROM placed WHERE coalesce(json_extract_string(a, '$'), '') <> '' GROUP BY cik, replace(json_extract_string(a, '$'), '-', '')
+), indexed AS (
+  SELECT replace(accession, '-', '') AS accession, unnest(files) AS f, generate_subscripts(files, 1) - 1 AS pos FROM accession_index WHERE accession IS NOT NULL
+), archived AS (
+  SELECT accession || '/' || f.name AS parent, unnest(f.members) AS m, generate_subscripts(f.members, 1) - 1 AS pos FROM indexed WHERE f.name IS NOT NULL
+)
+SELECT DISTINCT kind, cik AS parent_key, pos, child_key FROM named WHERE child_key IS NOT NULL
+UNION ALL SELECT kind, cik, pos, child_key FROM filings
+UNION SELECT 'file', accession, pos, f.name FROM indexed WHERE f.name IS NOT NULL
+UNION SELECT 'member', parent, pos, m.name FROM archived WHERE m.name IS NOT NULL
+"""
+
+ORACLE = {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4}

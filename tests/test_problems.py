@@ -88,6 +88,24 @@ def test_submissions_of_every_shape(spark):
     assert nested.submission_children(df.limit(0)).count() == 0
 
 
+def test_payloads_wrapped_as_text_and_fetched_within_a_millisecond(spark):
+    wrap = lambda o, n: o if n == 0 else wrap(json.dumps(o), n - 1)
+    t = datetime(2026, 1, 1, 0, 0, 0, 5)
+    rows = [("1", t, wrap({"tickers": "NEW"}, 2)), ("1", t - timedelta(microseconds=1), wrap({"tickers": "OLD"}, 1)), ("2", None, wrap({"tickers": "X"}, 3)), ("3", t, '"plain text"'), ("3", t, '""'), ("3", t, "7")]
+    got = {tuple(r) for r in nested.submission_children(spark.createDataFrame(rows, "cik string, fetched_at timestamp, payload string")).collect()}
+    assert got == {("ticker", "1", 0, "NEW"), ("ticker", "2", 0, "X")}
+
+
+def test_containment_links_as_the_stored_tables_do(spark):
+    doc = json.dumps({"files": [{"name": "a", "members": [{"name": "x"}, {"size": 1}]}, {"members": {"name": "y"}}, {"name": "b", "members": []}]})
+    t = nested.NodeTables(nested.walk(doc))
+    near = {(p[2], c[5]) for p, c in nested.enclosing(t.of("files", "object"), t.of("files.members.name", "text"))}
+    nodes = nested.label_nodes(spark.createDataFrame([("t", doc)], "tree string, text string"), "tree", "text")
+    stored = nested.link(nested.nodes_of(nodes, "files", "object"), nested.nodes_of(nodes, "files.members.name", "text"))
+    assert near == {(r.parent_pre, r.value) for r in stored.collect()} and len(near) == 2
+    assert nested.file_tables(doc) == [("file", None, 0, "a"), ("file", None, 2, "b"), ("member", "a", 0, "x")]
+
+
 def test_files_and_members(spark):
     kind = "cik string, accession string, base_url string, fetched_at timestamp, files array<struct<name: string, type: string, size: string, last_modified: string, members: array<struct<name: string, size: bigint>>>>"
     f = lambda n, m: (n, None, None, None, m)
