@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from silverbarn.operators.survivor import NO_PRIORITY, NO_STALENESS
+#: Rank and staleness in days of a provider without a rule.
+NO_PRIORITY = 999
+NO_STALENESS = 36500
 
 
 def best_provider(

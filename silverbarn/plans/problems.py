@@ -4,25 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silverbarn.operators import history, nested, outliers, survivor
+from silverbarn.operators import history, nested, outliers
 from silverbarn.session import table
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivor.survivors(table(spark, sf_dir, "candles_raw"), table(spark, sf_dir, "provider_priority"))
-
-
-def p2_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every value of close and adj_close judged true by the two-sided source quality model."""
-    judged, _ = survivor.truth_model(table(spark, sf_dir, "candles_raw"))
-    return judged
-
-
-def p2_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, quality = survivor.truth_model(table(spark, sf_dir, "candles_raw"))
-    return quality
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.mapping_history(table(spark, sf_dir, "provider_entity_map"), table(spark, sf_dir, "region_provider_map"))
 
@@ -35,37 +20,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.implausible(table(spark, sf_dir, "candles_raw"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_truth, p2_source_quality, p3_found, p4_found, p5_found)}
-
-_P2 = """
-WITH rule AS (
-  SELECT provider_id, instrument_type, min(coalesce(priority, 999)) AS p FROM provider_priority GROUP BY ALL
-), ruled AS (
-  SELECT r.provider_id, r.instrument_type, r.p, max(coalesce(q.staleness_days, 36500)) AS s
-  FROM rule r JOIN provider_priority q ON q.provider_id = r.provider_id
-    AND q.instrument_type IS NOT DISTINCT FROM r.instrument_type AND coalesce(q.priority, 999) = r.p
-  GROUP BY ALL
-), bars AS (
-  SELECT c.*, CASE split_part(canonical_id, ':', 1) WHEN 'sec' THEN 'security' WHEN 'fx' THEN 'currency_pair'
-    ELSE split_part(canonical_id, ':', 1) END AS kind FROM candles_raw c
-), trusted AS (
-  SELECT b.*, coalesce(t.p, d.p, 999) AS prio,
-    CASE WHEN date '2026-07-01' - b.start_ts > coalesce(t.s, d.s, 36500) THEN 1 ELSE 0 END AS stale
-  FROM bars b
-  LEFT JOIN ruled t ON t.provider_id = b.provider_id AND t.instrument_type = b.kind
-  LEFT JOIN ruled d ON d.provider_id = b.provider_id AND d.instrument_type IS NULL
-), ranked AS (
-  SELECT canonical_id, start_ts, bar_id, close, adj_close, volume,
-    row_number() OVER (PARTITION BY canonical_id, start_ts
-      ORDER BY prio, stale, ingested_at DESC NULLS LAST, provider_id, bar_id) AS r
-  FROM trusted
-)
-SELECT canonical_id, strftime(start_ts, '%Y-%m-%d') AS bar_date,
-  coalesce(arg_min(bar_id, r) FILTER (close IS NOT NULL), 0) AS close_bar_id,
-  coalesce(arg_min(bar_id, r) FILTER (adj_close IS NOT NULL), 0) AS adj_close_bar_id,
-  coalesce(arg_min(bar_id, r) FILTER (volume IS NOT NULL), 0) AS volume_bar_id
-FROM ranked GROUP BY canonical_id, start_ts HAVING count(*) >= 2
-"""
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found)}
 
 _P3 = r"""
 WITH parsed AS (
@@ -145,4 +100,4 @@ UNION SELECT 'file', accession, pos, f.name FROM indexed WHERE f.name IS NOT NUL
 UNION SELECT 'member', parent, pos, m.name FROM archived WHERE m.name IS NOT NULL
 """
 
-ORACLE = {"p2_found": _P2, "p3_found": _P3, "p4_found": _P4}
+ORACLE = {"p3_found": _P3, "p4_found": _P4}

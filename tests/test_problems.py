@@ -1,4 +1,4 @@
-"""Survivors, nested tables and outliers on small inputs."""
+"""Nested tables and outliers on small inputs."""
 
 import json
 from datetime import date, datetime, timedelta
@@ -7,58 +7,15 @@ import brute
 import numpy as np
 from pyspark.sql import functions as F
 
-from silverbarn.operators import nested, outliers, survivor
+from silverbarn.operators import nested, outliers
 
 BAR = "bar_id bigint, canonical_id string, start_ts date, adj_close double, close double, volume double, provider_id int, ingested_at timestamp"
-PRIORITY = "provider_id int, instrument_type string, priority int, staleness_days int"
 
 
 def _bar(i, cid, day, close, provider, hour, adj=None, volume=None):
     return (i, cid, day, adj, close, volume, provider, datetime(2026, 6, 1, hour))
 
 
-def test_survivor_order_of_preference(spark):
-    day = date(2026, 6, 1)
-    bars = [
-        _bar(1, "sec:x", day, 1.0, 1, 1),
-        _bar(2, "sec:x", day, None, 2, 2, adj=5.0),
-        _bar(3, "sec:x", day, 3.0, 2, 1),
-        _bar(4, "fx:a", day, 1.0, 9, 3),
-        _bar(5, "fx:a", day, 2.0, 9, 3),
-        _bar(6, "fx:b", day, 2.0, 9, 3),
-        _bar(7, "etf:s", date(2020, 1, 1), 1.0, 3, 9),
-        _bar(8, "etf:s", date(2020, 1, 1), 1.0, 4, 1),
-    ]
-    rules = [(1, None, 10, None), (2, "security", 5, 30), (2, "security", 5, 400), (2, None, 50, 1), (3, None, 7, 30), (4, None, 7, None)]
-    got = {r.canonical_id: (r.close_bar_id, r.adj_close_bar_id, r.volume_bar_id) for r in survivor.survivors(spark.createDataFrame(bars, BAR), spark.createDataFrame(rules, PRIORITY)).collect()}
-    assert got == {"sec:x": (3, 2, 0), "fx:a": (4, 0, 0), "etf:s": (8, 0, 0)}
-
-
-def test_survivor_nulls_empty_and_clashing_columns(spark):
-    bars = spark.createDataFrame([(1, None, None, 1.0, 1.0, 1.0, None, None), (2, None, None, 1.0, None, 1.0, 1, datetime(2026, 1, 1))], BAR)
-    rules = spark.createDataFrame([], PRIORITY)
-    row = survivor.survivors(bars.withColumns({"_rank": F.lit(1), "priority": F.lit(2)}), rules).collect()
-    assert [tuple(r) for r in row] == [(None, None, 1, 2, 2)]
-    assert survivor.survivors(spark.createDataFrame([], BAR), rules).count() == 0
-
-
-def test_truth_model_tells_good_from_bad_sources(spark):
-    rng = np.random.default_rng(0)
-    bars, i = [], 0
-    for d in range(120):
-        day, true = date(2025, 1, 1) + timedelta(days=d), float(rng.uniform(10, 1000))
-        for p in (1, 2, 3, 4):
-            i += 1
-            wrong = p == 4 and rng.random() < 0.6
-            bars.append(_bar(i, "sec:x", day, true * (2 if wrong else 1), p, 1))
-    judged, quality = survivor.truth_model(spark.createDataFrame(bars, BAR), ("close",))
-    q = {r.provider_id: (r.sensitivity, r.specificity) for r in quality.collect()}
-    assert q[4][0] < 0.6 < 0.9 < q[1][0]
-    assert judged.count() == 120
-    empty, none = survivor.truth_model(spark.createDataFrame([], BAR), ("close",))
-    assert empty.count() == 0 and none.count() == 0
-
-
 def test_intervals_enclose_descendants():
     doc = {"a": [{"b": 1}, [2, None]], "c": {"d": "x"}, "e": []}
     nodes = nested.walk(json.dumps(doc))
