@@ -3,9 +3,11 @@
 A series is one provider's bars of one instrument. Each field is decomposed on
 the log scale into an edge-preserving robust trend (the nearer of the running
 medians of the bars before and after, so that a lasting change of level leaves
-no remainder), a weekday season and a remainder. Remainders beyond the limits
-of the generalised extreme studentised deviate test are spikes. Range and
-constant-run checks are separate.
+no remainder), a weekday season and a remainder. Spikes are found by the
+generalised extreme studentised deviate test in its robust, externally
+studentised form: readings are taken out one by one, the most deviating first,
+each measured by the spread of those that remain. Range and constant-run checks
+are separate.
 
 Series are cut into blocks of BLOCK_DAYS calendar days with a halo on either
 side, so a task's share is bounded by days, not by the length of a series. All
@@ -30,6 +32,11 @@ HALO_DAYS = 128
 SPIKE = 3
 #: Bars before and after a reading that give its level; most of them lie outside a spike.
 SIDE = 2 * SPIKE - 1
+#: From the median absolute deviation to the standard deviation of a normal distribution.
+MAD = 1.4826
+#: Level of the test. The remainders of ordinary readings have exponential, not normal tails (each scale further out
+#: leaves about a quarter of them), so the level is far below a usual one: the limit is near 8 scales in long series.
+ALPHA = 1e-12
 #: Least number of bars of a run without change.
 RUN = 5
 #: Rows gathered before a vectorised step; a block is never cut.
@@ -60,18 +67,29 @@ def _beta_tail(a: float, b: float, x: float) -> float:
 
 @lru_cache(maxsize=100_000)
 def esd_limit(n: int, alpha: float) -> float:
-    """Limit lambda for the largest of ``n`` remaining deviates (two-sided)."""
+    """Limit for the most deviating of ``n`` readings, measured by the spread of the other n - 1 (two-sided).
+
+    This is the t quantile behind Rosner's lambda, which measures by the spread
+    of all n: a robust spread is not widened by the reading under test, so the
+    bound (n - 1) / sqrt(n) of lambda would be reached by ordinary readings of
+    short series.
+    """
     if n < 4:
         return math.inf
     df, p = n - 2, alpha / (2 * n)
-    lo, hi = 0.0, 1e6
-    for _ in range(80):
+    lo, hi = 0.0, 1e9
+    for _ in range(100):
         mid = (lo + hi) / 2
         if 0.5 * _beta_tail(df / 2, 0.5, df / (df + mid * mid)) > p:
             lo = mid
         else:
             hi = mid
-    t = (lo + hi) / 2
+    return (lo + hi) / 2
+
+
+def rosner_lambda(n: int, alpha: float) -> float:
+    """The limit in the tables of the test, for deviates measured by the spread of all n readings."""
+    t = esd_limit(n, alpha)
     return (n - 1) * t / math.sqrt((n - 2 + t * t) * n)
 
 
@@ -120,7 +138,9 @@ def _stay(dx: np.ndarray, ds: np.ndarray, slot: np.ndarray, value: np.ndarray, r
 
 
 def remainders(series: np.ndarray, day: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(studentised remainder, number of its series) of distinct (series, day, log value) entries.
+    """(remainder, least scale of its series) of distinct (series, day, log value) entries.
+
+    The scale of a series is never below its usual movement from bar to bar.
 
     ``series`` counts from 0; entries are sorted by series and day, the last
     of a day stands for the day in the levels of its neighbours.
@@ -150,32 +170,40 @@ def remainders(series: np.ndarray, day: np.ndarray, value: np.ndarray) -> tuple[
     move = np.zeros(len(dx))
     move[1:] = np.abs(np.diff(dx))
     moved = same & (move > 0)
-    scale = 1.4826 * _group_median(move[moved], ds[moved], n_series) / math.sqrt(2)
-    spread = 1.4826 * _group_median(np.abs(rem), series, n_series)
-    scale = np.fmax(np.fmax(scale, spread), 1e-6)
-    z = np.abs(rem) / scale[series]
-    return np.where(np.isfinite(z), z, 0.0), np.bincount(series, minlength=n_series)[series]
-
-
-def esd_outliers(z: np.ndarray, series: np.ndarray, size: np.ndarray, alpha: float, share: float = 0.2) -> np.ndarray:
-    """Which deviates the generalised ESD test rejects: the i largest, i the last rank above its limit."""
-    out = np.zeros(len(z), bool)
-    maybe = np.flatnonzero(z > 3)
-    if not len(maybe):
+    scale = np.fmax(MAD * _group_median(move[moved], ds[moved], n_series) / math.sqrt(2), 1e-6)
+    return np.where(np.isfinite(rem), rem, 0.0), scale[series]
+
+
+def esd_outliers(rem: np.ndarray, floor: np.ndarray, series: np.ndarray, alpha: float) -> np.ndarray:
+    """Which remainders the generalised ESD test rejects.
+
+    The most deviating reading of a series is taken out, the spread of the rest
+    found anew (median absolute remainder, ``floor`` at least), and so on; the
+    readings up to the last one above its limit are rejected. Up to half of a
+    series can be, as beyond that the median itself would be an outlier's.
+    """
+    out = np.zeros(len(rem), bool)
+    size = np.abs(rem)
+    if not (size > 3 * floor).any():
         return out
-    order = maybe[np.lexsort((-z[maybe], series[maybe]))]
-    s = series[order]
-    first = np.r_[True, s[1:] != s[:-1]]
-    begin = np.flatnonzero(first)
-    rank = np.arange(len(s)) - np.repeat(begin, np.diff(np.r_[begin, len(s)]))
-    left = size[order] - rank
+    order = np.lexsort((size, series))
+    a, s = size[order], series[order]
+    begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    n = np.diff(np.r_[begin, len(s)])
+    start, count = np.repeat(begin, n), np.repeat(n, n)
+    at = np.flatnonzero(a > 3 * floor[order])  # below that no limit lies
+    place = at - start[at]
+    left = place + 1  # readings not yet taken out, the one under test with them
+    keep = left > (count[at] + 1) // 2
+    at, place, left = at[keep], place[keep], left[keep]
+    lo, hi = start[at] + np.maximum(place - 1, 0) // 2, start[at] + place // 2
+    spread = MAD * (a[lo] + a[hi]) / 2
     kinds, inverse = np.unique(left, return_inverse=True)
     limit = np.array([esd_limit(int(k), alpha) for k in kinds])[inverse]
-    above = (z[order] > limit) & (rank < np.maximum(1, share * size[order]))
-    # rejected up to the last rank above its limit
-    last = np.full(int(s.max()) + 1, -1)
-    np.maximum.at(last, s[above], rank[above])
-    out[order[rank <= last[s]]] = True
+    above = a[at] > limit * np.maximum(spread, floor[order[at]])
+    least = np.full(int(s.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, s[at[above]], place[above])
+    out[order[at[place >= least[s[at]]]]] = True
     return out
 
 
@@ -232,8 +260,8 @@ def judge(series: np.ndarray, day: np.ndarray, fields: dict[str, np.ndarray], al
             pos = np.flatnonzero(ev > 0)
             if len(pos):
                 ids, cs = np.unique(es[pos], return_inverse=True)
-                z, size = remainders(cs, ed[pos], np.log(ev[pos]))
-                hit[by[pos[esd_outliers(z, cs, size, alpha)]]] = True
+                rem, floor = remainders(cs, ed[pos], np.log(ev[pos]))
+                hit[by[pos[esd_outliers(rem, floor, cs, alpha)]]] = True
             flag[use] |= hit[entry]
         out[name] = flag
     return out
@@ -273,7 +301,7 @@ def _flags(alpha: float):
     return run
 
 
-def implausible(bars: DataFrame, alpha: float = 1e-14) -> DataFrame:
+def implausible(bars: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(bar_id, field_name) of every implausible reading of close, adj_close and volume.
 
     * range: a price not above zero, a negative volume;

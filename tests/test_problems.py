@@ -124,5 +124,40 @@ def test_each_delivery_is_judged_by_its_own_value(spark):
 
 def test_esd_limit_agrees_with_tables():
     # Rosner 1983: n = 54, alpha = 0.05 gives 3.16 for the first and 3.15 for the second deviate
-    assert round(outliers.esd_limit(54, 0.05), 2) == 3.16
-    assert round(outliers.esd_limit(53, 0.05), 2) == 3.15
+    assert round(outliers.rosner_lambda(54, 0.05), 2) == 3.16
+    assert round(outliers.rosner_lambda(53, 0.05), 2) == 3.15
+
+
+def _esd_by_hand(rem, floor, alpha):
+    left, taken, last = list(np.abs(rem)), [], 0
+    order = np.argsort(-np.abs(rem), kind="stable")
+    for i in range(len(rem) // 2):
+        n = len(rem) - i
+        rest = np.sort(left)[: n - 1]
+        taken.append(order[i])
+        if np.max(left) > outliers.esd_limit(n, alpha) * max(floor, outliers.MAD * np.median(rest)):
+            last = i + 1
+        left.remove(np.max(left))
+    return set(taken[:last])
+
+
+def test_esd_takes_readings_out_one_by_one():
+    rng = np.random.default_rng(2)
+    for k in range(30):
+        rem = rng.normal(0, 1, 60)
+        far = rng.choice(60, rng.integers(0, 29), replace=False)
+        rem[far] += 40 * rng.choice([-1, 1], len(far)) * rng.uniform(1, 3, len(far))
+        got = outliers.esd_outliers(np.r_[rem, rng.normal(0, 1, 20)], np.full(80, 0.5), np.r_[np.zeros(60, int), np.ones(20, int)], 1e-4)
+        assert set(np.flatnonzero(got)) == _esd_by_hand(rem, 0.5, 1e-4) == set(far)
+
+
+def test_many_spikes_of_a_short_series_and_none_of_plain_walks(spark):
+    close, volume = _series(40, 11)
+    at = list(range(2, 38, 4))
+    close[at] *= 3
+    assert _implausible(spark, close, volume) >= {(i, "close") for i in at}
+    rng = np.random.default_rng(5)
+    walks = np.exp(np.cumsum(rng.normal(0, 0.02, (2000, 20)), 1)).ravel()
+    series, day = np.repeat(np.arange(2000), 20), np.tile(np.arange(20), 2000)
+    flags = outliers.judge(series, day, {"close": walks, "volume": np.full(len(walks), np.nan)}, outliers.ALPHA)
+    assert not flags["close"].any()
