@@ -1,21 +1,25 @@
 """History of changing attributes as insert-only satellites.
 
-Updates with periods go through one satellite. A row is appended only where
-its hash-diff differs from the row before it; a day without a mapping appends
-a row without a diff. End dates are not stored: ``satellite_view`` computes
-them with ``lead``. Snapshots use no satellite: their mapping and
-provider_name share one hash-diff, whose runs of successive revisions are the
-versions, stored with the revision that ends them.
+A satellite holds the attributes of a key that change at one rate. A row is
+appended only where its hash-diff differs from the row before it; a row without
+a diff marks an absence. End dates are not stored: ``satellite_view`` computes
+them with ``lead``.
 
 Two loaders find the changes:
 
 * ``interval_changes`` for a log of updates with business periods, where on
-  each day the covering row recorded last holds;
-* ``snapshot_changes`` for full snapshots by revision.
+  each day the covering row recorded last holds; its one attribute, the mapping,
+  goes through one satellite by day;
+* ``load_snapshots`` for full snapshots by revision. Mapping and descriptive
+  names change at different rates, so there are two satellites: the mapping's
+  records that a key is present or absent, the names' what it was called while
+  present. A later batch of snapshots appends to what is stored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,7 +155,7 @@ def interval_changes(updates: DataFrame, key: list[str], value: str, start: str,
 def interval_history(updates: DataFrame, key: list[str], value: str, start: str, end: str, recorded: str) -> DataFrame:
     """Versions (key, value, valid_from, valid_to) of a log of updates; '' for an unbounded side."""
     changes = interval_changes(updates, key, value, start, end, recorded)
-    changes = changes.withColumn("hash_diff", F.when(F.col("value").isNotNull(), F.xxhash64("value")))
+    changes = changes.withColumn("hash_diff", F.when(F.col("value").isNotNull(), F.md5("value")))
     rows = satellite(changes, key, "day", "hash_diff")
     return satellite_view(rows, key, "day", "hash_diff", "_end").select(*key, "value", _shown(F.col("day")).alias("valid_from"), _shown(F.col("_end")).alias("valid_to"))
 
@@ -161,36 +165,122 @@ def folded(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"(?U)\s+", " "))
 
 
-def snapshot_changes(snapshots: DataFrame, owner: str, key: str, values: list[str], descriptive: list[str], revision: str) -> DataFrame:
-    """Satellite rows of full snapshots: one where a version begins, with the revision that ended it.
+@dataclass
+class Satellites:
+    """Rows of the mapping's and the names' satellite, and the revisions loaded."""
+
+    mapping: DataFrame
+    names: DataFrame
+    loads: DataFrame
+
+    def plus(self, more: Satellites) -> Satellites:
+        return Satellites(self.mapping.unionByName(more.mapping), self.names.unionByName(more.names), self.loads.unionByName(more.loads))
+
+
+def with_absences(present: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The rows of snapshots and, where a key is missing from the next snapshot, a row of that revision without a diff.
+
+    ``present`` has ``_place``, the snapshot's number, ``_next``, the next
+    snapshot's revision (null after the last), and ``_known``: the row itself
+    is stored already.
+    """
+    following = F.lead("_place").over(W.partitionBy(*key).orderBy("_place"))
+    gone = F.col("_next").isNotNull() & (F.coalesce(following, F.lit(-1)) != F.col("_place") + 1)
+    row = lambda at, diff: F.struct(at.alias(order), diff.alias("hash_diff"))
+    nothing = F.lit(None).cast("string")
+    both = present.withColumn("_gone", gone).withColumn("_rows", F.array_compact(F.array(F.when(~F.col("_known"), row(F.col(order), F.col("hash_diff"))), F.when(F.col("_gone"), row(F.col("_next"), nothing)))))
+    return both.select(*key, F.inline("_rows"))
+
+
+def appended(stored: DataFrame | None, changes: DataFrame, key: list[str], order: str, diff: str) -> DataFrame:
+    """The rows that a batch of later changes adds to a stored satellite."""
+    if stored is None:
+        return satellite(changes, key, order, diff)
+    rest = [c for c in changes.columns if c not in key]
+    last = stored.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_l")).select(*key, *[F.col(f"_l.{c}").alias(c) for c in rest], F.lit(True).alias("_stored"))
+    return satellite(changes.withColumn("_stored", F.lit(False)).unionByName(last), key, order, diff).where(~F.col("_stored")).drop("_stored")
+
+
+def load_snapshots(snapshots: DataFrame, owner: str, key: str, values: list[str], descriptive: list[str], revision: str, stored: Satellites | None = None) -> Satellites:
+    """The satellite rows that snapshots add to the stored ones, which are of earlier revisions.
 
     All rows of one owner with one revision are one full snapshot, so a key
-    that is absent from it is closed. Repeated rows are folded before the
-    shuffle; what remains of a key is at most one row per revision and diff.
-    A key that a snapshot gives several values has one version chain for each.
+    that is absent from it is closed. Rows with a null owner, key, value or
+    revision map nothing but belong to their snapshot. Repeated rows are folded
+    before the shuffle; what remains of a key is at most one row per revision.
+    A key that a snapshot gives several values has a chain for each, and one
+    with several names all of them in one row.
     """
-    diff = F.xxhash64(*[F.col(v) for v in values], *[folded(F.col(d)) for d in descriptive])
-    present = (
-        snapshots.select(owner, key, *values, revision, diff.alias("hash_diff"))
-        .dropna(subset=[owner, key, revision])
-        .distinct()
-    )
-    loads = snapshots.select(owner, revision).dropna().distinct()
+    link = [owner, key, *values]
+    called = F.struct(*[folded(F.col(d)).alias(d) for d in descriptive])
+    present = snapshots.select(*link, revision, called.alias("_called")).dropna(subset=[*link, revision]).groupBy(*link, revision).agg(F.array_sort(F.collect_set("_called")).alias("names"))
+    new_loads = snapshots.select(owner, revision).dropna().distinct()
+    loads, diff = new_loads, F.md5(F.concat_ws("\x1f", *values))
+    if stored:
+        # the keys held at the end of what is stored take part as a snapshot of their own
+        last = stored.loads.groupBy(owner).agg(F.max(revision).alias(revision))
+        loads = new_loads.unionByName(last)
+        held = satellite_view(stored.mapping, link, revision, "hash_diff", "_end").where(F.col("_end").isNull()).select(*link)
+        present = present.unionByName(held.join(last, owner).withColumn("names", F.lit(None).cast(present.schema["names"].dataType)))
     by_load = W.partitionBy(owner).orderBy(revision)
-    loads = loads.withColumns({"_place": F.row_number().over(by_load), "_next": F.lead(revision).over(by_load)})
-    placed = present.join(loads, [owner, revision])
-    chain = W.partitionBy(owner, key, *values, "hash_diff").orderBy("_place")
-    run = placed.withColumn("_run", F.col("_place") - F.row_number().over(chain))
-    return run.groupBy(owner, key, *values, "hash_diff", "_run").agg(
-        F.min(revision).alias("load_revision"), F.max_by("_next", "_place").alias("end_revision")
+    numbered = loads.withColumns({"_place": F.row_number().over(by_load), "_next": F.lead(revision).over(by_load)})
+    placed = present.join(numbered, [owner, revision])
+    seen = with_absences(placed.select(*link, revision, "_place", "_next", F.col("names").isNull().alias("_known"), diff.alias("hash_diff")), link, revision)
+    named = placed.where(F.col("names").isNotNull()).select(*link, revision, F.md5(F.to_json("names")).alias("hash_diff"), "names")
+    return Satellites(
+        appended(stored and stored.mapping, seen, link, revision, "hash_diff"),
+        appended(stored and stored.names, named, link, revision, "hash_diff"),
+        new_loads,
     )
 
 
+def snapshot_versions(held: Satellites, owner: str, key: str, values: list[str], revision: str) -> DataFrame:
+    """(owner, key, values, name, begin, end) of every version, by revision; end null while it lasts.
+
+    Point in time: at each revision of either satellite the state of both. One
+    window pass over their rows, without a join; a version with several names
+    counts once for each, as long as it bears the name.
+    """
+    link = [owner, key, *values]
+    kind = held.names.schema["names"].dataType
+    rows = held.mapping.select(*link, revision, F.struct(F.col("hash_diff").isNotNull().alias("here")).alias("_m"), F.lit(None).cast(kind).alias("_n"))
+    rows = rows.unionByName(held.names.select(*link, revision, F.lit(None).cast("struct<here:boolean>").alias("_m"), F.col("names").alias("_n")))
+    so_far = W.partitionBy(*link).orderBy(revision).rangeBetween(W.unboundedPreceding, 0)
+    state = rows.select(*link, revision, F.last("_m", True).over(so_far)["here"].alias("_here"), F.last("_n", True).over(so_far).alias("names"))
+    state = state.withColumn("hash_diff", F.when(F.col("_here"), F.md5(F.to_json("names"))))
+    view = satellite_view(satellite(state, link, revision, "hash_diff"), link, revision, "hash_diff", "_end")
+    each = view.select(*link, F.explode("names").alias("name"), F.col(revision).alias("begin"), F.col("_end").alias("end"))
+    # a name that stays while another one of the key comes or goes is one version
+    chain = W.partitionBy(*link, "name").orderBy("begin")
+    run = each.withColumn("_new", (~F.lag("end").over(chain).eqNullSafe(F.col("begin"))).cast("int")).withColumn("_run", F.sum("_new").over(chain))
+    return run.groupBy(*link, "name", "_run").agg(F.min("begin").alias("begin"), F.max_by("end", "begin").alias("end")).drop("_run")
+
+
 def snapshot_history(snapshots: DataFrame, owner: str, key: str, values: list[str], descriptive: list[str], revision: str) -> DataFrame:
     """Versions (owner, key, values, valid_from, valid_to) by UTC day of the revisions (epoch seconds)."""
+    return _days(snapshot_versions(load_snapshots(snapshots, owner, key, values, descriptive, revision), owner, key, values, revision), [owner, key, *values])
+
+
+def _days(versions: DataFrame, cols: list[str]) -> DataFrame:
     day = lambda c: F.coalesce(F.date_format(F.timestamp_seconds(F.col(c)), "yyyy-MM-dd"), F.lit(""))
-    rows = snapshot_changes(snapshots, owner, key, values, descriptive, revision)
-    return rows.select(owner, key, *values, day("load_revision").alias("valid_from"), day("end_revision").alias("valid_to"))
+    return versions.select(*cols, day("begin").alias("valid_from"), day("end").alias("valid_to"))
+
+
+REGION = ("provider", "provider_region_id", ["region_id"], ["provider_name"], "data_revision")
+
+
+def region_history_in_batches(region_provider_map: DataFrame, batches: int = 2) -> DataFrame:
+    """The history of the regions loaded batch by batch, each of so many successive revisions; equals that of one load."""
+    owner, key, values, descriptive, revision = REGION
+    span = region_provider_map.agg(F.min(revision).alias("_lo"), (F.max(revision) + 1).alias("_hi"))
+    rows = region_provider_map.join(F.broadcast(span))  # one row
+    part = F.floor((F.col(revision) - F.col("_lo")) * batches / (F.col("_hi") - F.col("_lo")))
+    held = None
+    for i in range(batches):
+        more = load_snapshots(rows.where(part == i).drop("_lo", "_hi"), *REGION, stored=held)
+        more = Satellites(cut_lineage(more.mapping), cut_lineage(more.names), cut_lineage(more.loads))
+        held = held.plus(more) if held else more
+    return _days(snapshot_versions(held, owner, key, values, revision), [owner, key, *values]).distinct()
 
 
 def mapping_history(provider_entity_map: DataFrame, region_provider_map: DataFrame) -> DataFrame:
@@ -198,6 +288,6 @@ def mapping_history(provider_entity_map: DataFrame, region_provider_map: DataFra
     cols = ["source_table", "provider", "provider_key", "mapped_id", "valid_from", "valid_to"]
     entity = interval_history(provider_entity_map, ["provider", "provider_entity_id"], "entity_id", "active_from", "active_to", "recorded_at")
     entity = entity.select(F.lit("provider_entity_map").alias("source_table"), "provider", F.col("provider_entity_id").alias("provider_key"), F.col("value").alias("mapped_id"), "valid_from", "valid_to")
-    region = snapshot_history(region_provider_map, "provider", "provider_region_id", ["region_id"], ["provider_name"], "data_revision")
+    region = snapshot_history(region_provider_map, *REGION)
     region = region.select(F.lit("region_provider_map").alias("source_table"), "provider", F.col("provider_region_id").alias("provider_key"), F.col("region_id").alias("mapped_id"), "valid_from", "valid_to")
-    return entity.select(cols).unionByName(region.where(F.col("mapped_id").isNotNull()).select(cols)).distinct()
+    return entity.select(cols).unionByName(region.select(cols)).distinct()

@@ -12,6 +12,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.mapping_history(table(spark, sf_dir, "provider_entity_map"), table(spark, sf_dir, "region_provider_map"))
 
 
+def p3_region_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region history from two loads, the second appending to the satellites of the first."""
+    return history.region_history_in_batches(table(spark, sf_dir, "region_provider_map"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.nested_tables(table(spark, sf_dir, "edgar_submissions"), table(spark, sf_dir, "accession_index"))
 
@@ -20,7 +25,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.implausible(table(spark, sf_dir, "candles_raw"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_region_batches, p4_found, p5_found)}
 
 _P3 = r"""
 WITH parsed AS (
@@ -57,6 +62,11 @@ SELECT DISTINCT 'region_provider_map', provider, k, v, strftime(to_timestamp(a)
   CASE WHEN b < 0 THEN '' ELSE strftime(to_timestamp(b) AT TIME ZONE 'UTC', '%Y-%m-%d') END FROM regions
 """
 
+_P3_REGIONS = "WITH snaps AS (" + _P3.split("snaps AS (")[1].split("SELECT DISTINCT 'provider_entity_map'")[0] + """
+SELECT DISTINCT provider, k AS provider_region_id, v AS region_id, strftime(to_timestamp(a) AT TIME ZONE 'UTC', '%Y-%m-%d') AS valid_from,
+  CASE WHEN b < 0 THEN '' ELSE strftime(to_timestamp(b) AT TIME ZONE 'UTC', '%Y-%m-%d') END AS valid_to FROM regions
+"""
+
 _P4 = r"""
 WITH readable AS (
   SELECT cik, epoch_us(fetched_at) AS us, sha256(payload) AS h,
@@ -100,4 +110,4 @@ UNION SELECT 'file', accession, pos, f.name FROM indexed WHERE f.name IS NOT NUL
 UNION SELECT 'member', parent, pos, m.name FROM archived WHERE m.name IS NOT NULL
 """
 
-ORACLE = {"p3_found": _P3, "p4_found": _P4}
+ORACLE = {"p3_found": _P3, "p3_region_batches": _P3_REGIONS, "p4_found": _P4}

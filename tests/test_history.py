@@ -65,6 +65,24 @@ def test_snapshots_come_go_and_return(spark):
     assert got == brute.snapshot_versions([(r[0], r[1], r[2], r[3], r[6]) for r in rows if r[1] is not None])
 
 
+def test_batches_append_to_what_is_stored(spark):
+    rnd = random.Random(8)
+    rows = [("p" + str(k % 2), f"k{k}", f"r{rnd.randrange(2)}", rnd.choice(["a", "b", "B "]), None, None, 1_600_000_000 + rev * 86_400) for rev in range(14) for k in range(10) for _ in range(rnd.randrange(3)) if rnd.random() < 0.7]
+    df = spark.createDataFrame(rows, SNAP)
+    whole = {tuple(r) for r in history.snapshot_history(df, *history.REGION).collect()}
+    assert whole == brute.snapshot_versions([(r[0], r[1], r[2], r[3], r[6]) for r in rows])
+    for n in (2, 5):
+        assert {tuple(r) for r in history.region_history_in_batches(df, n).collect()} == whole
+    first, second = df.where("data_revision < 1600600000"), df.where("data_revision >= 1600600000")
+    held = history.load_snapshots(first, *history.REGION)
+    again = history.load_snapshots(second, *history.REGION, stored=held)
+    all_at_once = history.load_snapshots(df, *history.REGION)
+    for part in ("mapping", "names"):
+        get = lambda s: sorted(map(str, getattr(s, part).collect()))  # noqa: B023, E731
+        assert get(held.plus(again)) == get(all_at_once) and get(held) and get(again)
+    assert history.region_history_in_batches(df.limit(0)).count() == 0
+
+
 def test_extra_columns_do_not_clash(spark):
     rows = _updates(20, 4, 5)
     df = spark.createDataFrame(rows, MAP).withColumns({"day": F.lit(1), "hash_diff": F.lit("x"), "_from": F.lit(2)})
