@@ -12,9 +12,8 @@ Two operators share the group definition:
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -155,50 +154,69 @@ def source_units(claims: DataFrame, field: str) -> dict[int, int]:
     others = lambda me: F.array_sort(F.transform(F.filter("told", lambda s: s["source"] != me["source"]), lambda s: log(s[field])))
     middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
     rows = claims.select(told.alias("told")).where(F.size("told") > 1)
-    far = rows.select(F.inline(F.transform("told", lambda s: F.struct(s["source"].alias("source"), (log(s[field]) - middle(others(s))).alias("far")))))
+    far = rows.select(F.inline(F.transform("told", lambda s: F.struct(s["source"].alias("source"), _let(others(s), lambda a: log(s[field]) - middle(a)).alias("far")))))
     return {r["source"]: round(r["m"]) for r in far.groupBy("source").agg(F.percentile_approx("far", 0.5, 1000).alias("m")).collect() if r["m"] is not None}
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def value_clusters(told: Column, distance: float) -> Column:
     """Entries (source, value) sorted by value and cut wherever two neighbours are further apart than the distance."""
     place = lambda v: F.when(v > 0, F.log(v)).when(v == 0, F.lit(-1e6)).otherwise(F.lit(-2e6) - F.log(-v))
     entries = F.array_sort(F.transform(told, lambda s: F.struct(place(s["value"]).alias("x"), s["source"].alias("source"), s["value"].alias("value"))))
-    n = F.size(entries)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(entries, i)["x"] - F.get(entries, i - 1)["x"] > distance))
-    return F.when(n > 0, F.transform(starts, lambda at, k: F.slice(entries, at + 1, F.coalesce(F.get(starts, k + 1), n) - at)))
+
+    def cut(e: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.get(e, i)["x"] - F.get(e, i - 1)["x"] > distance))
+        return _let(starts, lambda st: F.transform(st, lambda at, k: F.slice(e, at + 1, F.coalesce(F.get(st, k + 1), F.size(e)) - at)))
+
+    return F.when(F.size(told) > 0, _let(entries, cut))
 
 
 def claimed_facts(claims: DataFrame, fields: Sequence[str], tolerance: Mapping[str, float], units: Mapping[str, Mapping[int, int]]) -> DataFrame:
     """(field, canonical_id, start_ts, sources, facts): the facts of every group with a claim, each the entries that assert it."""
 
     def of(field: str) -> Column:
-        scale = _known({str(k): 10.0**v for k, v in units.get(field, {}).items()})
+        scale = {k: 10.0**v for k, v in units.get(field, {}).items() if v}
         told = F.filter("said", lambda s: s[field].isNotNull())
-        told = F.transform(told, lambda s: F.struct(s["source"].alias("source"), (s[field] / F.coalesce(F.element_at(scale, s["source"].cast("string")), F.lit(1.0))).alias("value")))
-        return F.struct(F.lit(field).alias("field"), F.transform(told, lambda s: s["source"]).alias("sources"), value_clusters(told, tolerance[field]).alias("facts"))
+        told = F.transform(told, lambda s: F.struct(s["source"].alias("source"), (s[field] / _known(scale, s["source"], 1.0)).alias("value")))
+        whole = lambda t: F.struct(F.lit(field).alias("field"), F.transform(t, lambda s: s["source"]).alias("sources"), value_clusters(t, tolerance[field]).alias("facts"))
+        return _let(told, whole)
 
     rows = claims.select("canonical_id", "start_ts", F.inline(F.array(*[of(f) for f in fields])))
     return rows.where(F.size("sources") > 0).select("field", "canonical_id", "start_ts", "sources", "facts")
 
 
-def _known(values: Mapping[str, float]) -> Column:
-    return F.from_json(F.lit(json.dumps(dict(values))), "map<string,double>")
+def _known(values: Mapping, key: Column, default: float) -> Column:
+    """Value of a constant table, which has an entry a source at most."""
+    if not values:
+        return F.lit(default)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key), F.lit(default))
 
 
-def _log_odds(q: Quality, field: Column, yes: Column, no: Column) -> Column:
-    key = lambda f, s: f"{f}|{s}"
-    gain = _known({key(*k): math.log(v / (1 - q.specificity[k])) for k, v in q.sensitivity.items()})
-    loss = _known({key(*k): math.log((1 - v) / q.specificity[k]) for k, v in q.sensitivity.items()})
-    at = lambda table, s: F.coalesce(F.element_at(table, F.concat_ws("|", field, s.cast("string"))), F.lit(0.0))
-    start = F.coalesce(F.element_at(_known(q.base), field), F.lit(0.0))
-    return start + F.aggregate(yes, F.lit(0.0), lambda a, s: a + at(gain, s)) + F.aggregate(no, F.lit(0.0), lambda a, s: a + at(loss, s))
+def _by_field(fields: Iterable[str], field: Column, make: Callable[[str], Column]) -> Column:
+    """``make`` of the row's field."""
+    out = F.lit(None)
+    for f in sorted(fields):
+        out = F.when(field == f, make(f)).otherwise(out)
+    return out
+
+
+def _log_odds(q: Quality, field: str, yes: Column, no: Column) -> Column:
+    mine = {s: (v, q.specificity[f, s]) for (f, s), v in q.sensitivity.items() if f == field}
+    gain = {s: math.log(a / (1 - b)) for s, (a, b) in mine.items()}
+    loss = {s: math.log((1 - a) / b) for s, (a, b) in mine.items()}
+    total = lambda sources, table: F.aggregate(sources, F.lit(0.0), lambda a, s: a + _known(table, s, 0.0))
+    return F.lit(q.base.get(field, 0.0)) + total(yes, gain) + total(no, loss)
 
 
 def _posterior(log_odds: Column) -> Column:
     return 1 / (1 + F.exp(-log_odds))
 
 
-def learn_quality(facts: DataFrame, rounds: int = 200, change: float = 1e-4) -> Quality:
+def learn_quality(facts: DataFrame, fields: Sequence[str], rounds: int = 200, change: float = 1e-4) -> Quality:
     """Expectation-maximisation to convergence: until no quality moves by more than ``change``.
 
     Groups with a single source teach nothing about agreement and are left
@@ -215,7 +233,7 @@ def learn_quality(facts: DataFrame, rounds: int = 200, change: float = 1e-4) ->
     votes = F.concat(said("yes", 1), said("no", 0), F.array(F.struct(F.lit(None).cast("bigint").alias("source"), F.lit(1).alias("said"))))
     q = Quality({}, {}, {})
     for q.rounds in range(rounds + 1):
-        p = _posterior(_log_odds(q, F.col("field"), F.col("yes"), F.col("no"))) if q.rounds else F.size("yes") / (F.size("yes") + F.size("no"))
+        p = _posterior(_by_field(fields, F.col("field"), lambda f: _log_odds(q, f, F.col("yes"), F.col("no")))) if q.rounds else F.size("yes") / (F.size("yes") + F.size("no"))
         each = patterns.select("field", "n", p.alias("p"), F.inline(votes))
         sums = each.groupBy("field", "source").agg(
             F.sum(F.col("n") * F.col("p") * F.col("said")).alias("tp"), F.sum(F.col("n") * F.col("p")).alias("t"),
@@ -235,23 +253,26 @@ def learn_quality(facts: DataFrame, rounds: int = 200, change: float = 1e-4) ->
     return q
 
 
-def judged_values(facts: DataFrame, q: Quality, least: float = 0.5) -> DataFrame:
+def judged_values(facts: DataFrame, fields: Sequence[str], q: Quality, least: float = 0.5) -> DataFrame:
     """(field, canonical_id, start_ts, value, posterior, n_sources): every fact judged true, and of each group the best at least.
 
     The value is that of the asserting source with the greatest sensitivity,
     of equal ones the least source. No shuffle: a group's facts are in its row.
     """
-    trust = _known({f"{f}|{s}": v for (f, s), v in q.sensitivity.items()})
 
-    def fact(entries: Column) -> Column:
-        yes = F.transform(entries, lambda e: e["source"])
-        best = F.array_max(F.transform(entries, lambda e: F.struct(F.coalesce(F.element_at(trust, F.concat_ws("|", "field", e["source"].cast("string"))), F.lit(0.0)).alias("t"), (-e["source"]).alias("s"), e["value"].alias("v"))))
-        odds = _log_odds(q, F.col("field"), yes, F.array_except("sources", yes))
-        return F.struct(_posterior(odds).alias("posterior"), F.size(entries).alias("n_sources"), (-best["v"]).alias("minus"), best["v"].alias("value"))
+    def judge(field: str) -> Column:
+        trust = {s: v for (f, s), v in q.sensitivity.items() if f == field}
+
+        def fact(entries: Column) -> Column:
+            best = F.array_max(F.transform(entries, lambda e: F.struct(_known(trust, e["source"], 0.0).alias("t"), (-e["source"]).alias("s"), e["value"].alias("v"))))["v"]
+            odds = lambda yes: _log_odds(q, field, yes, F.array_except("sources", yes))
+            return F.struct(_posterior(_let(F.transform(entries, lambda e: e["source"]), odds)).alias("posterior"), F.size(entries).alias("n_sources"), best.alias("value"))
+
+        return F.transform("facts", fact)
 
-    rows = facts.select("field", "canonical_id", "start_ts", F.transform("facts", fact).alias("j"))
-    kept = F.filter("j", lambda x: (x["posterior"] >= least) | (x == F.array_max("j")))
-    return rows.select("field", "canonical_id", "start_ts", F.inline(kept)).select("field", "canonical_id", "start_ts", "value", "posterior", "n_sources")
+    judged = _by_field(fields, F.col("field"), judge)
+    kept = _let(judged, lambda j: _let(F.array_max(j), lambda top: F.filter(j, lambda x: (x["posterior"] >= least) | (x == top))))
+    return facts.select("field", "canonical_id", "start_ts", F.inline(kept)).select("field", "canonical_id", "start_ts", "value", "posterior", "n_sources")
 
 
 def truth_model(
@@ -272,7 +293,7 @@ def truth_model(
     claims = cut_lineage(current_claims(bars, fields))
     units = {f: source_units(claims, f) for f in fields if f in own_units}
     facts = claimed_facts(claims, fields, tolerance, units)
-    q = learn_quality(facts)
+    q = learn_quality(facts, fields)
     rows = [(f, s, v, q.specificity[f, s], units.get(f, {}).get(s, 0)) for (f, s), v in sorted(q.sensitivity.items())]
     quality = bars.sparkSession.createDataFrame(rows, "field string, provider_id bigint, sensitivity double, specificity double, unit_power int")
-    return judged_values(facts, q, least), quality
+    return judged_values(facts, fields, q, least), quality
