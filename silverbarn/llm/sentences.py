@@ -1,19 +1,25 @@
 """Sentence units in many languages and scripts by document-centred disambiguation.
 
 Terminators are found by script; a period is judged by what the document itself
-shows about the word before it (followed by a small letter elsewhere: an
-abbreviation) and the word after it (written small elsewhere: no proper name),
-then by the same evidence over the whole corpus, then by short lists of
-abbreviations that cannot be told by their surroundings, such as titles.
-Quotations and brackets are kept whole; line ends are told apart as hard wraps,
-headings and list items. ``lang`` is not read.
+shows about the word before it (with a period before a small letter elsewhere:
+an abbreviation; without a period elsewhere: an ordinary word) and the word
+after it (written small elsewhere: no proper name). Where the document is
+silent, the same evidence over the whole corpus decides, and only where that is
+silent too do short lists of abbreviations break the tie. Frequent words carry
+their evidence to every task; a boundary that hangs on a rare word is left open
+there and settled by a join with the evidence table, so no word's evidence is
+lost however large the corpus is. Quotations and brackets are kept whole; line
+ends are told apart as hard wraps, headings and list items. ``lang`` is not read.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,14 +27,14 @@ from pyspark.sql import functions as F
 
 from silverbarn.session import cut_lineage
 
-#: Abbreviations that stand before their word, so never end a sentence.
+#: Fixed values for words without evidence: abbreviations that stand before their word, so end no sentence.
 TITLES = frozenset(
     """dr mr mrs ms mme mlle m prof st sr sra srta mgr rev hon gen col capt lt sgt gov sen rep pres ing dipl
     no nos nr nrn núm num pág pag págs fig figs sec secs art arts abs ziff kap cap ch vol ref refs eq al pp
     vs v approx aprox ca cca circa env cf vgl est i.e e.g viz z.b d.h u.a p.ex p.ej resp sog bzw sq
     см п пп ст ок напр т.е т.к проф акад ул κ κα βλ σημ δηλ π.χ αρ σελ د ص أ डॉ श्री प्रो रु ee""".split()
 )
-#: Abbreviations that may end a sentence as well.
+#: Fixed values for words without evidence: abbreviations that may end a sentence as well.
 ENDINGS = frozenset(
     """etc usw u.s u.k u.n e.u uu inc ltd corp co l.p llc plc bros assoc mfg dept a.m p.m jr sr. esq ph.d m.d cpa ft in lb oz
     jan feb mar apr jun jul aug sep sept oct nov dec mio mrd tsd г гг тыс млн млрд руб коп др пр εκατ δισ χιλ κ.λπ κ.ά""".split()
@@ -48,11 +54,10 @@ THAI_UNIT = re.compile("(?:พัน|หมื่น|แสน|ล้าน)*(?:
 CLOSERS = "\"'”’“»›)\\]」』）】"
 #: One leading set, so that the scan skips from mark to mark; what follows a western mark is checked apart.
 MARK = re.compile(rf"[.…!?؟;;。！？｡।॥]+[{CLOSERS}]*(?:(?=\s|$|[A-ZÀ-ÞΑ-ΩА-Я])|(?<=[。！？｡।॥”’」』）】]))")
-#: Quotations and brackets kept whole; longer ones than this are taken as unbalanced.
-SPAN = re.compile(
-    "[“„«「『\"(（\\[](?:(?<=[“„])[^”“]{0,600}[”“]|(?<=«)[^»]{0,600}»|(?<=「)[^」]{0,600}」|(?<=『)[^』]{0,600}』"
-    "|(?<=\")[^\"\n]{0,400}\"|(?<=\\()[^()]{0,400}\\)|(?<=（)[^（）]{0,400}）|(?<=\\[)[^\\[\\]]{0,400}\\])"
-)
+#: Marks that open and close what is kept whole; brackets nest, quotations do not.
+PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
+NESTING = "([（"
+_EDGE = re.compile(r"[“”„«»「」『』()（）\[\]\"]|\n[^\S\n]*\n|\n")
 LINE = re.compile(r"[^\n\r  \x0b\x0c]+")
 ITEM = re.compile(r"(?:[-–—•*·▪◦]|\(?\d{1,3}[.)]|\([a-zA-Z]\)|[a-z]\))\s+(?=\S)")
 THAI = re.compile("[฀-๿]")
@@ -60,40 +65,119 @@ GREEK = re.compile("[Ͱ-Ͽ]")
 CJK = re.compile("[぀-ヿ㐀-鿿]")
 WORD = re.compile(r"[^\W_][\w’'-]*")
 NUMBER = re.compile(r"[\d.,]+$")
-#: Longest word that its surroundings alone can make an abbreviation.
+#: Letters up to which a word of which nothing at all is known is taken for an abbreviation before a small letter.
 SHORT = 4
 #: Shortest unterminated line that counts as hard-wrapped; shorter ones are headings.
 WRAP = 48
 
 
+@dataclass(frozen=True)
 class Evidence:
-    """What the corpus says: abbreviations, and words that begin sentences."""
+    """What the corpus says of frequent words; all are written small.
+
+    ``abbreviations`` and ``words`` stand before a period as such, ``ordinary``
+    words and ``names`` after one; ``starters`` begin sentences and ``counted``
+    words stand before figures, ``finals`` seldom go on after their period. A word in neither set of a pair is rare.
+    """
+
+    abbreviations: frozenset = frozenset()
+    words: frozenset = frozenset()
+    ordinary: frozenset = frozenset()
+    names: frozenset = frozenset()
+    starters: frozenset = frozenset()
+    counted: frozenset = frozenset()
+    finals: frozenset = frozenset()
+
+
+class Open(NamedTuple):
+    """A boundary that hangs on rare words: what is known of both, and what the lists say of the first."""
+
+    word: str
+    after: str
+    small: bool  # the second word is written small: what counts is whether the first goes on after its periods
+    abbreviation: bool | None
+    ordinary: bool | None
+    listed: int  # 0: not, 1: before its word, 2: may end a sentence
 
-    def __init__(self, abbreviations: frozenset = frozenset(), starters: frozenset = frozenset()):
-        self.abbreviations = abbreviations
-        self.starters = starters
+    def ends(self, abbreviation: bool | None, ordinary: bool | None) -> bool:
+        """The boundary's fate given what the evidence table says where nothing is known yet."""
+        abbreviation = self.abbreviation if self.abbreviation is not None else abbreviation
+        ordinary = self.ordinary if self.ordinary is not None else ordinary
+        if self.small:
+            return len(self.word) > SHORT if abbreviation is None else not abbreviation
+        return not (self.listed > 0 if abbreviation is None else abbreviation) or bool(ordinary) or self.listed == 2
+
+
+def last_word(text: str) -> str:
+    """The last word of a text that does not end in white space."""
+    return text.rsplit(None, 1)[-1].lstrip("(\"“„«[/").lower()
 
 
 def small_after(text: str) -> set[str]:
-    """Words that the text shows with a period before a small letter."""
+    """Words that the text shows with a period before a word in small letters that is no abbreviation itself."""
     parts = text.split(". ")
-    words = {p[-8:].rsplit(None, 1)[-1].lower() for p, q in zip(parts, parts[1:]) if q[:1].islower() and p and not p[-1].isspace()}
-    return {w for w in words if len(w) <= SHORT}
+    return {last_word(p) for p, q in zip(parts, parts[1:]) if q[:1].islower() and "." not in q[:3] and p and not p[-1].isspace()}
+
+
+_TOKEN = re.compile(r"[^\W\d_][\w’'-]*\.?")
 
 
 class _Own:
-    """``small_after`` of a document, found when first asked for."""
+    """What a document shows of its own words, found when first asked for."""
 
     def __init__(self, text: str):
-        self.text, self.words = text, None
-
-    def __contains__(self, word: str) -> bool:
-        if self.words is None:
-            self.words = small_after(self.text)
-        return word in self.words
+        self.text, self.small, self.tokens = text, None, None
+
+    def before_small(self, word: str) -> bool:
+        """Whether the word stands with a period before a small letter."""
+        if self.small is None:
+            self.small = small_after(self.text)
+        return word in self.small
+
+    def plain(self, word: str) -> bool:
+        """Whether the word, written small, stands without a period."""
+        if self.tokens is None:
+            self.tokens = frozenset(_TOKEN.findall(self.text))
+        return word in self.tokens
+
+    def ordinary(self, word: str) -> bool:
+        """Whether the word is written small somewhere."""
+        return self.plain(word) or word + "." in self.tokens
+
+
+def spans_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the outermost quotations and brackets of any length; none crosses a blank line, a straight quotation no line."""
+    opened: dict[str, list[int]] = {}
+    found = []
+    for m in _EDGE.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark[0] == "\n":
+            if len(mark) > 1:
+                opened.clear()
+            opened.pop('"', None)
+            continue
+        if mark == '"':
+            if '"' in opened:
+                found.append((opened.pop('"')[0], at + 1))
+            else:
+                opened['"'] = [at]
+            continue
+        opener = max((o for o, closers in PAIRS.items() if mark in closers and opened.get(o)), key=lambda o: opened[o][-1], default=None)
+        if opener:
+            found.append((opened[opener].pop(), at + 1))
+        elif mark in PAIRS:
+            if mark in NESTING:
+                opened.setdefault(mark, []).append(at)
+            else:
+                opened[mark] = [at]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
 
 
-def _ends(text: str, at: int, end: int, unit: int, nocase: bool, own: _Own, known: Evidence) -> bool:
+def _ends(text: str, at: int, end: int, unit: int, nocase: bool, own: _Own, known: Evidence) -> bool | Open:
     """Whether the period run text[at:end] (closers included) ends the unit that began at ``unit``."""
     n = len(text)
     k = end
@@ -109,9 +193,12 @@ def _ends(text: str, at: int, end: int, unit: int, nocase: bool, own: _Own, know
     if nxt in "\"'“„«([「¿¡‘" and k + 1 < n:
         nxt = text[k + 1]
     # the word before the period
-    tail = text[max(unit, at - 24) : at]
-    word = tail.rsplit(None, 1)[-1].lstrip("(\"“„«[/") if tail and not tail[-1].isspace() else ""
-    b = at - len(word)
+    b = at
+    while b > unit and not text[b - 1].isspace():
+        b -= 1
+    while b < at and text[b] in "(\"“„«[/":
+        b += 1
+    word = text[b:at]
     low = word.lower()
     if "’" in low or "'" in low:
         low = low.replace("'", "’").rpartition("’")[2]  # l’art. is art.
@@ -131,35 +218,72 @@ def _ends(text: str, at: int, end: int, unit: int, nocase: bool, own: _Own, know
             if nxt.isupper() and text[unit:b].split()[-1:] and text[unit:b].split()[-1].lower() in ORDINAL_BEFORE:
                 return False
         return nocase or not small
-    letter = word[0].isalpha()
-    if letter and low in TITLES:
-        return False
-    if letter and low in ENDINGS:
-        if nocase:
-            return low_after in known.starters
-        if small or nxt.isdigit():
-            return False
-        if low in ("г", "гг") and not text[unit:b].rstrip()[-1:].isdigit():
-            return False
-        if low in NUMBER_WORDS:
-            return low_after in known.starters or low_after in own
-        return nxt.isupper() or not nxt.isalpha() or inner_capital
-    if letter and len(word) == 1:
-        return False  # an initial
-    if letter and len(word) <= 5 and "." in word and word.replace(".", "").isalpha() and all(len(x) <= 2 for x in word.split(".")):
-        return not small and low_after in known.starters
     if len(word) <= 4 and word[:-1].isdigit() and word[-1].isalpha() and text[unit:b].strip().lower() in HEADS:
         return False
-    if letter and len(word) <= SHORT and (low in known.abbreviations or low in own):
-        if small and not nocase:
-            return False
-        # an abbreviation: the end only if the next word is no proper name
-        if nxt.isdigit():
+    letter = word[0].isalpha()
+    if nocase:
+        return _ends_without_capitals(low, low_after, letter, nxt, small, own, known)
+    if not letter:
+        return not small or word[-1] in ")%]"
+    listed = 1 if low in TITLES else 2 if low in ENDINGS else 0
+    initial = len(low) == 1 or "." in low and low.replace(".", "").isalpha() and all(len(x) <= 2 for x in low.split("."))
+    # what the word is: the document first, then the corpus
+    if initial:
+        abbreviation = True
+    elif own.plain(low):
+        abbreviation = False
+    elif not small and own.before_small(low):
+        abbreviation = True
+    else:
+        abbreviation = True if low in known.abbreviations else False if low in known.words else None
+    if small:
+        # a small letter: an abbreviation, or capitals were lost here
+        if listed or initial or not (word.isalpha() or word[-1] in "%)’”»"):
             return False
-        return low_after in known.starters or (not nocase and f" {low_after} " in text)
-    if small and not nocase:
-        # an ordinary word or a figure before a small letter: capitals were lost here
-        return len(word) > SHORT and (word.isalpha() or word[-1] in "%)’”»") or word[-1] in ")%]"
+        if abbreviation is None and low in known.finals:
+            return True
+        return Open(low, low_after, True, None, None, 0) if abbreviation is None else not abbreviation
+    if nxt.isdigit() or nxt in "+-−#" or unicodedata.category(nxt) == "Sc":
+        # a figure: some words stand before figures with a period whatever else they are
+        return not (abbreviation or listed == 1 or low in known.counted or listed and abbreviation is None)
+    if abbreviation is False:
+        return True
+    if not nxt.isalpha():
+        return True
+    if low in ("г", "гг") and not text[unit:b].rstrip()[-1:].isdigit():
+        return False
+    # an abbreviation ends a sentence if the next word is no proper name
+    point = (m.end() if m else k) + 1
+    numbered = text[point - 1 : point] == "." and (low_after in known.counted or low_after in known.abbreviations)  # Ref. No. 5
+    if numbered or len(after) == 1 and text[point - 1 : point] == ".":
+        ordinary = False
+    elif inner_capital or own.ordinary(low_after) or low_after in known.ordinary:
+        ordinary = True
+    else:
+        ordinary = False if low_after in known.names else None
+    if ordinary:
+        return True
+    if low in NUMBER_WORDS:
+        return False
+    if abbreviation is not None and (ordinary is not None or listed == 2):
+        return listed == 2
+    return Open(low, low_after, False, abbreviation, ordinary, listed)
+
+
+def _ends_without_capitals(low: str, low_after: str, letter: bool, nxt: str, small: bool, own: _Own, known: Evidence) -> bool:
+    """The same where a line has lost its capitals: an abbreviation ends a unit before a word that begins sentences."""
+    if not letter:
+        return True
+    if low in TITLES and low not in known.words:
+        return False
+    if low in ENDINGS:
+        return low_after in known.starters
+    if len(low) == 1:
+        return False
+    if "." in low and low.replace(".", "").isalpha() and all(len(x) <= 2 for x in low.split(".")):
+        return not small and low_after in known.starters
+    if low in known.abbreviations:
+        return not nxt.isdigit() and low_after in known.starters
     return True
 
 
@@ -195,22 +319,34 @@ def _thai_breaks(text: str, start: int, end: int) -> list[int]:
 
 
 def sentence_units(text: str, known: Evidence | None = None) -> list[tuple[int, int]]:
-    """(start, end) of every sentence unit, in code points, without surrounding white space."""
-    known = known or Evidence()
-    spans = [m.span() for m in SPAN.finditer(text) if "\n\n" not in m.group()]
+    """(start, end) of every sentence unit, in code points, without surrounding white space; rare words count as without evidence."""
+    out: list[tuple[int, int]] = []
+    joined = False
+    for a, b, hangs in units_with_open_ends(text, known or Evidence()):
+        if joined:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+        joined = hangs is not None and not hangs.ends(None, None)
+    return out
+
+
+def units_with_open_ends(text: str, known: Evidence) -> list[tuple[int, int, Open | None]]:
+    """(start, end, open end) of every unit; an open end may turn out to be none, so that the next unit belongs to it."""
+    spans = spans_of(text)
     own = _Own(text)
     greek, thai = bool(GREEK.search(text)), bool(THAI.search(text))
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, Open | None]] = []
     unit = -1  # where the open unit began
     last = 0  # end of the last line's content
     is_item = False
     nspan, si = len(spans), 0
 
-    def close(a: int, b: int) -> None:
+    def close(a: int, b: int, hangs: Open | None = None) -> None:
         while b > a and text[b - 1].isspace():
             b -= 1
         if b > a:
-            out.append((a, b))
+            out.append((a, b, hangs))
 
     gap = 0
     for line in LINE.finditer(text):
@@ -263,7 +399,7 @@ def sentence_units(text: str, known: Evidence | None = None) -> list[tuple[int,
                 continue
             while si < nspan and spans[si][1] <= at:
                 si += 1
-            kind = text[at]
+            kind, hangs = text[at], None
             inside = si < nspan and spans[si][0] < at
             if inside and spans[si][1] > end:
                 continue
@@ -280,6 +416,13 @@ def sentence_units(text: str, known: Evidence | None = None) -> list[tuple[int,
                 ends = k >= le or nocase or not text[k].islower() or text[k + 1 : k + 2].isupper()
             else:
                 ends = _ends(text, at, end, unit, nocase, own, known)
+                if isinstance(ends, Open):
+                    # joined to the next unit later on, if that lies on the line or the line was wrapped here
+                    k = end
+                    while k < len(text) and text[k].isspace():
+                        k += 1
+                    wrapped = text.count("\n", end, k) == 1 and end - unit >= WRAP and not ITEM.match(text, k)
+                    hangs, ends = (ends, True) if k < le or wrapped else (None, True)
             if ends and inside:
                 a = spans[si][0]
                 if text[a] in "([（":
@@ -298,7 +441,7 @@ def sentence_units(text: str, known: Evidence | None = None) -> list[tuple[int,
             elif ends and kind in "。！？" and text[end : end + 1] in ("と",):
                 ends = False
             if ends:
-                close(unit, end)
+                close(unit, end, hangs)
                 unit = end
                 while unit < le and text[unit].isspace():
                     unit += 1
@@ -316,85 +459,165 @@ def sentence_units(text: str, known: Evidence | None = None) -> list[tuple[int,
     return out
 
 
+#: Words with a capital inside a sentence.
+_INSIDE = re.compile(r"(?<=[a-zß-öø-ÿά-ώа-яё,] )[A-ZÀ-ÖØ-ÞΑ-ΩΆ-ΏА-ЯЁ][\w’'-]*")
+_COUNTS = ("dot", "dot_small", "dot_figure", "head", "plain", "lower", "inside", "begins", "follows")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts: ('a', word before a period) and ('s', word after it), before small and large letters."""
-    counts: Counter = Counter()
+    """Partial counts of every word: before a period at all, before a small letter, before a figure; after a period; without
+    a period; written small; with a capital inside a sentence; beginning a sentence after an ordinary word, following an
+    abbreviation in small letters."""
+    counts: dict[str, Counter] = {c: Counter() for c in _COUNTS}
+    tokens: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        keys = list(counts)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([counts[k] for k in keys], pa.int64())],
-            ["kind", "word", "small", "n"],
-        )
-        counts.clear()
+        for t, n in tokens.items():
+            word = t.rstrip(".").lower()
+            if t[-1] != ".":
+                counts["plain"][word] += n
+            if t[0].islower():
+                counts["lower"][word] += n
+        tokens.clear()
+        words = list(set().union(*counts.values()))
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([counts[c][w] for w in words], pa.int64()) for c in _COUNTS]], ["word", *_COUNTS])
+        for c in counts.values():
+            c.clear()
         return out
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if not text or text.islower() or text.isupper():
                 continue
+            tokens.update(_TOKEN.findall(text))
+            counts["inside"].update(map(str.lower, _INSIDE.findall(text)))
             parts = text.split(". ")
             before = parts[0]
             for part in parts[1:]:
                 head = part.split(None, 1)
                 if head and before and not before[-1].isspace():
-                    nxt = head[0]
-                    word = before[-12:].rsplit(None, 1)[-1]
-                    c = nxt[0]
-                    if c.isalpha():
-                        small = c.islower()
-                        short = len(word) <= SHORT or "." in word
-                        if short:
-                            counts["a", word.lower(), small] += 1
-                        # after an abbreviation a small letter goes on, after an ordinary word a capital begins
-                        if short if small else (len(word) > SHORT and word.isalpha() or word[-1] in "%)"):
-                            counts["s", nxt.strip(".,;:!?\"”’)»").lower()[:24], small] += 1
+                    word, c = last_word(before), head[0][0]
+                    if word and word[0].isalpha():
+                        counts["dot"][word] += 1
+                        if c.isalpha():
+                            nxt = (WORD.match(head[0]) or [""])[0].lower()
+                            if nxt:
+                                counts["head"][nxt] += 1
+                                if c.islower():
+                                    counts["dot_small"][word] += 1
+                                    counts["follows"][nxt] += 1
+                                elif word.isalpha() and len(word) > 4 or word[-1] in "%)":
+                                    counts["begins"][nxt] += 1
+                        elif c.isdigit() or unicodedata.category(c) == "Sc":
+                            counts["dot_figure"][word] += 1
                 before = part
-        if len(counts) > 100_000:
+        if len(tokens) + sum(map(len, counts.values())) > 400_000:
             yield flush()
     yield flush()
 
 
-#: A word enters the evidence if it makes up at least this share of it, so that
-#: the evidence has at most 2 / LEAST_SHARE words however large the corpus is.
-LEAST_SHARE = 2e-5
+#: A word is frequent, and its evidence goes to every task, if it makes up at least this share of the words before or
+#: after periods: at most 1 / SHARE words of each kind. The evidence of all other words is joined.
+SHARE = 2e-5
+#: Least occurrences before a period that tell of an abbreviation.
+LEAST = 3
+
+
+def word_evidence(documents: DataFrame) -> DataFrame:
+    """(word, abbreviation, ordinary, starter, counted, final, dot, head): what all documents show of every word that stands before or after a period.
+
+    A word that stands without a period as often as with one is none; else an
+    abbreviation goes on with a small letter or a figure after a good part of
+    its periods, the greater the longer it is, as long words are seldom cut
+    short and capitals are sometimes lost. An ordinary word is written small
+    more often than with a capital inside a sentence. Null: nothing shown.
+    """
+    counts = documents.select("text").mapInArrow(_count, "word string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    total = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS]).where((F.col("dot") > 0) | (F.col("head") > 0))
+    dot, seen = F.col("dot"), F.col("lower") + F.col("inside")
+    goes_on = F.col("dot_small") + F.col("dot_figure") >= (1 - F.exp(-(F.length("word") - 1) / 4)) * dot
+    final = F.when((dot > 0) & (F.col("plain") >= dot), F.lit(True)).when(dot >= LEAST, ~goes_on)
+    shown = F.when((dot > 0) & (F.col("plain") >= dot), F.lit(False)).when((dot >= LEAST) & goes_on, F.lit(True))
+    ordinary = F.when(seen >= LEAST, F.col("lower") >= 0.5 * seen)
+    begins = F.col("begins") + F.col("follows")
+    starter = (begins >= LEAST) & (F.col("follows") <= 0.25 * begins)
+    counted = (dot >= LEAST) & (F.col("dot_figure") >= 0.3 * dot)
+    return total.select("word", shown.alias("abbreviation"), ordinary.alias("ordinary"), starter.alias("starter"), counted.alias("counted"), final.alias("final"), "dot", "head")
+
+
+def frequent_evidence(table: DataFrame) -> Evidence:
+    """The evidence of the frequent words, for every task."""
+    whole = table.agg(F.sum("dot").alias("_dots"), F.sum("head").alias("_heads"))
+    often = table.join(F.broadcast(whole)).where((F.col("dot") >= SHARE * F.col("_dots")) | (F.col("head") >= SHARE * F.col("_heads")))  # whole: one row
+    rows = often.select("word", "abbreviation", "ordinary", "starter", "counted", "final").collect()
+    pick = lambda c, v: frozenset(r["word"] for r in rows if r[c] is v)
+    return Evidence(pick("abbreviation", True), pick("abbreviation", False), pick("ordinary", True), pick("ordinary", False), pick("starter", True), pick("counted", True), pick("final", True))
 
 
 def corpus_evidence(documents: DataFrame) -> Evidence:
-    """Abbreviations and sentence openers over all documents."""
-    counts = documents.select("text").mapInArrow(_count, "kind string, word string, small boolean, n bigint")
-    total = cut_lineage(counts.groupBy("kind", "word").agg(F.sum(F.when(F.col("small"), F.col("n")).otherwise(0)).alias("small"), F.sum("n").alias("n")))
-    whole = total.groupBy("kind").agg(F.sum("n").alias("_all"))
-    chosen = (
-        total.join(F.broadcast(whole), "kind")  # two rows
-        .where((F.col("n") >= F.col("_all") * LEAST_SHARE) & (F.col("n") >= 3))
-        .where(F.when(F.col("kind") == "a", F.col("small") >= 0.3 * F.col("n")).otherwise(F.col("small") <= 0.25 * F.col("n")))
-        .select("kind", "word")
-        .collect()
-    )
-    pick = lambda kind: frozenset(r["word"] for r in chosen if r["kind"] == kind and r["word"])
-    return Evidence(pick("a"), pick("s"))
+    """What all documents show of the frequent words."""
+    return frequent_evidence(cut_lineage(word_evidence(documents)))
+
+
+_UNITS = "doc_id bigint, start_char bigint, end_char bigint, chain array<struct<start_char:bigint,end_char:bigint,word:string,after:string,small:boolean,abbreviation:boolean,ordinary:boolean,listed:int>>"
+_CHAIN = pa.list_(pa.struct([("start_char", pa.int64()), ("end_char", pa.int64()), ("word", pa.string()), ("after", pa.string()), ("small", pa.bool_()), ("abbreviation", pa.bool_()), ("ordinary", pa.bool_()), ("listed", pa.int32())]))
 
 
 def split_sentences(documents: DataFrame, known: Evidence | None = None) -> DataFrame:
     """(doc_id, start_char, end_char) of every sentence unit of every document.
 
-    Two passes: evidence over all documents (unless given), then the split,
-    which is narrow. Null, empty and blank texts have no units; repeated
-    documents give the same units under each doc_id; extra columns are ignored.
+    Two passes over the documents: evidence (unless given), then the split,
+    which is narrow but for the boundaries that hang on rare words: those meet
+    the evidence of their words by a join, without any text. Null, empty and
+    blank texts have no units; repeated documents give the same units under
+    each doc_id; extra columns are ignored.
     """
-    known = known or corpus_evidence(documents)
+    table = None
+    if known is None:
+        table = cut_lineage(word_evidence(documents))
+        known = frequent_evidence(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, starts, ends = [], [], []
+            docs, starts, ends, chains = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    units = sentence_units(text, known)
-                    docs += [doc] * len(units)
-                    for a, b in units:
+                chain: list = []
+                for a, b, hangs in units_with_open_ends(text, known) if text else ():
+                    if not chain:
+                        docs.append(doc)
                         starts.append(a)
+                    if hangs is None:
                         ends.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "start_char", "end_char"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start_char bigint, end_char bigint")
+                        chains.append([*chain, {"start_char": a, "end_char": b}] if chain else None)
+                        chain = []
+                    else:
+                        chain.append({"start_char": a, "end_char": b, **hangs._asdict()})
+                if chain:
+                    ends.append(chain[-1]["end_char"])
+                    chains.append(chain)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(chains, _CHAIN)], ["doc_id", "start_char", "end_char", "chain"])
+
+    parts = documents.select("doc_id", "text").mapInArrow(run, _UNITS)
+    parts = cut_lineage(parts)
+    closed = parts.where(F.col("chain").isNull()).select("doc_id", "start_char", "end_char")
+    return closed.unionByName(settled(parts.where(F.col("chain").isNotNull()), table))
+
+
+def settled(chains: DataFrame, table: DataFrame | None) -> DataFrame:
+    """Units of the chains: units joined where their open end is none by the evidence of its words."""
+    rows = chains.select("doc_id", F.monotonically_increasing_id().alias("chain_id"), "chain")
+    ends = rows.select("doc_id", "chain_id", F.posexplode("chain").alias("i", "c")).select("doc_id", "chain_id", "i", "c.*")
+    if table is not None:
+        words = table.where("final IS NOT NULL").select("word", F.col("abbreviation").alias("_a"), (~F.col("final")).alias("_g"))
+        nexts = table.where("ordinary IS NOT NULL").select(F.col("word").alias("after"), F.col("ordinary").alias("_o"))
+        ends = ends.join(words, "word", "left").join(nexts, "after", "left")
+        ends = ends.withColumns({"abbreviation": F.coalesce("abbreviation", F.when(F.col("small"), F.col("_g")).otherwise(F.col("_a"))), "ordinary": F.coalesce("ordinary", "_o")})
+    abbreviation = F.coalesce("abbreviation", F.col("listed") > 0)
+    # what no word is told of, the last of a chain, closes a unit
+    before_capital = ~abbreviation | F.coalesce("ordinary", F.lit(False)) | (F.col("listed") == 2)
+    is_end = F.when(F.col("word").isNull(), True).when(F.col("small"), F.coalesce(~F.col("abbreviation"), F.length("word") > SHORT)).otherwise(before_capital)
+    item = F.struct("i", "start_char", "end_char", is_end.alias("is_end"))
+    whole = ends.groupBy("doc_id", "chain_id").agg(F.array_sort(F.collect_list(item)).alias("e"))
+    whole = whole.select("doc_id", "e", F.filter("e", lambda x: x["is_end"] | (x["i"] == F.size("e") - 1)).alias("cuts"))
+    unit = lambda cut, k: F.struct(F.get("e", F.coalesce(F.get("cuts", k - 1)["i"] + 1, F.lit(0)))["start_char"].alias("start_char"), cut["end_char"].alias("end_char"))
+    return whole.select("doc_id", F.inline(F.transform("cuts", unit)))

@@ -2,7 +2,8 @@ import pytest
 
 from silverbarn.llm import sentences as S
 
-KNOWN = S.Evidence(frozenset({"ref", "ff"}), frozenset({"the", "our", "management", "die", "der", "dr"}))
+STARTERS = frozenset({"the", "our", "management", "die", "der", "dr"})
+KNOWN = S.Evidence(abbreviations=frozenset({"ref", "ff"}), ordinary=STARTERS - {"dr"}, starters=STARTERS)
 CASES = [
     ["Dr. Mora named T. A. Vell as chief.", "The fund sold 3.5 shares at 4 p.m. on Oct. 5, 2021.", "Trading resumed."],
     ["It bought Hob Corp. for cash.", "The buyer was Hob Insurance Corp.", "Our desk cut the outlook by 3.1%.", "720 homes were sold."],
@@ -52,6 +53,46 @@ def test_document_shows_its_own_abbreviations():
     assert [text[a:b] for a, b in S.sentence_units(text)][-1] == "Nothing else." and len(S.sentence_units(text)) == 2
 
 
+@pytest.mark.parametrize(
+    "units",
+    [
+        ["The answer was no.", "The board met again."],
+        ["This is state of the art.", "We use it, as we said."],
+        ["They chose plan B.", "The fund sold its shares."],
+        ["She saw the fig.", "The tree grew over the fig tree."],
+        ["He met Prof.", "The meeting with Prof. Vell and Dr. Mora was short."],
+        ["“" + "We hold on. " * 80 + "We do not sell.” said the chair.", "The rest follows."],
+        ["The notes (" + "these ran on. " * 60 + "they end) were read.", "Nothing else."],
+    ],
+)
+def test_evidence_comes_before_lists(units):
+    text = " ".join(units)
+    known = S.Evidence(ordinary=frozenset({"the", "we"}))
+    assert [text[a:b] for a, b in S.sentence_units(text, known)] == units
+
+
+def test_lists_may_be_empty_where_there_is_evidence(spark, monkeypatch):
+    rows = [(i, f"Ask Dr. Vell{'abcdefghij'[i % 10]} on Oct. {i % 28 + 1} about the rule. The doctor of the day met the board, approx. four of them. Later the Dr. wrote to Prof. Mora et al. in May.") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = sorted(tuple(r) for r in S.split_sentences(df).collect())
+    monkeypatch.setattr(S, "ENDINGS", frozenset())
+    monkeypatch.setattr(S, "TITLES", frozenset({"dr", "prof"}))
+    assert sorted(tuple(r) for r in S.split_sentences(df).collect()) == whole and len(whole) == 180
+
+
+def test_rare_words_are_settled_by_the_join(spark, monkeypatch):
+    rows = [(i, f"The xyzw. unit of Vell met the xyzw. unit. We left it to them. Number {i}.") for i in range(3)]
+    rows += [(10 + i, "It came from the xyzw. Grenda left. It was Prof. Grenda that left. What of it.") for i in range(3)]
+    rows += [(20, "The word was quvu. It ended."), (21, "See quvu and quvu."), (22, ""), (23, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = sorted(tuple(r) for r in S.split_sentences(df).collect())
+    monkeypatch.setattr(S, "SHARE", 2.0)  # no word is frequent
+    rare = sorted(tuple(r) for r in S.split_sentences(df).collect())
+    assert rare == whole
+    text = rows[3][1]
+    assert [text[a:b] for d, a, b in rare if d == 10] == ["It came from the xyzw. Grenda left.", "It was Prof. Grenda that left.", "What of it."]
+
+
 def test_units_cover_all_text_and_are_trimmed():
     text = " \n\xa0 Odd  “unbalanced (text. And more\t\n\n\n...\n!? " * 30
     units = S.sentence_units(text)
