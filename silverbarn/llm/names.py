@@ -2,11 +2,13 @@
 
 Names become a kind (organisation or person), what must agree exactly (line of
 business, number of the vehicle; given name and initial) and the distinctive
-words typed with errors. Distinct forms, not records, go through MinHash
-banding over padded q-grams of each distinctive word; the number of bands
-follows from the collision curve. Candidate forms are verified by Monge-Elkan
-similarity, linked forms clustered by star clustering, and clusters that share
-an identifier joined.
+words typed with errors. Words that stand in many names beside ever other words
+are lines of business too; they are learnt from the names themselves. Distinct
+forms, not records, go through MinHash banding over padded q-grams of each
+distinctive word; the number of bands follows from the collision curve of a
+word of that length. Candidate forms are verified by Monge-Elkan similarity,
+linked forms clustered by star clustering, and clusters that share an
+identifier joined.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +65,14 @@ TITLES = frozenset("mr mrs ms miss dr prof sir dame esq cpa phd md jd mba cfa jr
 NOISE = frozenset("the and of & adr subsidiaries subsidiary und et y".split())
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 
-Q = 3
+#: Two letters, so that an error spoils little of a short word.
+Q = 2
 #: Rows of a band for organisations; persons, of whom one word must collide, take one less.
 ROWS = 4
-#: One typing error in a word of eight letters leaves this share of its padded q-grams.
-TYPO_SIMILARITY = 0.54
-RECALL = 0.92
+#: Somewhat more than asked for (0.92), as repeated q-grams within a word make the measured recall fall below the curve.
+RECALL = 0.95
+#: Shorter words get as many bands as words of the one length, longer ones, which bear more errors, as many as of the other.
+SHORTEST, LONGEST = 4, 6
 #: Forms of one bucket compared by one task; a fuller bucket is cut into blocks of about so many.
 BUCKET = 64
 #: Least Monge-Elkan similarity of the distinctive words, and of a single word against several.
@@ -80,10 +85,28 @@ def bands(similarity: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-BANDS = bands(TYPO_SIMILARITY, RECALL, ROWS)
+def typo_similarity(length: int) -> float:
+    """Jaccard similarity of the padded q-grams of a word and the same with one wrong letter: Q of length + Q - 1 differ."""
+    return (length - 1) / (length + 2 * Q - 1)
+
+
+@lru_cache(maxsize=None)
+def bands_of(length: int) -> int:
+    """Bands of a word of so many letters; more for short ones, of which an error spoils a greater part."""
+    return bands(typo_similarity(min(max(length, SHORTEST), LONGEST)), RECALL, ROWS)
+
+
+BANDS = bands_of(SHORTEST)
 _PRIME = (1 << 31) - 1
 _A = np.random.default_rng(7).integers(1, _PRIME, BANDS * ROWS, dtype=np.int64)
 _B = np.random.default_rng(11).integers(0, _PRIME, BANDS * ROWS, dtype=np.int64)
+#: A word is a line of business if it stands in at least this share of the organisations' forms (and in LEAST_FORMS),
+#: so at most words per name / GENERIC_SHARE of them are known, no other word stands beside it in more than BESIDE of these.
+GENERIC_SHARE = 0.002
+LEAST_FORMS = 20
+BESIDE = 0.2
+#: What leads the name in more than this share of its forms is a family's name.
+LEADS = 0.5
 
 
 def _table(words: dict[str, str]) -> dict[str, str]:
@@ -132,6 +155,7 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=100_000)
 def given_name(token: str) -> str:
     """The given names a token may stand for, as 'a|b'; '' if none. One or two typing errors in a long name are forgiven."""
     if token in _GIVEN:
@@ -144,11 +168,13 @@ def given_name(token: str) -> str:
     return ""
 
 
-def form(name: str | None, is_person: bool | None) -> tuple[str, str, list[str], str, str] | None:
+@lru_cache(maxsize=10_000)
+def form(name: str | None, is_person: bool | None, generic: frozenset = frozenset()) -> tuple[str, str, list[str], str, str] | None:
     """(kind, exact, words, given, middle) of a name; None for a null or empty one.
 
     ``exact`` joins the line of business and the vehicle's number of an
-    organisation. ``is_person`` None: decided by the words. For a person the
+    organisation; ``generic`` are the lines of business learnt. ``is_person``
+    None: decided by the words. For a person the
     words are the surname's, ``given`` the possible given names or an initial.
     """
     found = tokens(name or "")
@@ -180,6 +206,8 @@ def form(name: str | None, is_person: bool | None) -> tuple[str, str, list[str],
             continue
         if t in _BUSINESS:
             business.append(_BUSINESS[t])
+        elif t in generic:
+            business.append(t)
         elif t in ROMAN or t.isdigit() and len(t) <= 3:
             number = str(ROMAN.get(t, t))
         elif len(t) > 1:
@@ -189,40 +217,99 @@ def form(name: str | None, is_person: bool | None) -> tuple[str, str, list[str],
     return "org", "+".join(sorted(set(business))) + "#" + number, words, "", ""
 
 
-def word_bands(word: str, rows: int = ROWS) -> list[int]:
-    """Band hashes of the MinHash signature of a word's padded q-grams."""
+def _grams(word: str) -> list[str]:
     padded = "\x01" * (Q - 1) + word + "\x02" * (Q - 1)
-    h = np.array([zlib.crc32(padded[i : i + Q].encode()) for i in range(len(padded) - Q + 1)], np.int64) % _PRIME
-    low = ((h[:, None] * _A + _B) % _PRIME).min(0).reshape(BANDS, ROWS)
-    mix = low[:, 0]
-    for k in range(1, rows):
-        mix = (mix * 1_000_003 + low[:, k]) & ((1 << 61) - 1)
-    return mix.tolist()
+    return [padded[i : i + Q] for i in range(len(padded) - Q + 1)]
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for key, link, name, person in zip(*(c.to_pylist() for c in batch.columns)):
-            f = form(name, person)
-            kind, exact, words, given, middle = f or ("", "", [], "", "")
-            for col, v in zip(out, (key, link, kind, exact, words, given, middle)):
-                col.append(v)
-        kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "link", "kind", "exact", "words", "given", "middle"])
+def all_bands(words: list[str], rows: int = ROWS) -> list[np.ndarray]:
+    """Band hashes of the MinHash signatures of the words' padded q-grams, as many as each word's length asks for.
+
+    Words of one number of bands go together; every distinct q-gram is hashed once.
+    """
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+    groups: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        groups.setdefault(bands_of(len(w)), []).append(i)
+    number: dict[str, int] = {}
+    grams = [[number.setdefault(g, len(number)) for g in _grams(w)] for w in words]
+    crc = np.array([zlib.crc32(g.encode()) for g in number], np.int64) % _PRIME
+    for n, group in groups.items():
+        width = n * ROWS
+        table = ((crc[:, None] * _A[:width] + _B[:width]) % _PRIME).astype(np.int64)
+        for at in range(0, len(group), 512):
+            some = group[at : at + 512]
+            flat = np.concatenate([grams[i] for i in some])
+            begin = np.cumsum([0, *(len(grams[i]) for i in some[:-1])])
+            low = np.minimum.reduceat(table[flat], begin, axis=0).reshape(len(some), n, ROWS)
+            mix = low[:, :, 0]
+            for k in range(1, rows):
+                mix = (mix * 1_000_003 + low[:, :, k]) & ((1 << 61) - 1)
+            for i, row in zip(some, mix):
+                out[i] = row
+    return out
+
+
+def word_bands(word: str, rows: int = ROWS) -> list[int]:
+    """Band hashes of one word."""
+    return all_bands([word], rows)[0].tolist()
+
+
+def _forms(generic: frozenset):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for key, link, name, person in zip(*(c.to_pylist() for c in batch.columns)):
+                f = form(name, person, generic)
+                kind, exact, words, given, middle = f or ("", "", [], "", "")
+                for col, v in zip(out, (key, link, kind, exact, words, given, middle)):
+                    col.append(v)
+            kinds = [pa.string()] * 4 + [pa.list_(pa.string()), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "link", "kind", "exact", "words", "given", "middle"])
+
+    return run
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        nodes, kinds = batch.column(0), batch.column(2).to_pylist()
+        # the words run together find names written in one word or in pieces
+        each = [sorted({*words, "".join(words)}) for words in batch.column(1).to_pylist()]
         ids, slots, hashes = [], [], []
-        for node, words, kind in zip(*(c.to_pylist() for c in batch.columns)):
-            # the words run together find names written in one word or in pieces
-            for word in {*words, "".join(words)}:
-                for slot, h in enumerate(word_bands(word, ROWS - (kind == "person"))):
-                    ids.append(node)
-                    slots.append(slot)
-                    hashes.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(slots, pa.int32()), pa.array(hashes, pa.int64())], ["node", "slot", "hash"])
+        for person in (False, True):
+            some = [i for i, k in enumerate(kinds) if (k == "person") is person]
+            distinct = sorted({w for i in some for w in each[i]})
+            found = dict(zip(distinct, all_bands(distinct, ROWS - person))) if distinct else {}
+            for i in some:
+                for w in each[i]:
+                    ids.append(np.full(len(found[w]), i))
+                    slots.append(np.arange(len(found[w])))
+                    hashes.append(found[w])
+        at = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(at, pa.int64())), join(slots, pa.int32()), join(hashes, pa.int64())], ["node", "slot", "hash"])
+
+
+_FORM = "key string, link string, kind string, exact string, words array<string>, given string, middle string"
+
+
+def lines_of_business(records: DataFrame) -> frozenset:
+    """Words of many organisations' names that stand beside ever other words: what the names say of the business.
+
+    Counted over the distinct forms of all names. The name of one party under
+    very many spellings is no line of business, as its words keep one another
+    company, nor is the name of a family of companies, which leads. The driver sees at most words per name / GENERIC_SHARE words.
+    """
+    forms = records.select("key", "link", "name", "person").mapInArrow(_forms(frozenset()), _FORM)
+    names = forms.where((F.col("kind") == "org") & (F.size("words") > 1)).select(F.array_distinct("words").alias("words"), "exact").distinct()
+    names = cut_lineage(names)
+    least = max(LEAST_FORMS, GENERIC_SHARE * names.count())
+    word = names.select(F.explode("words").alias("word"), "words")
+    leads = F.count_if(F.col("word") == F.get("words", 0))
+    often = word.groupBy("word").agg(F.count(F.lit(1)).alias("n"), leads.alias("first")).where((F.col("n") >= least) & (F.col("first") <= LEADS * F.col("n"))).drop("first")
+    beside = word.join(often, "word").select("word", "n", F.explode("words").alias("other")).where(F.col("other") != F.col("word"))
+    top = beside.groupBy("word", "n", "other").agg(F.count(F.lit(1)).alias("m")).groupBy("word", "n").agg(F.max("m").alias("m"))
+    return frozenset(r["word"] for r in top.where(F.col("m") <= BESIDE * F.col("n")).select("word").collect())
 
 
 def monge_elkan(a: Column, b: Column) -> Column:
@@ -240,7 +327,7 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     than BUCKET forms all pairs are compared too, block against block, but
     only those that name the same party leave their task.
     """
-    banded = nodes.select("node", "words", "kind").mapInArrow(_banded, "node bigint, slot int, hash bigint")
+    banded = nodes.select("node", "words", "kind").mapInArrow(_banded, f"node {nodes.schema['node'].dataType.simpleString()}, slot int, hash bigint")
     initials = F.array_distinct(F.transform(F.split("given", r"\|"), lambda g: F.substring(g, 1, 1)))
     info = nodes.select("node", "kind", "exact", F.explode(initials).alias("initial"))
     keyed = banded.join(info, "node").withColumn("bucket", F.xxhash64("kind", "exact", "initial", "slot", "hash"))
@@ -358,9 +445,9 @@ def star_clusters(edges: DataFrame) -> DataFrame:
     if centers is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("center"))
     near = both.join(centers.select(F.col("a").alias("b")), "b").join(centers, "a", "left_anti")
-    satellite = cut_lineage(near.groupBy("a").agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("center")))
+    satellite = cut_lineage(near.groupBy("a").agg(F.min_by("b", F.struct(-F.col("similarity"), F.col("b"))).alias("center")))
     alone = centers.join(satellite.select(F.col("center").alias("a")).distinct(), "a", "left_anti")
-    next_to = both.join(alone, "a").groupBy("a").agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("b"))
+    next_to = both.join(alone, "a").groupBy("a").agg(F.min_by("b", F.struct(-F.col("similarity"), F.col("b"))).alias("b"))
     joined = next_to.join(satellite.select(F.col("a").alias("b"), "center"), "b").select(F.col("a").alias("node"), "center")
     own = centers.join(joined.select(F.col("node").alias("a")), "a", "left_anti").select(F.col("a").alias("node"), F.col("a").alias("center"))
     return satellite.select(F.col("a").alias("node"), "center").unionByName(joined).unionByName(own)
@@ -369,11 +456,17 @@ def star_clusters(edges: DataFrame) -> DataFrame:
 def joined_by(rows: DataFrame, label: str, link: str) -> DataFrame:
     """(label, party): labels connected through common links, by least label, until nothing changes."""
     ties = cut_lineage(rows.select(label, link).dropna().distinct())
+    # a link of one label joins nothing
+    ties = ties.join(ties.groupBy(link).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(link), link, "left_semi")
+    ties = cut_lineage(ties)
     state = cut_lineage(rows.select(label).distinct().withColumn("party", F.col(label)))
     while True:
         by_link = ties.join(state, label).groupBy(link).agg(F.min("party").alias("p"))
         least = ties.join(by_link, link).groupBy(label).agg(F.min("p").alias("p"))
-        new = cut_lineage(state.join(least, label, "left").select(label, F.least("party", F.coalesce("p", "party")).alias("party"), (F.col("p") < F.col("party")).alias("moved")))
+        near = state.join(least, label, "left").select(label, F.least("party", F.coalesce("p", "party")).alias("near"), F.col("party").alias("was"))
+        # jump: the party of the party found so far
+        heads = state.select(F.col(label).alias("near"), F.col("party").alias("head"))
+        new = cut_lineage(near.join(heads, "near", "left").select(label, F.least("near", F.coalesce("head", "near")).alias("party"), "was").withColumn("moved", F.col("party") < F.col("was")))
         state = new.select(label, "party")
         if new.where(F.col("moved")).isEmpty():
             return state
@@ -395,8 +488,10 @@ def parties(records: DataFrame) -> DataFrame:
     Records with null or empty names form parties by their link alone.
     Repeated rows and equal forms are folded before any comparison.
     """
-    forms = records.mapInArrow(_forms, "key string, link string, kind string, exact string, words array<string>, given string, middle string")
-    forms = cut_lineage(forms.withColumn("node", F.when(F.col("kind") != "", F.xxhash64("kind", "exact", "words", "given", "middle")).otherwise(F.xxhash64("link"))))
+    forms = records.mapInArrow(_forms(lines_of_business(records)), _FORM)
+    # 128 bits stand for the form
+    own = F.to_json(F.when(F.col("kind") != "", F.struct("kind", "exact", "words", "given", "middle")).otherwise(F.struct(F.lit("").alias("kind"), F.col("link").alias("exact"), F.array().cast("array<string>").alias("words"), F.lit("").alias("given"), F.lit("").alias("middle"))))
+    forms = cut_lineage(forms.withColumn("node", F.unhex(F.md5(own))))
     nodes = forms.where((F.col("kind") != "") & (F.size("words") > 0)).select("node", "kind", "exact", "words", "given", "middle").dropDuplicates(["node"])
     nodes = cut_lineage(nodes)
     edges = cut_lineage(verified(nodes, candidate_pairs(nodes)))

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from silverbarn.llm import names as N
@@ -6,11 +9,35 @@ from silverbarn.llm import names as N
 def test_bands_follow_the_collision_curve():
     b = N.bands(0.54, 0.92, 4)
     assert 1 - (1 - 0.54**4) ** b >= 0.92 > 1 - (1 - 0.54**4) ** (b - 1)
-    # measured on words with one typing error
-    words = [f"{a}{m}{z}" for a in ("bre", "kol", "tri", "van") for m in ("dron", "mel", "sta") for z in ("kir", "wen", "pol")]
-    wrong = [w[:4] + "x" + w[5:] for w in words]
-    hit = sum(bool(set(enumerate(N.word_bands(a))) & set(enumerate(N.word_bands(b)))) for a, b in zip(words, wrong))
-    assert hit / len(words) >= 0.85
+    grams = lambda w: set(zip("^" + w, w + "$"))
+    for n in range(4, 13):
+        a, z = grams("abcdefghijklm"[:n]), grams("ab" + "z" + "defghijklm"[: n - 3])
+        assert abs(N.typo_similarity(n) - len(a & z) / len(a | z)) < 1e-9
+
+
+@pytest.mark.parametrize("length", range(4, 13))
+def test_recall_of_one_typing_error_by_length(length):
+    rnd = random.Random(length)
+    words = ["".join(rnd.choice(("bdfgklmnprstvz", "aeiou")[k % 2]) for k in range(length)) for _ in range(600)]
+    wrong = []
+    for w in words:
+        k = rnd.randrange(length)
+        wrong.append(w[:k] + rnd.choice([c for c in "abcdefghijklmnopqrstuvwxyz" if c != w[k]]) + w[k + 1 :])
+    hit = sum(bool((a[:n] == b[:n]).any()) for a, b in zip(N.all_bands(words), N.all_bands(wrong)) for n in [min(len(a), len(b))])
+    assert hit / len(words) >= 0.92
+    assert [N.word_bands(w) for w in words[:5]] == [x.tolist() for x in N.all_bands(words[:5])]
+
+
+def test_lines_of_business_are_learnt(spark):
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice(("bdfgklmnprstvz", "aeiou")[k % 2]) for k in range(8))
+    rows = [(f"k{i}", f"l{i}", f"{word()} {word()} {('Fishing', 'Forestry')[i % 2]} Ltd", False) for i in range(100)]
+    rows += [(f"h{i}", f"m{i}", f"Calmelter Bronman {word()[:3]} Ltd", False) for i in range(100)]
+    df = spark.createDataFrame(rows, "key string, link string, name string, person boolean")
+    assert N.lines_of_business(df) == {"fishing", "forestry"}
+    assert N.form("Brontel Fishing Co", None, frozenset({"fishing"}))[1] == "fishing#"
+    more = [("a", "a", "Brontel Fishing Ltd", False), ("b", "b", "Brontel Forestry Ltd", False), ("c", "c", "Bronte1 Fishing", False)]
+    assert {p for p in _pairs(spark, rows + more) if set(p) <= {"a", "b", "c"}} == {("a", "c")}
 
 
 def test_forms_of_organisations():
