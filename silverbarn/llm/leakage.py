@@ -1,11 +1,13 @@
 """Evaluation passages inside training text: rare n-gram seeds, then Smith-Waterman alignment.
 
-The test items are a small stated query set held by every task; the corpus is
-only scanned. Pass one counts in how many documents each n-gram of the items
-stands. Pass two takes the rare ones, and those that only one item or one
-passage common to a few items has however often they are copied, as seeds, and aligns each seeded item with the part of
-the document around its seeds, word by word. No pair of documents is formed
-and no document leaves its task.
+The test items are a stated query set held block by block; the corpus is only
+scanned. Pass one counts in how many documents each n-gram of the items stands.
+Pass two takes as seeds those that are rare, those of one family of near-equal
+items or of a passage a few families share however often they are copied, and
+the rarest one of every stretch of an item that has no other; it aligns each
+seeded item with the part of the document around its seeds, word by word. Only
+an n-gram that many documents and many families of items have is a stock phrase
+and no seed. No pair of documents is formed and no document leaves its task.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,18 @@ SEED = 3
 #: A seed is rare if at most this share of the documents (or RARE_DOCS of them) has it.
 RARE_SHARE = 2e-4
 RARE_DOCS = 8
+#: A frequent n-gram of more families of items than this is a stock phrase.
+FAMILIES = 8
+#: Items are of one family if the words they have in common make up this part of the shorter one.
+NEAR_EQUAL = 0.5
 #: Alignment: gain of a matching word, loss of a replaced, added or missing one.
 MATCH, REPLACED, GAP = 1.0, -1.2, -1.0
-#: Least alignment score of a leak, and least distinct words of the item around its seeds.
-LEAST_SCORE = 16.5
-LEAST_WORDS = 13
+#: A leak holds a passage of about so many words, of which small edits change this part.
+PASSAGE, EDITED = 20, 0.08
+#: Least score of a leak: that of such a passage.
+LEAST_SCORE = PASSAGE * (MATCH - EDITED * (MATCH - REPLACED))
+#: Least distinct words of the item around its seeds; a passage of twenty repeats up to a third of its words.
+LEAST_WORDS = PASSAGE * 2 // 3
 #: Pairs aligned together.
 PAIRS = 128
 #: Words of items held by one scan; more items are scanned in blocks.
@@ -37,7 +46,9 @@ BLOCK_WORDS = 500_000
 
 _MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff]+")
 _BREAK = re.compile(r"(?<=\w)[-\u2010\u2011]\r?\n\s*(?=\w)")
-_WORD = re.compile(r"\w+")
+#: Scripts written without blanks: every character counts as a word.
+_SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_SOLID}]|[^\W{_SOLID}]+")
 
 
 def words(text: str) -> list[str]:
@@ -90,6 +101,7 @@ class Items:
         self.sets: dict[int, frozenset] = {}
         self.seeds: dict[tuple, list[int]] = defaultdict(list)
         self.same: dict[int, list[int]] = {}
+        self.words: dict[int, list[str]] = {}
         place: dict[tuple, int] = {}
         for item_id, text in rows:
             w = words(text or "")
@@ -97,18 +109,57 @@ class Items:
             self.same.setdefault(item, []).append(item_id)
             if item in self.items:
                 continue
+            self.words[item] = w
             self.items[item] = np.array([self.ids.setdefault(x, len(self.ids)) for x in w], np.int64)
             self.sets[item] = frozenset(self.items[item].tolist())
             for g in set(zip(*(w[k:] for k in range(SEED)))):
                 self.seeds[g].append(item)
 
-    def one_passage(self, often: list[tuple]) -> set[tuple]:
-        """Those of the n-grams whose items, at most RARE_DOCS, have a passage in common; by more, it is a stock phrase."""
-        few = [g for g in often if len(self.seeds[g]) <= RARE_DOCS]
-        pairs = sorted({(self.seeds[g][0], other) for g in few for other in self.seeds[g][1:]})
-        scores = align([self.items[a] for a, _ in pairs], [self.items[b] for _, b in pairs])
-        kin = {p for p, s in zip(pairs, scores) if s >= LEAST_SCORE}
-        return {g for g in few if all((self.seeds[g][0], other) in kin for other in self.seeds[g][1:])}
+    def families(self, often: list[tuple]) -> tuple[set[tuple], set[tuple]]:
+        """(passages, stock phrases) among n-grams of many documents that several items have.
+
+        An n-gram's items fall into families of near-equal ones, each compared
+        with one item of every family so far. One family, or a few that have a
+        passage in common: a passage. More than FAMILIES: a stock phrase,
+        whatever they have in common. The rest is neither.
+        """
+        scores: dict[tuple[int, int], float] = {}
+        passages, stock = set(), set()
+        for g in often:
+            heads: list[int] = []
+            common = True
+            for item in self.seeds[g]:
+                new = [(h, item) for h in heads if (h, item) not in scores]
+                if new:
+                    found = align([self.items[a] for a, _ in new], [self.items[b] for _, b in new])
+                    scores.update(zip(new, found.tolist()))
+                if any(scores[h, item] >= NEAR_EQUAL * min(len(self.items[h]), len(self.items[item])) for h in heads):
+                    continue
+                common = common and all(scores[h, item] >= LEAST_SCORE for h in heads[:1])
+                heads.append(item)
+                if len(heads) > FAMILIES:
+                    break
+            if len(heads) > FAMILIES:
+                stock.add(g)
+            elif common:
+                passages.add(g)
+        return passages, stock
+
+    def filled(self, keep: set[tuple], stock: set[tuple], df: dict[tuple, int]) -> set[tuple]:
+        """``keep`` with the rarest n-gram of every stretch as long as a passage that has none; stock phrases apart."""
+        more = set()
+        for words_ in self.words.values():
+            since: list[tuple] = []
+            for g in zip(*(words_[k:] for k in range(SEED))):
+                if g in keep:
+                    since = []
+                    continue
+                since.append(g)
+                if len(since) > PASSAGE - SEED:
+                    open_ = [x for x in since if x not in stock and df.get(x)]
+                    more.update(sorted(open_, key=lambda x: (df[x], x))[:1])
+                    since = []
+        return keep | more
 
     def narrowed(self, keep: set[tuple]) -> None:
         self.seeds = {g: i for g, i in self.seeds.items() if g in keep}
@@ -159,7 +210,7 @@ def leaks(texts: list[tuple[int, str]], held: Items, keys: frozenset) -> list[tu
     return sorted({(item_id, doc) for (item, doc, _), s in zip(pairs, scores) if s >= LEAST_SCORE for item_id in held.same[item]})
 
 
-def _blocks(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+def _blocks(rows: Iterable[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for row in rows:
         n = len((row[1] or "").split())
@@ -175,12 +226,13 @@ def _blocks(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
 def leaked(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """(item_id, doc_id): the document contains a passage of the item.
 
-    The items are read to the driver as the query set (a few hundred rows) and
-    scanned in blocks of BLOCK_WORDS words if there are more. Null and empty
-    texts and rows without an id leak nothing; repeated documents are reported under each doc_id;
-    repeated items under each item_id; extra columns are ignored.
+    The items are read partition by partition and scanned in blocks of
+    BLOCK_WORDS words, so the driver and a task hold one block at a time. Null
+    and empty texts and rows without an id leak nothing; repeated documents are
+    reported under each doc_id; repeated items under each item_id; extra
+    columns are ignored.
     """
-    rows = [(r["item_id"], r["text"]) for r in eval_items.select("item_id", "text").where("item_id is not null and text is not null").collect()]
+    rows = ((r["item_id"], r["text"]) for r in eval_items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator())
     documents = documents.where("doc_id is not null")
     out = None
     for block in _blocks(rows):
@@ -212,7 +264,9 @@ def _scan(documents: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     df = {r["seed"]: r["n"] for r in counts.collect()}  # one row per n-gram of the block
     limit = max(RARE_DOCS, RARE_SHARE * df.get(-1, 0))
     keep = {g for i, g in enumerate(order) if 0 < df.get(i, 0) <= limit}
-    keep |= held.one_passage([g for i, g in enumerate(order) if df.get(i, 0) > limit])
+    often = [g for i, g in enumerate(order) if df.get(i, 0) > limit]
+    passages, stock = held.families(often)
+    keep = held.filled(keep | passages, stock, {g: df.get(i, 0) for i, g in enumerate(order)})
     held.narrowed(keep)
     keys = frozenset(keep)
 

@@ -67,6 +67,46 @@ def test_a_paragraph_of_two_items_is_found_and_a_stock_phrase_of_two_is_not(spar
     assert _found(spark, docs, items) == {(k, i) for i in range(0, 300, 3) for k in (1, 2)}
 
 
+def test_many_near_equal_items_are_one_family(spark):
+    items = tuple((k, "en", ITEM.replace("8134", str(9000 + k)).replace("Morpindar", f"Morpindar{k}")) for k in range(12))
+    docs = [(i, (ITEM if i % 3 == 0 else "Nothing of note happened today.") + f" Number {i}.") for i in range(120)]
+    assert _found(spark, docs, items) == {(k, i) for i in range(0, 120, 3) for k in range(12)}
+
+
+def test_a_stock_phrase_of_many_items_is_none_however_long(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    phrase = " ".join(word() for _ in range(26))
+    items = tuple((k, "en", " ".join(word() for _ in range(40)) + " " + phrase) for k in range(12))
+    docs = [(i, f"Number {i}. " + phrase) for i in range(60)] + [(100, items[3][2][:200])]
+    assert _found(spark, docs, items) == {(3, 100)}
+
+
+def test_recall_and_precision_on_held_out_edits(spark):
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randrange(3, 9))) for _ in range(4000)]
+    some = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = tuple((k, "en", " ".join(some(60))) for k in range(40))
+    docs, true = [], set()
+    for i in range(400):
+        k = rnd.randrange(40)
+        w = items[k][2].split()
+        n = rnd.randrange(22, 40) if i % 2 else rnd.randrange(4, 11)
+        at = rnd.randrange(60 - n)
+        part = [rnd.choice(vocabulary) if rnd.random() < 0.05 else x for x in w[at : at + n]]
+        docs.append((i, " ".join(some(30) + part + some(30))))
+        if i % 2:
+            true.add((k, i))
+    got = _found(spark, docs, items)
+    assert len(got & true) >= 0.97 * len(true) and got <= true
+
+
+def test_scripts_without_blanks(spark):
+    zh = "该基金第三季度回购百分之十三的股份并维持全年盈利目标不变同时任命新的首席财务官"
+    assert L.words("ab 基金ก1") == ["ab", "基", "金", "ก", "1"]
+    assert _found(spark, [(1, "前言。" + zh[:30] + "完。"), (2, "该基金今天停牌。")], ((1, "zh", zh),)) == {(1, 1)}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = [(1, ITEM), (2, OTHER), (3, ITEM + OTHER)]
     monkeypatch.setattr(L, "BLOCK_WORDS", 10)
