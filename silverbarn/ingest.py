@@ -8,17 +8,14 @@ import sys
 from pyspark.sql import functions as F
 
 from silverbarn.catalog import Catalog, DataSource, Sources
-from silverbarn.operators.upsert import keep_last, upsert
+from silverbarn.operators.upsert import keep_last
 from silverbarn.sources import archives, tables
 
 
 def _store(catalog: Catalog, name: str, rows, key: list[str], sequence: str) -> int:
-    """Upsert into the catalog; the row later in the load wins."""
-    rows = keep_last(rows, key, F.col(sequence)).drop("load_order") if sequence == "load_order" else rows
-    if catalog.exists(name):
-        rows = upsert(catalog.read(name), rows, key)
-    catalog.write(name, rows)
-    return catalog.read(name).count()
+    """Upsert into the catalog; the row later in the load wins. The number of rows brought in."""
+    rows = keep_last(rows, key, F.col(sequence))
+    return catalog.upsert(name, rows.drop("load_order") if sequence == "load_order" else rows, key)
 
 
 class Bars(DataSource):
@@ -34,9 +31,10 @@ class Housing(DataSource):
 
     def ensure_up_to_date(self, path: str) -> dict[str, int]:
         rows = tables.housing_tsv(self.catalog.spark, path, "housing").withColumn("load_order", F.monotonically_increasing_id())
-        good = rows.where(F.col("reject").isNull()).drop("reject", "parent_code", "region_name", "property_type_name", "provider_region_id")
+        t = tables.housing_tables(rows)
         key = ["region_id", "property_type_id", "period_start_date", "period_granularity"]
-        return {"market_metrics": _store(self.catalog, "market_metrics", good, key, "load_order"), "rejected": rows.where(F.col("reject").isNotNull()).count()}
+        done = {name: _store(self.catalog, name, t[name], k, "load_order") for name, k in (("regions", ["region_id"]), ("region_provider_map", ["provider", "provider_region_id"]), ("property_types", ["property_type_id"]))}
+        return {"market_metrics": _store(self.catalog, "market_metrics", t["market_metrics"], key, "load_order"), **done, "rejected": rows.where(F.col("reject").isNotNull()).count()}
 
 
 class Filings(DataSource):

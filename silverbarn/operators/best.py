@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rank and staleness in days of a provider without a rule.
@@ -22,12 +21,13 @@ def best_provider(
     (age in days within the override's, else the default's staleness, else
     36500), provider name. Priority and staleness of an override fall back
     independently. ``overrides`` has the first key, the provider, priority and
-    staleness_days; ``defaults`` the provider, priority and staleness_days.
-    The filter ``rank = 1`` is applied before and after the shuffle by Spark.
+    staleness_days; ``defaults`` the provider, priority and staleness_days; of
+    repeated rules the lowest priority and the longest staleness hold. One
+    aggregate, folded on the map side: no window sorts the bars.
     """
     cid, day = keys
-    d = defaults.select(provider, F.col("priority").alias("_dp"), F.col("staleness_days").alias("_ds"))
-    o = overrides.select(cid, provider, F.col("priority").alias("_op"), F.col("staleness_days").alias("_os"))
+    rule = lambda rows, by, p, s: rows.groupBy(*by).agg(F.min("priority").alias(p), F.max("staleness_days").alias(s))
+    d, o = rule(defaults, [provider], "_dp", "_ds"), rule(overrides, [cid, provider], "_op", "_os")
     joined = bars.join(d, provider, "left").join(o, [cid, provider], "left")
     age = F.datediff(F.lit(as_of).cast("date"), F.col(day))
     ranked = joined.withColumns(
@@ -36,10 +36,11 @@ def best_provider(
             "stale_days": F.coalesce("_os", "_ds", F.lit(NO_STALENESS)),
             "age_days": age,
         }
-    )
+    ).drop("_dp", "_ds", "_op", "_os")
     fresh = F.when(F.col("age_days") <= F.col("stale_days"), 0).otherwise(1)
-    order = W.partitionBy(*keys).orderBy("prio", fresh, provider)
-    return ranked.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == 1).drop("_rn", "_dp", "_ds", "_op", "_os")
+    rest = [c for c in ranked.columns if c not in keys]
+    best = ranked.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col("prio"), fresh.alias("late"), F.col(provider))).alias("_b"))
+    return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest]).select(ranked.columns)
 
 
 #: Columns a caller may ask for, with their aliases.

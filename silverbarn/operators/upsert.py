@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silverbarn.functions.text import fingerprint
+
 
 def keep_last(rows: DataFrame, key: Sequence[str], sequence: Column) -> DataFrame:
     """One row per key, the one with the greatest ``sequence``; null keys are keys.
@@ -31,19 +33,39 @@ def keep_first(rows: DataFrame, key: Sequence[str], sequence: Column) -> DataFra
     return best.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(rows.columns)
 
 
+def _same(key: Sequence[str], other: str) -> Column:
+    """Null-safe equality of a key with its renamed twin: null keys are keys."""
+    out = F.lit(True)
+    for k in key:
+        out = out & F.col(k).eqNullSafe(F.col(f"{other}{k}"))
+    return out
+
+
+def _keys(rows: DataFrame, key: Sequence[str], prefix: str = "_of_new_") -> DataFrame:
+    return rows.select(*[F.col(k).alias(f"{prefix}{k}") for k in key]).distinct()
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str], sequence: str | None = None) -> DataFrame:
-    """Existing rows replaced or joined by incoming ones; of several incoming rows of a key the last by ``sequence``."""
+    """Existing rows replaced or joined by incoming ones; of several incoming rows of a key the last by ``sequence``. Null keys are keys."""
     new = incoming if sequence is None else keep_last(incoming, key, F.col(sequence))
-    return existing.join(new.select(*key).distinct(), list(key), "left_anti").select(existing.columns).unionByName(new.select(existing.columns))
+    kept = existing.join(_keys(new, key), _same(key, "_of_new_"), "left_anti")
+    return kept.select(existing.columns).unionByName(new.select(existing.columns))
 
 
 def upsert_keep_old(existing: DataFrame, incoming: DataFrame, key: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Upsert in which the columns ``keep`` hold their old value where the new one is null."""
-    e, n = existing.alias("e"), incoming.alias("n")
-    on = [F.col(f"e.{k}") == F.col(f"n.{k}") for k in key]
-    arrived = F.coalesce(*[F.col(f"n.{k}").isNotNull() for k in key])
-    pick = lambda c: F.coalesce(f"n.{c}", f"e.{c}") if c in key or c in keep else F.when(arrived, F.col(f"n.{c}")).otherwise(F.col(f"e.{c}"))
-    return e.join(n, on, "full").select(*[pick(c).alias(c) for c in existing.columns])
+    """Upsert in which the columns ``keep`` hold their old value where the new one is null. Null keys are keys."""
+    new = incoming.select(*[F.col(c).alias(f"_of_new_{c}") for c in existing.columns], F.lit(True).alias("_of_new_arrived"))
+    arrived = F.col("_of_new_arrived").isNotNull()
+    fresh = lambda c: F.col(f"_of_new_{c}")
+    pick = lambda c: F.coalesce(fresh(c), F.col(c)) if c in key or c in keep else F.when(arrived, fresh(c)).otherwise(F.col(c))
+    return existing.join(new, _same(key, "_of_new_"), "full").select(*[pick(c).alias(c) for c in existing.columns])
+
+
+def touched(existing: DataFrame, incoming: DataFrame, key: Sequence[str], column: str, now: Column) -> DataFrame:
+    """Incoming rows with ``column`` set to ``now`` where their key exists already: an update touches the row, an insert does not."""
+    known = _keys(existing, key, "_of_old_").withColumn("_of_old_there", F.lit(True))
+    rows = incoming.join(known, _same(key, "_of_old_"), "left")
+    return rows.withColumn(column, F.when(F.col("_of_old_there"), now).otherwise(F.col(column))).select(incoming.columns)
 
 
 def insert_if_absent(rows: DataFrame, key: Sequence[str], sequence: Column, attributes: Sequence[str]) -> DataFrame:
@@ -57,8 +79,8 @@ def strict_insert(existing: DataFrame, incoming: DataFrame, key: Sequence[str])
 
 
 def with_surrogate(rows: DataFrame, natural: Sequence[str], name: str) -> DataFrame:
-    """Distinct natural keys with a surrogate that depends on nothing else, the same on every run."""
-    return rows.select(*natural).dropna(how="all").distinct().withColumn(name, F.xxhash64(*natural))
+    """Distinct natural keys with a surrogate of 256 bits that depends on nothing else, the same on every run."""
+    return rows.select(*natural).dropna(how="all").distinct().withColumn(name, fingerprint(*[F.col(c) for c in natural]))
 
 
 def new_only(incoming: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -98,6 +120,23 @@ def audit(runs: DataFrame, keys: Sequence[str], failed: Column) -> DataFrame:
     )
 
 
+def started_run(run_id: str, provider: str, at: str, spark) -> DataFrame:
+    """The audit row of a run that has begun."""
+    row = [(run_id, provider, at, None, "running", None, None, None, None)]
+    return spark.createDataFrame(row, RUN).withColumn("started_at", F.to_timestamp("started_at"))
+
+
+#: Columns of the audit of runs.
+RUN = "run_id string, provider string, started_at string, finished_at timestamp, status string, updated bigint, failed bigint, etag string, notes string"
+
+
+def finished_run(run: DataFrame, outcome: DataFrame, at: Column, etag: str | None = None, notes: str | None = None) -> DataFrame:
+    """The row of a run with the counts and status of its ``outcome`` (run_id, updated, failed, status), its end, etag and notes."""
+    done = outcome.select(F.col("run_id").alias("_run"), *[F.col(c).alias(f"_{c}") for c in ("updated", "failed", "status")])
+    new = {"finished_at": at, "status": F.col("_status"), "updated": F.col("_updated"), "failed": F.col("_failed"), "etag": F.lit(etag).cast("string"), "notes": F.lit(notes).cast("string")}
+    return run.join(done, F.col("run_id") == F.col("_run")).withColumns(new).select(run.columns)
+
+
 def evolve(table: DataFrame, schema: dict[str, str]) -> DataFrame:
     """The table in the columns of ``schema`` (name to type): missing ones null, others dropped, order kept."""
     return table.select(*[(F.col(c) if c in table.columns else F.lit(None)).cast(t).alias(c) for c, t in schema.items()])

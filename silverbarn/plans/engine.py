@@ -6,16 +6,16 @@ lineitem/part/orders/supplier for the fact star, orders for daily values.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from silverbarn.functions import blobs, classify, markdown, metadata, periods, regions, text
+from silverbarn.functions import blobs, classify, markdown, metadata, periods, regions, static, text
 from silverbarn.operators import best, entities, facts, listings, ranges, upsert
 from silverbarn.session import table
-from silverbarn.sources import archives
+from silverbarn.sources import archives, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,7 +152,7 @@ def fact_view(read: Read) -> DataFrame:
 @query(_STAR + """SELECT f.accession, f.fact_id, c.qname, u.measure, f.value, coalesce(x.end_date, x.instant_date, x.start_date) AS as_of
   FROM facts f JOIN concepts c USING (concept_id) JOIN contexts x USING (context_id) LEFT JOIN units u USING (unit_id)
   WHERE f.accession IN (SELECT accession FROM filings JOIN customer ON cik = c_custkey WHERE c_mktsegment = 'MACHINERY')
-    AND (c.qname IN ('Brand#2', 'Brand#17') OR c.local_name IN ('Brand#2', 'Brand#17'))
+    AND c.qname IN ('Brand#2', 'Brand#17')
     AND coalesce(x.end_date, x.instant_date, x.start_date) >= date '1997-01-01' AND coalesce(x.end_date, x.instant_date, x.start_date) <= date '2000-12-31'
   ORDER BY as_of DESC NULLS LAST, f.accession DESC, f.fact_id DESC LIMIT 100""")
 def fact_history_topn(read: Read) -> DataFrame:
@@ -174,8 +174,7 @@ def fact_history_instant(read: Read) -> DataFrame:
   FROM facts f JOIN filings g USING (accession) JOIN concepts c USING (concept_id) GROUP BY 1, 2""")
 def concept_registry(read: Read) -> DataFrame:
     s = _star(read)
-    pairs = s["facts"].select("accession", "concept_id").distinct().join(s["filings"], "accession").join(s["concepts"], "concept_id")
-    return pairs.groupBy("cik", F.col("local_name").alias("concept")).agg(F.array_join(F.array_sort(F.collect_set("qname")), ",").alias("qnames"))
+    return facts.concept_registry(s["facts"], s["filings"], s["concepts"], by="local_name").withColumn("qnames", F.array_join("qnames", ","))
 
 
 _FRIENDLY = {"Brand#2": "two", "Brand#3": "three"}
@@ -191,10 +190,10 @@ def registry_dump(read: Read) -> DataFrame:
     return reg.select("cik", F.array_join(F.transform(parsed, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))), ";").alias("concepts"))
 
 
-@query(_STAR + "SELECT DISTINCT accession, cik FROM filings WHERE accession IN (SELECT accession FROM facts WHERE line >= 6)")
+@query(_STAR + "SELECT DISTINCT accession, cik FROM filings WHERE accession IN (SELECT accession FROM facts)")
 def accession_to_cik(read: Read) -> DataFrame:
     s = _star(read)
-    return upsert.known_only(s["filings"], s["facts"].where("line >= 6"), ["accession"]).distinct()
+    return upsert.known_only(s["filings"], s["facts"], ["accession"]).distinct()
 
 
 # --- writes ------------------------------------------------------------------
@@ -209,22 +208,6 @@ def upsert_keep_last(read: Read) -> DataFrame:
     return upsert.upsert(old, new, ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "value")
 
 
-_HALVES = """WITH a AS (SELECT user_id, max(value) AS value, min(event_id) AS first_id FROM events WHERE event_id % 2 = 0 AND user_id < 100 GROUP BY 1),
-b AS (SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN max(value) END AS value, min(event_id) AS first_id FROM events WHERE event_id % 2 = 1 AND user_id > 20 GROUP BY 1)"""
-
-
-def _halves(read: Read) -> tuple[DataFrame, DataFrame]:
-    e = read("events")
-    a = e.where("event_id % 2 = 0 AND user_id < 100").groupBy("user_id").agg(F.max("value").alias("value"), F.min("event_id").alias("first_id"))
-    b = e.where("event_id % 2 = 1 AND user_id > 20").groupBy("user_id").agg(F.when(F.col("user_id") % 3 != 0, F.max("value")).alias("value"), F.min("event_id").alias("first_id"))
-    return a, b
-
-
-@query(_HALVES + """SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.value, a.value) AS value, CASE WHEN b.user_id IS NOT NULL THEN b.first_id ELSE a.first_id END AS first_id
-  FROM a FULL JOIN b USING (user_id)""".replace("coalesce(b.user_id, a.user_id) AS", "user_id AS"))
-def upsert_coalesce(read: Read) -> DataFrame:
-    return upsert.upsert_keep_old(*_halves(read), ["user_id"], ["value"])
-
 
 @query("""SELECT user_id, arg_max(value, event_id) FILTER (value IS NOT NULL AND event_type = 'purchase') AS purchase, arg_max(props, event_id) AS props FROM events GROUP BY 1""")
 def insert_if_absent(read: Read) -> DataFrame:
@@ -232,11 +215,6 @@ def insert_if_absent(read: Read) -> DataFrame:
     return upsert.insert_if_absent(rows, ["user_id"], F.col("event_id"), ["purchase", "props"])
 
 
-@query(_HALVES + "SELECT CASE WHEN user_id IN (SELECT user_id FROM a) THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS n FROM b GROUP BY 1")
-def strict_insert(read: Read) -> DataFrame:
-    yes, no = upsert.strict_insert(*_halves(read), ["user_id"])
-    return yes.withColumn("outcome", F.lit("accepted")).unionByName(no.withColumn("outcome", F.lit("rejected"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-
 
 _LOADS = """WITH a AS (SELECT user_id, cast(ts AS date) AS day, max(value) AS value, min(event_id) AS first_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
 b AS (SELECT user_id, cast(ts AS date) AS day, CASE WHEN user_id % 3 <> 0 THEN max(value) END AS value, min(event_id) AS first_id FROM events WHERE event_type IS DISTINCT FROM 'purchase' GROUP BY 1, 2)
@@ -254,25 +232,25 @@ def _loads(read: Read) -> tuple[DataFrame, DataFrame]:
 
 @query(_LOADS + """SELECT user_id, day, coalesce(b.value, a.value) AS value, CASE WHEN b.user_id IS NOT NULL THEN b.first_id ELSE a.first_id END AS first_id
   FROM a FULL JOIN b USING (user_id, day)""")
-def upsert_coalesce_all(read: Read) -> DataFrame:
+def upsert_coalesce(read: Read) -> DataFrame:
     return upsert.upsert_keep_old(*_loads(read), ["user_id", "day"], ["value"])
 
 
-@query(_LOADS + "SELECT CASE WHEN (user_id, day) IN (SELECT (user_id, day) FROM a) THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS n FROM b GROUP BY 1")
-def strict_insert_all(read: Read) -> DataFrame:
+@query(_LOADS + "SELECT user_id, day, CASE WHEN (user_id, day) IN (SELECT (user_id, day) FROM a) THEN 'rejected' ELSE 'accepted' END AS outcome FROM b")
+def strict_insert(read: Read) -> DataFrame:
     yes, no = upsert.strict_insert(*_loads(read), ["user_id", "day"])
-    return yes.withColumn("outcome", F.lit("accepted")).unionByName(no.withColumn("outcome", F.lit("rejected"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return yes.withColumn("outcome", F.lit("accepted")).unionByName(no.withColumn("outcome", F.lit("rejected"))).select("user_id", "day", "outcome")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT p_brand || p_type) AS ids FROM (SELECT DISTINCT p_brand, p_type FROM part)")
+@query("SELECT DISTINCT p_brand, p_type, sha256(p_brand || chr(31) || p_type) AS id FROM part")
 def surrogate_keys(read: Read) -> DataFrame:
-    keyed = upsert.with_surrogate(read("part"), ["p_brand", "p_type"], "id")
-    return keyed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+    return upsert.with_surrogate(read("part"), ["p_brand", "p_type"], "id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def processed_anti(read: Read) -> DataFrame:
-    return upsert.new_only(read("customer").select("c_custkey"), read("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    done = read("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return upsert.new_only(read("customer").select("c_custkey"), done, ["c_custkey"])
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
@@ -300,11 +278,11 @@ def scoped_reset(read: Read) -> DataFrame:
     return upsert.reset(read("lineitem"), scope, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AS known, count(*) AS n FROM supplier GROUP BY 1")
+@query("SELECT s_suppkey, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AS known FROM supplier")
 def referential_report(read: Read) -> DataFrame:
     dim = read("nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"))
     ok, bad = upsert.reject_unreferenced(read("supplier"), dim, "s_nationkey")
-    return ok.withColumn("known", F.lit(True)).unionByName(bad.withColumn("known", F.lit(False))).groupBy("known").agg(F.count(F.lit(1)).alias("n"))
+    return ok.withColumn("known", F.lit(True)).unionByName(bad.withColumn("known", F.lit(False))).select("s_suppkey", "known")
 
 
 @query("""SELECT event_type, count(*) FILTER (value <= 90) AS updated, count(*) FILTER (value > 90) AS failed,
@@ -358,24 +336,18 @@ def region_ids(read: Read) -> DataFrame:
     return rows.select("n_name", regions.region_id(F.lit("Metro"), name, state, F.lit(None), us).alias("region_id"), regions.parent_id(F.lit("metro"), state, us).alias("parent_id"))
 
 
-@query("SELECT a.region_id AS region_id, count(DISTINCT a.provider_region_id) AS codes, max(b.region_id) AS twin FROM region_provider_map a LEFT JOIN region_provider_map b ON b.provider = 'provider:tractline' AND a.provider = 'provider:homemetrics' AND a.region_id = b.region_id GROUP BY 1")
+@query("SELECT 'c:' || a.c_custkey AS region_id, 'c:' || b.c_custkey AS parent_region_id FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_nationkey")
 def region_parent_join(read: Read) -> DataFrame:
-    rows = read("region_provider_map")
-    other = rows.where("provider = 'provider:tractline'").select("region_id", F.col("region_id").alias("twin")).distinct()
-    own = rows.withColumn("code", F.when(F.col("provider") == "provider:homemetrics", F.col("region_id")))
-    return own.join(other.withColumnRenamed("region_id", "code"), "code", "left").groupBy("region_id").agg(F.countDistinct("provider_region_id").alias("codes"), F.max("twin").alias("twin"))
+    rows = read("customer").select(F.lit("p").alias("provider"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("region_id"), F.col("c_custkey").alias("code"), F.col("c_nationkey").alias("parent"))
+    return entities.with_parent(rows, "code", "parent").select("region_id", "parent_region_id")
 
 
 # --- text and identifiers ----------------------------------------------------
 
 
-@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'unknown') AS slug FROM documents WHERE lang = 'en'")
-def slug_dash(read: Read) -> DataFrame:
-    return read("documents").where("lang = 'en'").select("doc_id", text.slug(F.col("text")).alias("slug"))
-
 
 @query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'unknown') AS slug FROM documents")
-def slug_dash_all(read: Read) -> DataFrame:
+def slug_dash(read: Read) -> DataFrame:
     return read("documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
@@ -416,7 +388,25 @@ def classify_product(read: Read) -> DataFrame:
     return read("entities").where("name IS NOT NULL").select("entity_id", "name", classify.is_product_label(F.col("name")).alias("product")).distinct()
 
 
-@query()
+def _list(words: Sequence[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_NAMED = _KEYED + f""", c1 AS (SELECT entity_id, name, key, trim(name) AS s, upper(trim(name)) AS u FROM k),
+c2 AS (SELECT *, list_filter(regexp_split_to_array(u, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t, list_filter(regexp_split_to_array(u, '[\\s/\\\\-]+'), lambda x: x <> '') AS pt,
+  list_filter(regexp_split_to_array(s, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS raw FROM c1),
+c3 AS (SELECT *, list_transform(raw, lambda x: upper(x)) AS ct, list_transform(raw, lambda x: lower(x)) AS lt, coalesce(t[-1], '') AS l, len(pt) > 0 AND (len(list_intersect(pt, {_list(classify.PRODUCT_WORDS)})) > 0
+  OR (len(pt) <= 4 AND len(list_filter(pt, lambda x: NOT regexp_full_match(x, '[A-Z0-9]*[0-9][A-Z0-9]*'))) = 0) OR (len(pt) > 1 AND (regexp_matches(u, '\\p{{Nd}}') OR NOT regexp_matches(u, '\\p{{L}}')))) AS product FROM c2),
+c4 AS (SELECT *, CASE WHEN len(t) = 0 OR l = 'ETN' THEN false WHEN l IN {_list(classify.FUND_LAST)} OR starts_with(key, 'fund') OR ends_with(key, 'qpsc') OR list_contains(t, 'QPSC') THEN true
+  WHEN list_contains(t, 'COLL') AND regexp_matches(s, '\\p{{Nd}}') THEN true WHEN product THEN false ELSE regexp_matches(u, '{"|".join(classify.FUND_MARKERS)}') END AS fund, coalesce(ct[-1], '') AS cl FROM c3)
+SELECT DISTINCT entity_id, name, fund, CASE WHEN s = '' OR fund OR cl = 'ETN' THEN false WHEN cl IN ('R', 'RE') AND len(list_intersect(ct, {_list(classify.COMPANY_SUFFIXES)})) > 0 THEN false
+  WHEN regexp_matches(u, ' O\\.N\\.?$|PRE-ROLL|PREROLL') THEN false WHEN cl IN ('NA', 'NAM') AND len(list_intersect(ct, ['ASA', 'AG'])) > 0 THEN false
+  WHEN lower(cl) NOT IN {_list(classify.FINAL_FORMS)} AND (len(list_filter(lt, lambda x: list_contains({_list(classify.VEHICLE_WORDS)}, x))) >= 3 OR (starts_with(lower(cl), 'reg') AND len(lt) > 1)) THEN false
+  WHEN product OR len(list_intersect(lt, {_list(classify.SECURITY_WORDS)})) > 0 OR regexp_matches(u, 'C/W|HD-') THEN false WHEN regexp_matches(s, '\\p{{Ll}}') THEN true
+  ELSE len(list_intersect(ct, {_list(classify.COMPANY_SUFFIXES)})) > 0 END AS company FROM c4"""
+
+
+@query(_NAMED)
 def classify_names(read: Read) -> DataFrame:
     name = F.col("name")
     return read("entities").where("name IS NOT NULL").select("entity_id", "name", classify.is_company_name(name).alias("company"), classify.is_fund_name(name).alias("fund")).distinct()
@@ -529,11 +519,15 @@ def unique_assets(read: Read) -> DataFrame:
 
 @query("""SELECT cik, string_agg(accession, ',' ORDER BY first) AS accessions FROM (SELECT cik, replace(accession, '-', '') AS accession, min(row(fetched_at, accession)) AS first FROM accession_index GROUP BY 1, 2) GROUP BY 1""")
 def distinct_ordered(read: Read) -> DataFrame:
-    firsts = read("accession_index").groupBy("cik", text.digits(F.col("accession")).alias("a")).agg(F.min(F.struct("fetched_at", "accession")).alias("first"))
-    return firsts.groupBy("cik").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "a"))), lambda x: x["a"]), ",").alias("accessions"))
+    seen = entities.ordered_distinct(read("accession_index"), "cik", text.digits(F.col("accession")), F.struct("fetched_at", "accession"))
+    return seen.select("cik", F.array_join("values", ",").alias("accessions"))
 
 
-@query()
+_SLUG = r"coalesce(nullif(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '-'), ''), 'unknown')"
+
+
+@query(f"""SELECT slug, row_idx, CASE WHEN p_type = first_value(p_type) OVER (PARTITION BY slug ORDER BY row_idx) THEN slug ELSE slug || '.' || lower(p_type) END AS entity_id
+  FROM (SELECT p_partkey AS row_idx, p_type, {_SLUG.format('p_name')} AS slug FROM part)""")
 def slug_merge_or_split(read: Read) -> DataFrame:
     rows = read("part").select(text.slug(F.col("p_name")).alias("slug"), concat(text.slug(F.col("p_name")), F.lit("."), F.lower("p_type")).alias("alt"), metadata.build(type=F.col("p_type")).alias("meta"), F.col("p_partkey").alias("o"))
     return entities.merge_or_split(rows, "slug", "alt", "meta", "o")
@@ -548,11 +542,18 @@ def equities_groups(read: Read) -> DataFrame:
     return entities.connected_rows(part("c_nationkey", "n", 40).unionByName(part("c_mktsegment", "s", 25)))
 
 
-@query("""SELECT l_orderkey AS row_idx, arg_min(s_nationkey, l_linenumber * 100000 + l_suppkey) AS company FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 10 GROUP BY 1""")
+@query("""WITH p AS (SELECT p_partkey, p_brand FROM part WHERE p_size > 25)
+SELECT l_orderkey * 10 + l_linenumber AS row_idx, coalesce(min(p_brand), min('region ' || n_regionkey)) AS company FROM lineitem
+  LEFT JOIN p ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1""")
 def identifier_hops(read: Read) -> DataFrame:
-    hits = read("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(read("supplier").where("s_nationkey < 10").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    best_hit = hits.groupBy(F.col("l_orderkey").alias("row_idx")).agg(F.min(F.struct("l_linenumber", "l_suppkey", "s_nationkey")).alias("m"))
-    return best_hit.select("row_idx", F.col("m.s_nationkey").alias("company"))
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    rows = read("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_idx"), tag("p:", "l_partkey").alias("first"), tag("s:", "l_suppkey").alias("second"))
+    parts = read("part").where("p_size > 25")
+    securities = parts.select(tag("p:", "p_partkey").alias("identifier"), "p_brand").withColumnRenamed("p_brand", "security")
+    securities = securities.unionByName(read("supplier").select(tag("s:", "s_suppkey").alias("identifier"), tag("n:", "s_nationkey").alias("security")))
+    issuers = parts.select(F.col("p_brand").alias("security"), F.col("p_brand").alias("company")).distinct()
+    issuers = issuers.unionByName(read("nation").select(tag("n:", "n_nationkey").alias("security"), tag("region ", "n_regionkey").alias("company")))
+    return entities.by_identifier(rows, ["first", "second"], securities, issuers)
 
 
 @query("SELECT o_custkey AS company, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS security FROM orders GROUP BY 1")
@@ -598,10 +599,11 @@ def window_groups(read: Read) -> DataFrame:
     return g.withColumn("keys", F.array_join(F.transform("keys", lambda k: k.cast("string")), ","))
 
 
-@query("SELECT event_id, event_type AS source, value FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, event_type, NULL FROM events WHERE event_type = 'view'")
+@query("SELECT event_id, event_type AS source, value FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, event_type, NULL FROM events WHERE event_type IS DISTINCT FROM 'click'")
 def union_sources(read: Read) -> DataFrame:
     e = read("events").withColumnRenamed("event_type", "source")
-    return ranges.union_sources([e.where("source = 'click'").select("event_id", "source", "value"), e.where("source = 'view'").select("event_id", "source")])
+    clicks = F.coalesce(F.col("source") == "click", F.lit(False))
+    return ranges.union_sources([e.where(clicks).select("event_id", "source", "value"), e.where(~clicks).select("event_id", "source")])
 
 
 @query("SELECT p_brand FROM part WHERE p_size > 40 EXCEPT SELECT p_brand FROM part WHERE p_retailprice > 1000")
@@ -613,14 +615,38 @@ def set_difference(read: Read) -> DataFrame:
 # --- housing, filings and pages ----------------------------------------------
 
 
+def _housing(read: Read) -> DataFrame:
+    """Rows of a housing load made of the orders in the order of their keys; later rows have older revisions."""
+    nation = F.col("c_nationkey").cast("string")
+    return read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.lit("housing").alias("source_provider"), nation.alias("provider_region_id"), F.when(F.col("c_nationkey") % 2 == 1, (F.col("c_nationkey") - 1).cast("string")).alias("parent_code"),
+        F.concat(F.lit("region:national:"), nation).alias("region_id"), F.when(F.col("o_orderstatus") == "P", "unsupported type").alias("reject"), F.concat(F.lit("Region "), nation).alias("region_name"),
+        F.col("o_orderpriority").alias("property_type_id"), F.lower("o_orderpriority").alias("property_type_name"), F.date_trunc("month", "o_orderdate").cast("date").alias("period_start_date"), F.lit("30").alias("period_granularity"),
+        (-F.col("o_orderkey")).alias("data_revision"), F.col("o_totalprice").alias("median_sale_price"), F.col("o_orderkey").alias("load_order"),
+    )
+
+
 @query("""SELECT 'region:national:' || c_nationkey AS region_id, o_orderpriority AS property_type_id, cast(date_trunc('month', o_orderdate) AS date) AS period_start_date,
-  max(o_orderkey) AS data_revision, arg_max(o_totalprice, o_orderkey) AS median_sale_price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3""")
+  -max(o_orderkey) AS data_revision, arg_max(o_totalprice, o_orderkey) AS median_sale_price FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3""")
 def housing_metrics_upsert(read: Read) -> DataFrame:
-    rows = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.concat(F.lit("region:national:"), F.col("c_nationkey").cast("string")).alias("region_id"), F.col("o_orderpriority").alias("property_type_id"),
-        F.date_trunc("month", "o_orderdate").cast("date").alias("period_start_date"), F.col("o_orderkey").alias("data_revision"), F.col("o_totalprice").alias("median_sale_price"),
-    )
-    return upsert.keep_last(rows, ["region_id", "property_type_id", "period_start_date"], F.col("data_revision"))
+    return tables.housing_tables(_housing(read))["market_metrics"].select("region_id", "property_type_id", "period_start_date", "data_revision", "median_sale_price")
+
+
+@query("""WITH n AS (SELECT DISTINCT c_nationkey AS k FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')
+SELECT 'region:national:' || a.k AS region_id, 'Region ' || a.k AS region_name, 'region:national:' || b.k AS parent_region_id FROM n a LEFT JOIN n b ON a.k % 2 = 1 AND b.k = a.k - 1""")
+def housing_regions(read: Read) -> DataFrame:
+    return tables.housing_tables(_housing(read))["regions"].select("region_id", "region_name", "parent_region_id")
+
+
+@query("""SELECT 'housing' AS provider, cast(c_nationkey AS varchar) AS provider_region_id, 'region:national:' || c_nationkey AS region_id, -max(o_orderkey) AS data_revision
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY c_nationkey""")
+def housing_provider_map(read: Read) -> DataFrame:
+    return tables.housing_tables(_housing(read))["region_provider_map"].select("provider", "provider_region_id", "region_id", "data_revision")
+
+
+@query("SELECT DISTINCT o_orderpriority AS property_type_id, lower(o_orderpriority) AS property_type_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'")
+def housing_property_types(read: Read) -> DataFrame:
+    return tables.housing_tables(_housing(read))["property_types"].select("property_type_id", "property_type_name")
 
 
 @query("""SELECT DISTINCT cik, 'https://x.example/' || n AS link FROM (SELECT cik, unnest([f.name for f in files]) AS n FROM accession_index) WHERE n IS NOT NULL""")
@@ -632,30 +658,33 @@ def html_links(read: Read) -> DataFrame:
 
 @query()
 def html_to_markdown(read: Read) -> DataFrame:
-    page = F.concat(F.lit("<div><b></b><p><b>"), "source", F.lit("</b></p><table><tr><th>id</th><th>lang</th></tr><tr><td>"), F.col("doc_id").cast("string"), F.lit("</td><td>"), F.coalesce("lang", F.lit("")), F.lit("</td></tr></table></div>"))
+    """Every document as a page: its lines as a list, its text as a paragraph, what is known of it as a table."""
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>"))
+    items = F.array_join(F.transform(F.split(safe, "\n"), lambda line: F.concat(F.lit("<li>"), line, F.lit("</li>"))), "")
+    page = F.concat(F.lit("<div><b></b><p><b>"), "source", F.lit("</b></p><ul>"), items, F.lit("</ul><p>"), safe, F.lit("</p><table><tr><th>id</th><th>lang</th></tr><tr>"), cell("doc_id"), cell("lang"), F.lit("</tr></table></div>"))
     return read("documents").select("doc_id", markdown.markdown(page).alias("markdown"))
 
 
-@query("""SELECT 'acc' || o_orderkey AS accession, 'TotalPrice' AS local_name, cast(o_orderdate AS date) AS instant_date, 'USD' AS measure, o_totalprice AS value,
-  CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS decimals FROM orders WHERE o_orderpriority = '1-URGENT'""")
-def xbrl_facts(read: Read) -> DataFrame:
-    return _instance_facts(read("orders").where("o_orderpriority = '1-URGENT'"))
-
 
 @query("""SELECT 'acc' || o_orderkey AS accession, 'TotalPrice' AS local_name, cast(o_orderdate AS date) AS instant_date, 'USD' AS measure, o_totalprice AS value,
   CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS decimals FROM orders""")
-def xbrl_facts_all(read: Read) -> DataFrame:
+def xbrl_facts(read: Read) -> DataFrame:
     return _instance_facts(read("orders"))
 
 
-def _instance_facts(orders: DataFrame) -> DataFrame:
+def _instances(orders: DataFrame) -> DataFrame:
     xml = F.format_string(
-        '<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:f="http://x.example/f"><context id="c"><entity><identifier scheme="s">%s</identifier></entity><period><instant>%s</instant></period></context>'
+        '<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:f="http://x.example/f"><context id="c"><entity><identifier scheme="s">%s</identifier><segment><d:explicitMember xmlns:d="http://xbrl.org/2006/xbrldi" dimension="f:Priority">%s</d:explicitMember></segment></entity><period><instant>%s</instant></period></context>'
         '<unit id="u"><measure>iso4217:usd</measure></unit><f:TotalPrice contextRef="c" unitRef="u" decimals="%s">%s</f:TotalPrice><f:Note contextRef="c">none</f:Note></xbrl>',
-        F.col("o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 2 == 0, "2").otherwise("INF"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+        F.col("o_custkey"), F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 2 == 0, "2").otherwise("INF"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
     )
     files = orders.select(F.concat(F.lit("acc"), F.col("o_orderkey").cast("string")).alias("path"), F.encode(xml, "UTF-8").alias("content"))
-    parsed = archives.xbrl(files).withColumnRenamed("path", "accession")
+    return archives.xbrl(files).withColumnRenamed("path", "accession")
+
+
+def _instance_facts(orders: DataFrame) -> DataFrame:
+    parsed = _instances(orders)
     contexts = parsed.where("kind = 'context'").select("accession", F.col("ref").alias("context_ref"), F.col("instant_date"))
     units = parsed.where("kind = 'unit'").select("accession", F.col("ref").alias("unit_ref"), "measure")
     fact = parsed.where("kind = 'fact'").select("accession", F.col("name").alias("local_name"), "context_ref", "unit_ref", "value", "decimals")
@@ -675,7 +704,11 @@ def blob_round_trip(read: Read) -> DataFrame:
     return packed.select("doc_id", F.sha2(blobs.decompressed("b"), 256).alias("digest"))
 
 
-@query()
+@query(r"""WITH r AS (SELECT p_partkey AS i, upper(replace(p_name, ' ', '')) || ['', '.L', '.DE'][p_partkey % 3 + 1] AS symbol, p_name AS name, p_type AS category FROM part),
+s AS (SELECT *, lower(regexp_replace(split_part(split_part(symbol, '-', 1), '.', 1), '[^A-Z0-9]', '', 'g')) AS base, lower(split_part(symbol, '.', 2)) AS ending FROM r),
+h AS (SELECT *, first_value(name) OVER w AS n0, first_value(category) OVER w AS c0 FROM s WINDOW w AS (PARTITION BY base ORDER BY i)),
+e AS (SELECT *, 'etf:' || CASE WHEN name = n0 AND category = c0 OR ending = '' THEN base ELSE base || '.' || ending END AS entity_id FROM h)
+SELECT 'provider:list' AS provider, symbol AS provider_entity_id, arg_min(entity_id, i) AS entity_id FROM e GROUP BY symbol""")
 def etf_listings(read: Read) -> DataFrame:
     p = read("part")
     sym = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))), F.element_at(F.array(F.lit(""), F.lit(".L"), F.lit(".DE")), (F.col("p_partkey") % 3 + 1).cast("int")))
@@ -686,7 +719,7 @@ def etf_listings(read: Read) -> DataFrame:
 @query()
 def equity_listings(read: Read) -> DataFrame:
     rows = read("sec_rows").distinct().select(F.xxhash64("cik", "ticker", "name").alias("row_idx"), F.col("ticker").alias("symbol"), "name", F.col("cik").alias("cusip"), F.lit("NMS").alias("exchange"))
-    return listings.equities(rows, "provider:list", {"NMS": "XNAS"}, {"united states": "us"}).relations
+    return listings.equities(rows, "provider:list").relations
 
 
 @query(r"""SELECT DISTINCT 'company:us:' || coalesce(nullif(trim(regexp_replace(lower(trim(name)), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'unknown') AS entity_id FROM sec_rows""")
@@ -694,3 +727,80 @@ def sec_companies(read: Read) -> DataFrame:
     rows = read("sec_rows").select(F.xxhash64("cik", "ticker", "name").alias("row_idx"), "cik", "ticker", "name").distinct()
     held = read("entities").where("entity_type = 'company'").select("entity_id", "entity_type", metadata.parse(F.col("metadata")).alias("members")).dropDuplicates(["entity_id"])
     return listings.companies(rows, held, "provider:filings").entities.select("entity_id")
+
+
+@query("""SELECT 'acc' || o_orderkey AS accession, 'f:Priority' AS axis, o_orderpriority AS member, o_totalprice AS value FROM orders""")
+def fact_dimensions(read: Read) -> DataFrame:
+    star = archives.star(_instances(read("orders")), "accession")
+    return facts.by_dimension(star["facts"], star["dimensions"], axis="f:Priority").select("accession", "axis", "member", "value")
+
+
+# --- reference tables and runs -----------------------------------------------
+
+_EXCHANGE_ROWS = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r[:4]) + ", [" + ", ".join(f"'{c}'" for c in r[4]) + "])" for r in static.EXCHANGES)
+
+
+@query(f"""SELECT 'mic:' || lower(mic) AS entity_id, name, country, 'ccy:' || lower(currency) AS traded_in, string_agg(code, ',' ORDER BY code) AS codes
+  FROM (SELECT mic, name, country, currency, unnest(codes) AS code FROM (VALUES {_EXCHANGE_ROWS}) AS x(mic, name, country, currency, codes)) GROUP BY ALL""")
+def exchange_list(read: Read) -> DataFrame:
+    listed, codes = tables.exchanges(read("nation").sparkSession)
+    per = codes.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
+    return listed.join(per, "entity_id")
+
+
+@query("SELECT p_partkey, fold AS fingerprint FROM (SELECT p_partkey, sha256(p_name || chr(31) || p_brand || chr(31) || cast(p_size AS varchar)) AS fold FROM part)")
+def row_fingerprint(read: Read) -> DataFrame:
+    return read("part").select("p_partkey", text.fingerprint(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("fingerprint"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE text ILIKE '%dividend%' OR source LIKE 'f%'")
+def like_filter(read: Read) -> DataFrame:
+    return read("documents").where(F.col("text").ilike("%dividend%") | F.col("source").like("f%")).select("doc_id", "source")
+
+
+@query("""WITH old AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), new AS (SELECT DISTINCT user_id FROM events WHERE event_type IS DISTINCT FROM 'purchase')
+SELECT user_id, user_id IN (SELECT user_id FROM old) AS updated FROM new""")
+def touch_updated(read: Read) -> DataFrame:
+    e = read("events")
+    bought = F.coalesce(F.col("event_type") == "purchase", F.lit(False))
+    new = e.where(~bought).select("user_id").distinct().withColumn("updated", F.lit(False))
+    return upsert.touched(e.where(bought).select("user_id"), new, ["user_id"], "updated", F.lit(True))
+
+
+@query("""SELECT 'run ' || event_type AS run_id, event_type AS provider, min(ts) AS started_at, max(ts) AS finished_at, count(*) FILTER (value <= 90) AS updated, count(*) FILTER (value > 90) AS failed,
+  CASE WHEN count(*) FILTER (value > 90) = 0 THEN 'success' WHEN count(*) FILTER (value <= 90) > 0 THEN 'partial' ELSE 'failed' END AS status, 'tag' AS etag FROM events GROUP BY event_type""")
+def run_rows(read: Read) -> DataFrame:
+    e = read("events").withColumn("run_id", concat(F.lit("run "), "event_type"))
+    begun = e.groupBy("run_id", F.col("event_type").alias("provider")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("_last"))
+    blank = {"finished_at": F.lit(None).cast("timestamp"), "status": F.lit("running"), "updated": F.lit(None).cast("bigint"), "failed": F.lit(None).cast("bigint"), "etag": F.lit(None).cast("string"), "notes": F.lit(None).cast("string")}
+    outcome = upsert.audit(e, ["run_id"], F.col("value") > 90)
+    return upsert.finished_run(begun.withColumns(blank), outcome, F.col("_last"), "tag").select("run_id", "provider", "started_at", "finished_at", "updated", "failed", "status", "etag")
+
+
+@query(_SPANS + """SELECT DISTINCT user_id AS cik FROM m WHERE event_type = 'click' AND (active_to IS NULL OR active_to > date '2024-01-15')""")
+def canonical_filers(read: Read) -> DataFrame:
+    mapping = _spans(read).select(F.col("event_type").alias("provider"), F.col("user_id").alias("provider_entity_id"), F.col("entity").alias("entity_id"), "active_to")
+    filers, _ = entities.filers_of(read("events").select(F.col("event_id").alias("entity_id")), mapping, "click", F.lit("2024-01-15").cast("date"))
+    return filers
+
+
+@query(_REQ + """, g AS (SELECT user_id, cast(unnest(generate_series(cast(greatest(s, date '2024-01-05') AS timestamp), cast(e AS timestamp), interval 1 day)) AS date) AS d FROM q WHERE greatest(s, date '2024-01-05') <= e),
+m AS (SELECT user_id, d, d - cast(row_number() OVER (PARTITION BY user_id ORDER BY d) AS integer) AS k FROM g WHERE (user_id, d) NOT IN (SELECT DISTINCT user_id, cast(ts AS date) FROM events)),
+r AS (SELECT user_id, min(d) AS s, max(d) AS e FROM m GROUP BY user_id, k),
+c AS (SELECT user_id, cast(c AS date) AS chunk_start, least(cast(c AS date) + 6, e) AS chunk_end FROM (SELECT user_id, e, unnest(generate_series(cast(s AS timestamp), cast(e AS timestamp), interval 7 day)) AS c FROM r)),
+n AS (SELECT *, cast((row_number() OVER (PARTITION BY chunk_start, chunk_end ORDER BY user_id) - 1) // 5 AS integer) AS call FROM c)
+SELECT chunk_start, chunk_end, call, string_agg(user_id, ',' ORDER BY user_id) AS keys FROM n GROUP BY 1, 2, 3""")
+def planned_calls(read: Read) -> DataFrame:
+    r = _requests(read)
+    life = r.select("user_id", F.lit("2024-01-05").cast("date").alias("first"), F.lit(None).cast("date").alias("last"))
+    seen = read("events").select("user_id", F.to_date("ts").alias("from_day")).distinct().withColumn("to_day", F.col("from_day"))
+    g = ranges.planned_calls(r, life, seen, "user_id", 7, 5)
+    return g.withColumn("keys", F.array_join(F.transform("keys", lambda k: k.cast("string")), ","))
+
+
+@query("""SELECT user_id, event_type, arg_max(value, row(part, event_id)) AS value FROM (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS part FROM events) GROUP BY 1, 2""")
+def combined_calls(read: Read) -> DataFrame:
+    e = read("events").select("user_id", "event_type", "event_id", "value")
+    last = upsert.keep_last(e, ["user_id", "event_type"], F.col("event_id"))
+    late = F.col("event_type").isin("click", "view")
+    return ranges.combined(last.where(~late), [last.where(late).withColumn("value", F.col("value"))], ["user_id", "event_type"]).select("user_id", "event_type", "value")

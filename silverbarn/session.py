@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -14,6 +15,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,16 +30,33 @@ def get_session(app: str = "silverbarn", master: str | None = None, **conf: str)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors' Python workers, once per context."""
+    """Send the package to the executors' Python workers, once per context.
+
+    The archive is written to the shared folder that ``spark.checkpoint.dir``
+    names; without one, as in tests, the driver hands out a file of its own.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_silverbarn_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="silverbarn-")) / "silverbarn.zip"
-    with zipfile.ZipFile(archive, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
-    sc.addPyFile(str(archive))
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if shared:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/silverbarn-{sc.applicationId}")
+        fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        target = sc._jvm.org.apache.hadoop.fs.Path(folder, "silverbarn.zip")
+        out = fs.create(target, True)
+        out.write(packed.getvalue())
+        out.close()
+        fs.deleteOnExit(folder)
+        sc.addPyFile(fs.makeQualified(target).toString())
+    else:
+        archive = Path(tempfile.mkdtemp(prefix="silverbarn-")) / "silverbarn.zip"
+        archive.write_bytes(packed.getvalue())
+        sc.addPyFile(str(archive))
     sc._silverbarn_shipped = True
 
 

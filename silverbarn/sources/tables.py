@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverbarn.functions import regions, text
+from silverbarn.functions import regions, static, text
+from silverbarn.operators.entities import with_parent
+from silverbarn.operators.upsert import keep_last
 
 #: Measures of a housing file and the columns they come from; fixed values.
 HOUSING_DOUBLES = dict(
@@ -42,6 +46,25 @@ def housing_tsv(spark: SparkSession, path: str, provider: str) -> DataFrame:
     )
 
 
+def housing_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a housing load: regions with their parent, provider ids, property types and metrics, later rows winning.
+
+    ``rows`` as ``housing_tsv`` gives them, with ``load_order``. A row with a
+    reason to reject counts nowhere. The metrics' key leaves the revision out,
+    so the row later in the load wins even if its revision is older.
+    """
+    good = rows.where(F.col("reject").isNull())
+    last = lambda cols, key: keep_last(good.select(*cols, "load_order"), key, F.col("load_order"))
+    regions_ = last([F.col("source_provider").alias("provider"), "region_id", "region_name", F.col("provider_region_id").alias("code"), "parent_code"], ["region_id"])
+    metrics = last([c for c in good.columns if c not in ("reject", "parent_code", "region_name", "property_type_name", "provider_region_id", "load_order")], ["region_id", "property_type_id", "period_start_date", "period_granularity"])
+    return {
+        "regions": with_parent(regions_, "code", "parent_code"),
+        "region_provider_map": last([F.col("source_provider").alias("provider"), "provider_region_id", "region_id", F.col("region_name").alias("provider_name"), "data_revision"], ["provider", "provider_region_id"]).where("provider_region_id <> ''"),
+        "property_types": last(["property_type_id", "property_type_name"], ["property_type_id"]).where("property_type_id <> ''"),
+        "market_metrics": metrics,
+    }
+
+
 def listed_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """CSV with quoted line ends and ``row_idx`` by file and place; with ``limit`` the first rows only."""
     rows = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
@@ -78,8 +101,8 @@ def admin_regions(spark: SparkSession, rows: list[tuple[str, str, str, str]]) ->
     return df.select(regions.region_id(kind, F.col("name"), F.col("code"), F.lit(None), F.col("country")).alias("entity_id"), "name", kind.alias("kind"))
 
 
-def exchanges(spark: SparkSession, rows: list[tuple[str, str, str, str, list[str]]]) -> tuple[DataFrame, DataFrame]:
+def exchanges(spark: SparkSession, rows: Sequence[tuple] = static.EXCHANGES) -> tuple[DataFrame, DataFrame]:
     """(entities, provider codes) of (mic, name, country, currency, codes)."""
-    df = spark.createDataFrame(rows, "mic string, name string, country string, currency string, codes array<string>")
+    df = spark.createDataFrame([(*r[:4], list(r[4])) for r in rows], "mic string, name string, country string, currency string, codes array<string>")
     df = df.withColumn("entity_id", F.concat(F.lit("mic:"), F.lower("mic")))
     return df.select("entity_id", "name", "country", F.concat(F.lit("ccy:"), F.lower("currency")).alias("traded_in")), df.select("entity_id", F.explode("codes").alias("code"))

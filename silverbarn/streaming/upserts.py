@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from silverbarn.catalog import Catalog
-from silverbarn.operators.upsert import keep_last, upsert
+from silverbarn.operators.upsert import keep_last
 
 
 def upsert_stream(stream: DataFrame, catalog: Catalog, name: str, key: Sequence[str], sequence: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch replaces the rows of its keys; running it again gives the same table."""
+    """Each micro-batch replaces the rows of its keys, in the parts of the table they fall into; running it again gives the same table."""
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = keep_last(batch, key, F.col(sequence))
-        if catalog.exists(name):
-            rows = upsert(catalog.read(name), rows, key)
-        catalog.write(name, rows)
+        catalog.upsert(name, keep_last(batch, key, F.col(sequence)), key)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

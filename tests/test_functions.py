@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silverbarn.functions import classify, markdown, metadata, periods, regions, text
-from silverbarn.operators import entities, ranges, upsert
+from silverbarn.operators import entities, facts, ranges, upsert
 
 
 def _each(spark, values, expr, kind="v string"):
@@ -108,6 +108,54 @@ def test_upserts_are_idempotent(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, "a", 1), (2, "b", 2), (3, "d", 1)]
 
 
+def test_null_keys_are_keys(spark):
+    old = spark.createDataFrame([(None, "a", 1), (2, "b", 1)], "k int, v string, s int")
+    new = spark.createDataFrame([(None, "c", 2), (3, None, 2)], "k int, v string, s int")
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    once = upsert.upsert(old, new, ["k"], "s")
+    assert key(once.collect()) == key([(None, "c", 2), (2, "b", 1), (3, None, 2)]) == key(upsert.upsert(once, new, ["k"], "s").collect())
+    assert key(upsert.upsert_keep_old(old, spark.createDataFrame([(None, None, 7)], "k int, v string, s int"), ["k"], ["v"]).collect()) == key([(None, "a", 7), (2, "b", 1)])
+    touched = upsert.touched(old, new, ["k"], "s", F.lit(99))
+    assert key(touched.collect()) == key([(None, "c", 99), (3, None, 2)])
+
+
+def test_runs(spark):
+    run = upsert.started_run("r1", "p", "2026-01-01 00:00:00", spark)
+    rows = spark.createDataFrame([("r1", 1.0), ("r1", -1.0)], "run_id string, v double")
+    done = upsert.finished_run(run, upsert.audit(rows, ["run_id"], F.col("v") < 0), F.lit("2026-01-01 01:00:00").cast("timestamp"), "e", "n").first()
+    assert (done.status, done.updated, done.failed, done.etag, done.notes) == ("partial", 1, 1, "e", "n") and run.first().status == "running"
+
+
+def test_groups_of_a_hot_window_and_gapless_numbers(spark):
+    d = F.to_date(F.lit("2024-01-01"))
+    rows = spark.range(2000).select(F.format_string("k%05d", "id").alias("key"), d.alias("chunk_start"), d.alias("chunk_end"))
+    rows = rows.unionByName(spark.createDataFrame([("k1",)], "key string").select("key", d.alias("chunk_start"), F.lit(None).cast("date").alias("chunk_end")))
+    got = {(r.chunk_end, r.call): r["keys"] for r in ranges.window_groups(rows, "key", 300).collect()}
+    assert [got[k][0] for k in sorted((k for k in got if k[0]), key=lambda k: k[1])] == [f"k{i:05d}" for i in range(0, 2000, 300)] and got[None, 0] == ["k1"]
+
+
+def test_conflicts_across_parts(spark):
+    rows = spark.range(3000).select(F.lit("hot").alias("k"), "id", F.format_string('{"x":"%d"}', F.col("id").cast("int") % 2).alias("t"))
+    got = entities.lag_conflict(rows, "k", "t", "id")
+    assert got.where("conflicts").count() == 2999 and got.where("conflicts IS NULL").count() == 1
+
+
+def test_aliases_and_filers(spark):
+    kind = "provider string, provider_entity_id string, entity_id string, active_from string, active_to date, o int"
+    m = spark.createDataFrame([("p", "1", "e", "2020", None, 1), ("p", "2", "e", "2020", None, 2), ("p", "3", "e", None, None, 3), ("p", "4", "e", None, None, 4), ("q", "9", "f", None, None, 5)], kind)
+    assert sorted(r.provider_entity_id for r in entities.first_aliases(m, "o").collect()) == ["1", "3", "4", "9"]
+    found, without = entities.filers_of(spark.createDataFrame([("e",), ("f",)], "entity_id string"), m, "p", F.lit("2024-01-01").cast("date"))
+    assert sorted(r.cik for r in found.collect()) == ["1", "2", "3", "4"] and [r.entity_id for r in without.collect()] == ["f"]
+
+
+def test_concept_look_up(spark):
+    reg = spark.createDataFrame([("1", "Revenue", ["a:Rev"])], "cik string, concept string, qnames array<string>")
+    seed = {"Revenue": ["us:Revenues"], "Assets": ["us:Assets"]}
+    assert facts.look_up(reg, "1", "revenue ", seed) == ["a:Rev"] and facts.look_up(reg, "2", "Revenue", seed) == ["us:Revenues"] and facts.look_up(reg, "1", "assets", seed) == ["us:Assets"]
+    with pytest.raises(ValueError):
+        facts.look_up(reg, "1", "nothing", seed)
+
+
 def test_markdown():
     page = "<div><script>x</script><b></b><p><b>Bold</b> and <i>it</i></p><ul><li>one</li></ul><table><tr><th>a</th><th>b</th></tr><tr><td rowspan=2>1</td><td>2</td></tr><tr><td>3</td></tr></table></div>"
     assert markdown.to_markdown(page) == "**Bold** and *it*\n\n- one\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n|  | 3 |"

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from silverbarn.functions import blobs
 from silverbarn.operators import listings as L
+from silverbarn.sources import tables
 
 
 def _rows(spark, rows, cols):
@@ -57,6 +58,26 @@ def test_equities_collapse_on_the_company(spark):
     assert whole.entities.where("entity_id = 'company:us:acme-inc'").count() == 1
 
 
+def test_stored_companies_exchanges_currencies_symbols(spark):
+    cols = "symbol name isin cusip exchange country"
+    first = L.equities(_rows(spark, [("ACM", "Acme Inc.", "US0378331005", "C1", "NMS", "")], cols), "p")
+    more = L.equities(_rows(spark, [("ACY.L", "Acme Trading plc", "", "C1", "", ""), ("ACZ.PA", "ACME Corp.", "", "", "", ""), ("NEW", "Brandnew Ltd", "", "", "LSE", "")], cols), "p", stored=first)
+    by = {r.provider_entity_id: r.entity_id for r in more.provider_ids.where("provider = 'p'").collect()}
+    assert by == {"ACY.L": "sec:isin:us0378331005", "ACZ.PA": "sec:isin:us0378331005", "NEW": "sec:ticker:new"}
+    assert ("company:gb:brandnew-ltd", "sec:ticker:new", "issued_security") in _edges(more)
+    added = L.missing_from(more, first)
+    assert "mic:xlon" in {r.entity_id for r in added.entities.collect()} and not added.entities.where("entity_id = 'sec:isin:us0378331005'").count()
+    assert L.skipped(_rows(spark, [("A", "x"), ("", "y"), (None, "z")], "symbol name"), "symbol").count() == 2
+    ex = L.exchange_entities(*tables.exchanges(spark), "p")
+    assert ex.provider_ids.where("provider_entity_id = 'TSE'").count() == 2 and ("mic:xnas", "ccy:usd", "traded_in") in _edges(ex) and ex.entities.where("entity_type = 'exchange'").count() == 70
+    money, failed = L.currency_entities(spark.createDataFrame([("usd", "Dollar"), ("", "none"), ("EUR", None)], "code string, name string"), "p")
+    assert _ids(money.provider_ids) == {"USD": "ccy:usd"} and failed.count() == 2
+    us = L.us_symbol_entities(_rows(spark, [("A.B", "Alpha", "NYQ"), ("", "x", "NYQ")], "symbol name exchange"), "p", "q")
+    assert {(r.provider, r.entity_id) for r in us.provider_ids.collect()} == {("p", "sec:ticker:a"), ("q", "sec:ticker:a")} and ("sec:ticker:a", "mic:xnys", "listed_on") in _edges(us)
+    land = L.region_entities(tables.admin_regions(spark, [("us", "TX", "Texas", "State")]), "p")
+    assert _ids(land.provider_ids) == {"region:admin1:us:texas": "region:admin1:us:texas"}
+
+
 def test_blobs(spark, tmp_path):
     df = spark.createDataFrame([("a-1", "x/y.PDF", bytearray(b"hello")), ("a-1", "z.htm", bytearray(b"no")), ("a-2", "q.xls", None)], "accession string, file_name string, payload binary")
     back = df.select(blobs.decompressed(blobs.compressed(F.col("payload"))).alias("p"), blobs.decompressed(F.col("payload")).alias("bad")).collect()

@@ -102,11 +102,53 @@ def test_catalog_sources_and_cli(spark, tmp_path):
         cat.read("nothing")
     with pytest.raises(KeyError):
         ingest.all_sources(cat).get("nothing")
+    assert [x.name for x in ingest.all_sources(cat).chosen([" Market "])] == ["market"] and len(ingest.all_sources(cat).chosen()) == 3
+    with pytest.raises(ValueError):
+        ingest.all_sources(cat).chosen(["nothing"])
     assert ingest.main(["nothing", "x", "--data-root", str(tmp_path)]) == 1
     cat.register()
     assert spark.sql("SELECT count(*) AS n FROM candles").first().n == 1
 
 
+def test_only_touched_parts_are_written(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path / "root"))
+    rows = spark.range(500).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("v"))
+    assert cat.upsert("t", rows, ["k"], 8) == 500
+    assert cat.upsert("t", spark.createDataFrame([("7", 1), ("new", 2)], "k string, v int"), ["k"], 8) == 2
+    parts = [p.name for p in (tmp_path / "root" / "t" / "v2").iterdir() if p.name.startswith("_part")]
+    assert 1 <= len(parts) <= 2
+    now = {r.k: r.v for r in cat.read("t").collect()}
+    assert len(now) == 501 and now["7"] == 1 and now["new"] == 2 and {r.v for r in cat.read("t", 1).collect()} == {0}
+    (tmp_path / "root" / "t" / "v3").mkdir()  # a write that failed
+    assert cat.write("t", rows.limit(3)) == 4 and cat.read("t").count() == 3 and cat.versions("t") == [1, 2, 4]
+    assert cat.upsert("t", rows.limit(0), ["k"], 8) == 0 and cat.upsert("t", rows, ["k"], 8) == 500 and cat.read("t").count() == 500
+
+
+def test_filings_in_order_with_markers(spark, tmp_path):
+    import io
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("deep/inner.xml", INSTANCE)
+        z.writestr("style.css", "x")
+    files = [
+        ("a1", "b.xml", b"not xml"), ("a1", "c.xml", INSTANCE.encode()), ("a1", "d.xml", INSTANCE.encode()), ("a1", "a.htm", b"<p>"), ("a1", "a1.txt", INSTANCE.encode()),
+        ("a2", "pack.zip", packed.getvalue()), ("a3", "x.xml", b"no"), ("done", "x.xml", INSTANCE.encode()), ("a4", None, b""),
+    ]
+    df = spark.createDataFrame([(a, n, bytearray(b)) for a, n, b in files], "accession string, file_name string, content binary")
+    members = archives.filing_members(df)
+    assert sorted(r.file_name for r in members.where("accession = 'a2'").collect()) == ["inner.xml"]
+    rows, report = archives.filing_facts(members, spark.createDataFrame([("done",)], "accession string"))
+    assert {(r.accession, r.file_order) for r in rows.where("kind = 'fact'").collect()} == {("a1", "0|c.xml"), ("a2", "1|pack.zip|deep/inner.xml")}
+    assert {r.accession: (r.files, r.failed, r.done) for r in report.collect()} == {"a1": (3, 1, True), "a2": (1, 0, True), "a3": (1, 1, False)}
+
+
+def test_empty_main_document_takes_its_pages(spark, tmp_path):
+    _zip(tmp_path / "s.zip", {"CIK0000000009.json": "{ }", "CIK0000000009-submissions-001.json": "[1]"})
+    (row,) = archives.submissions(archives.read_zip(spark, str(tmp_path))).collect()
+    assert json.loads(row.payload) == {"pages": [[1]]} and row.fetched_at is not None
+
+
 def _skills(spark):
     bars = spark.createDataFrame([("s", date(2024, 1, d), p, c) for d, p, c in ((1, "a", 1.0), (1, "b", 9.0), (2, "b", 3.0), (9, "a", 5.0))], "canonical_id string, start_ts date, provider string, close double")
     bars = bars.withColumns({c: F.lit(None).cast("double") for c in ("open", "high", "low", "adj_close", "volume", "dividend")})
@@ -124,7 +166,7 @@ def test_skills(spark):
     assert [(str(r.start_ts), r.provider, r.close) for r in got.records.collect()] == [("2024-01-02", "b", 3.0), ("2024-01-01", "a", 1.0)] and got.metadata["row_count"] == 2
     week = s.execute_skill(QUOTES, {"symbol": "s", "aggregation": {"method": "avg", "period": "week"}})
     assert [(r.period, r.close, r.n) for r in week.records.collect()] == [("2024-W02", 5.0, 1), ("2024-W01", 2.0, 2)]
-    facts = s.execute_skill(FACTS, {"symbol": "sec:x", "concepts": "Assets"})
+    facts = s.execute_skill(FACTS, {"symbol": "sec:x", "concepts": "2023:Assets"})
     assert [r.value for r in facts.records.collect()] == [1500.0]
     bad = [(QUOTES, {}), (QUOTES, {"symbol": "s", "start": "2024-02-01", "end": "2024-01-01"}), (QUOTES, {"symbol": "s", "columns": ["nope"]}), (QUOTES, {"symbol": "s", "start": "20240101"}),
            (QUOTES, {"symbol": "s", "aggregation": {"method": "sum"}}), (FACTS, {}), (FACTS, {"cik": "1", "limit": 0}), (FACTS, {"entity": "none"}), ("skill:none", {})]
