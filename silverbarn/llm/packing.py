@@ -11,19 +11,22 @@ The texts then take their places by a distributed rank within their length.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from silverbarn.session import cut_lineage
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Vocabulary on the driver, which sends it to the executors.
+TOKENIZER = os.environ.get("SILVERBARN_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Split pattern of the public byte-level vocabularies; a fixed value.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Rows of one length that get their rank in one task.
@@ -46,14 +49,17 @@ def pieces(text: str, capacity: int, encode, decode) -> list[tuple[int, int, int
     text each piece is the longest prefix of whole characters that measures no
     more than the capacity by itself.
     """
-    tokens = encode(text)
-    if len(tokens) <= capacity:
-        return [(0, len(text), len(tokens))]
     out, start = [], 0
     while True:
-        rest = text[start:] if start else text
-        tokens = encode(rest) if start else tokens
-        if len(tokens) <= capacity:
+        # no more of the rest is encoded than a piece can hold, so the work is in proportion to the text
+        wide = 4 * capacity
+        while True:
+            rest = text[start : start + wide]
+            tokens = encode(rest)
+            if len(tokens) > capacity + 16 or start + wide >= len(text):
+                break
+            wide *= 2
+        if len(tokens) <= capacity and start + wide >= len(text):
             return [*out, (start, len(text), len(tokens))]
         take = capacity
         while True:
@@ -68,7 +74,7 @@ def pieces(text: str, capacity: int, encode, decode) -> list[tuple[int, int, int
 
 def _measure(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer(path)
+        enc = tokenizer(SparkFiles.get(os.path.basename(path)))
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -84,6 +90,7 @@ def _measure(path: str, capacity: int):
 
 def measured(documents: DataFrame, capacity: int, path: str = TOKENIZER) -> DataFrame:
     """The items to pack: every text, or every piece of a text longer than a container."""
+    documents.sparkSession.sparkContext.addFile(path)
     return documents.select("doc_id", "text").mapInArrow(_measure(path, capacity), "doc_id bigint, part int, start_char int, end_char int, n_tokens int")
 
 

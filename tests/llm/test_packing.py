@@ -41,6 +41,16 @@ def test_pieces_are_whole_and_fit():
     assert len(packing.pieces("short", 64, enc.encode_ordinary, enc.decode_bytes)) == 1
 
 
+def test_the_work_on_a_long_text_is_in_proportion_to_it():
+    enc = packing.tokenizer(packing.TOKENIZER)
+    seen = []
+    count = lambda t: (seen.append(len(t)), enc.encode_ordinary(t))[1]
+    text = "A sentence of some words, number 12. " * 20_000
+    parts = packing.pieces(text, 512, count, enc.decode_bytes)
+    assert "".join(text[a:b] for a, b, _ in parts) == text and sum(seen) < 6 * len(text)
+    assert sum(n for *_, n in parts[:-1]) >= 0.98 * 512 * (len(parts) - 1)
+
+
 def _packed(spark, rows, capacity=64):
     return packing.pack(spark.createDataFrame(rows, DOCS), capacity).collect()
 
