@@ -119,7 +119,8 @@ def small_after(text: str) -> set[str]:
     return {last_word(p) for p, q in zip(parts, parts[1:]) if q[:1].islower() and "." not in q[:3] and p and not p[-1].isspace()}
 
 
-_TOKEN = re.compile(r"[^\W\d_][\w’'-]*\.?")
+#: What may stand around a word between blanks, apart from the period.
+AROUND = "\"'“”„‘’«»()[]（）,;:!?…*•"
 
 
 class _Own:
@@ -137,8 +138,9 @@ class _Own:
     def plain(self, word: str) -> bool:
         """Whether the word, written small, stands without a period."""
         if self.tokens is None:
-            self.tokens = frozenset(_TOKEN.findall(self.text))
-        return word in self.tokens
+            self.tokens = frozenset(self.text.split())
+        tokens = self.tokens
+        return word in tokens or word + "," in tokens or word + ";" in tokens or word + ":" in tokens or word + ")" in tokens or "(" + word in tokens
 
     def ordinary(self, word: str) -> bool:
         """Whether the word is written small somewhere."""
@@ -193,7 +195,8 @@ def _ends(text: str, at: int, end: int, unit: int, nocase: bool, own: _Own, know
     if nxt in "\"'“„«([「¿¡‘" and k + 1 < n:
         nxt = text[k + 1]
     # the word before the period
-    b = at
+    near = text[max(unit, at - 64) : at].rsplit(None, 1)
+    b = at - len(near[-1]) if near and not text[at - 1].isspace() else at
     while b > unit and not text[b - 1].isspace():
         b -= 1
     while b < at and text[b] in "(\"“„«[/":
@@ -468,50 +471,62 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of every word: before a period at all, before a small letter, before a figure; after a period; without
     a period; written small; with a capital inside a sentence; beginning a sentence after an ordinary word, following an
     abbreviation in small letters."""
-    counts: dict[str, Counter] = {c: Counter() for c in _COUNTS}
-    tokens: Counter = Counter()
+    tokens, inside, before_, after_ = Counter(), Counter(), Counter(), Counter()
 
     def flush() -> pa.RecordBatch:
+        counts: dict[str, Counter] = {c: Counter() for c in _COUNTS}
         for t, n in tokens.items():
-            word = t.rstrip(".").lower()
-            if t[-1] != ".":
-                counts["plain"][word] += n
-            if t[0].islower():
-                counts["lower"][word] += n
-        tokens.clear()
-        words = list(set().union(*counts.values()))
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([counts[c][w] for w in words], pa.int64()) for c in _COUNTS]], ["word", *_COUNTS])
-        for c in counts.values():
+            bare = t.strip(AROUND)
+            word = bare.rstrip(".").lower()
+            if word and word[0].isalpha():
+                if bare[-1] != ".":
+                    counts["plain"][word] += n
+                if bare[0].islower():
+                    counts["lower"][word] += n
+        for t, n in inside.items():
+            counts["inside"][t.lower()] += n
+        for (word, c), n in before_.items():
+            word = last_word(word)
+            if word and word[0].isalpha():
+                counts["dot"][word] += n
+                if c.islower():
+                    counts["dot_small"][word] += n
+                elif c.isdigit() or unicodedata.category(c) == "Sc":
+                    counts["dot_figure"][word] += n
+        for (t, long), n in after_.items():
+            m = WORD.match(t)
+            if m:
+                word = m.group().lower()
+                counts["head"][word] += n
+                if t[0].islower():
+                    counts["follows"][word] += n
+                elif long:
+                    counts["begins"][word] += n
+        for c in (tokens, inside, before_, after_):
             c.clear()
-        return out
+        words = list(set().union(*counts.values()))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([counts[c][w] for w in words], pa.int64()) for c in _COUNTS]], ["word", *_COUNTS])
 
     for batch in batches:
+        befores, afters = [], []
         for text in batch.column(0).to_pylist():
             if not text or text.islower() or text.isupper():
                 continue
-            tokens.update(_TOKEN.findall(text))
-            counts["inside"].update(map(str.lower, _INSIDE.findall(text)))
+            tokens.update(text.split())
+            inside.update(_INSIDE.findall(text))
             parts = text.split(". ")
             before = parts[0]
             for part in parts[1:]:
                 head = part.split(None, 1)
                 if head and before and not before[-1].isspace():
-                    word, c = last_word(before), head[0][0]
-                    if word and word[0].isalpha():
-                        counts["dot"][word] += 1
-                        if c.isalpha():
-                            nxt = (WORD.match(head[0]) or [""])[0].lower()
-                            if nxt:
-                                counts["head"][nxt] += 1
-                                if c.islower():
-                                    counts["dot_small"][word] += 1
-                                    counts["follows"][nxt] += 1
-                                elif word.isalpha() and len(word) > 4 or word[-1] in "%)":
-                                    counts["begins"][nxt] += 1
-                        elif c.isdigit() or unicodedata.category(c) == "Sc":
-                            counts["dot_figure"][word] += 1
+                    word, nxt = before.rsplit(None, 1)[-1], head[0]
+                    befores.append((word, nxt[0]))
+                    if nxt[0].isalpha():
+                        afters.append((nxt, len(word) > 4 and word.isalpha() or word[-1] in "%)"))
                 before = part
-        if len(tokens) + sum(map(len, counts.values())) > 400_000:
+        before_.update(befores)
+        after_.update(afters)
+        if len(tokens) + len(inside) + len(before_) + len(after_) > 400_000:
             yield flush()
     yield flush()
 
