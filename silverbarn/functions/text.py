@@ -154,6 +154,41 @@ def accession_url(base: str, cik_text: Column, accession: Column) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), unpadded(digits(cik_text)), F.lit("/"), digits(accession), F.lit("/"))
 
 
+def accession_index_urls(base: str, cik_text: Column, accession: Column, dashed: Column) -> Column:
+    """Where the file list of a filing may be found, in the order it is tried: index.json, the directory, the index page."""
+    folder = accession_url(base, cik_text, accession)
+    return F.array(F.concat(folder, F.lit("index.json")), folder, F.concat(folder, dashed, F.lit("-index.htm")))
+
+
+def submissions_url(base: str, cik_text: Column) -> Column:
+    return F.concat(F.lit(base.rstrip("/") + "/CIK"), cik(cik_text), F.lit(".json"))
+
+
+def listed_files(index_json: Column, *pages: Column) -> Column:
+    """Names of a filing's files: those of index.json, else the links of the first page that has any; each once, in order, no directories."""
+    from silverbarn.functions.markdown import links
+
+    items = F.from_json(index_json, "directory struct<item array<struct<name string>>>")["directory"]["item"]
+    names = F.array_distinct(F.filter(F.transform(items, lambda i: i["name"]), lambda n: n.isNotNull() & ~F.endswith(n, F.lit("/"))))
+    some = lambda a: F.when(F.size(a) > 0, a)
+    return F.coalesce(some(names), *[some(F.transform(links(p), lambda h: F.substring_index(h, "/", -1))) for p in pages], F.array().cast("array<string>"))
+
+
+def texts_of(values: Column) -> Column:
+    """Every item as text, places kept."""
+    return F.transform(values, lambda v: v.cast("string"))
+
+
+def filled_texts_of(values: Column) -> Column:
+    """Items that are not null or empty, as text; places are lost."""
+    return F.filter(texts_of(values), lambda v: v.isNotNull() & (v != ""))
+
+
+def utc_timestamp(stamp: Column) -> Column:
+    """Timestamp of a text with or without a zone; without one it means UTC, which must be the session's zone. Null if unreadable."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(stamp), r"\s*Z$", "+00:00"))
+
+
 #: What a filing's directory holds besides its documents.
 IGNORED_FILES = ("metalink.json", "metalinks.json", "filingsummary.xml")
 IGNORED_ENDINGS = (

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silverbarn.catalog import Catalog, DataSource, Sources
+from silverbarn.operators.entities import provider_ids_of
 from silverbarn.operators.upsert import keep_last
+from silverbarn.session import cut_lineage
 from silverbarn.sources import archives, tables
 
 
@@ -45,24 +51,57 @@ class Filings(DataSource):
         return {"submissions": _store(self.catalog, "submissions", rows, ["cik"], "fetched_at")}
 
 
+class BarProvider(Protocol):
+    """A source of daily bars: a name, and the bars it has of instruments by its own ids."""
+
+    name: str
+
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """(provider_entity_id, day, open, high, low, close, adj_close, volume) of the ids in ``provider_entity_id``."""
+
+
+def provider_bars(provider: BarProvider, wanted: DataFrame, mapping: DataFrame, as_of: Column) -> DataFrame:
+    """Bars of the wanted entities from a provider: by the id it is known to use, else the last part of the entity's id in capitals.
+
+    Bars without a day or close are dropped; an id without bars is simply absent.
+    """
+    known = provider_ids_of(wanted, mapping, provider.name, as_of)
+    ids = wanted.select("entity_id").distinct().join(known, "entity_id", "left")
+    ids = cut_lineage(ids.withColumn("provider_entity_id", F.coalesce("provider_entity_id", F.upper(F.substring_index("entity_id", ":", -1)))))
+    rows = provider.fetch(ids.select("provider_entity_id").distinct()).join(ids, "provider_entity_id")
+    return rows.where(F.col("day").isNotNull() & F.col("close").isNotNull()).select(
+        F.col("entity_id").alias("canonical_id"), F.col("day").alias("start_ts"), F.lit(provider.name).alias("provider"), *("open", "high", "low", "close", "adj_close", "volume")
+    )
+
+
 def all_sources(catalog: Catalog) -> Sources:
     return Sources(Bars(catalog), Housing(catalog), Filings(catalog))
 
 
+def data_root(given: str | None = None) -> str:
+    """Where the tables lie: as given, else $SILVERBARN_DATA, else ./data."""
+    return given or os.environ.get("SILVERBARN_DATA") or os.path.join(os.getcwd(), "data")
+
+
 def main(args: list[str] | None = None) -> int:
-    """``python -m silverbarn.ingest SOURCE PATH --data-root ROOT``; exit code 1 for an unknown source."""
+    """``python -m silverbarn.ingest update SOURCE PATH`` or ``seed LIST [PATH] [--limit N]``, with ``--data-root ROOT``; exit code 1 for an unknown name."""
+    from silverbarn import seeding
     from silverbarn.session import get_session
 
     p = argparse.ArgumentParser(description=main.__doc__)
-    p.add_argument("source")
-    p.add_argument("path")
-    p.add_argument("--data-root", required=True)
+    p.add_argument("what", choices=("update", "seed"))
+    p.add_argument("name")
+    p.add_argument("path", nargs="?", default="")
+    p.add_argument("--data-root")
+    p.add_argument("--limit", type=int)
     a = p.parse_args(args)
-    sources = all_sources(Catalog(get_session(), a.data_root))
-    if a.source not in sources.by_name:
-        print(f"unknown source {a.source}; there are {', '.join(sorted(sources.by_name))}", file=sys.stderr)
+    catalog = Catalog(get_session(), data_root(a.data_root))
+    sources = all_sources(catalog)
+    known = seeding.PIPELINES if a.what == "seed" else sources.by_name
+    if a.name not in known:
+        print(f"unknown name {a.name}; there are {', '.join(sorted(known))}", file=sys.stderr)
         return 1
-    print(sources.get(a.source).ensure_up_to_date(a.path))
+    print(seeding.seed(catalog, a.name, a.path, a.limit) if a.what == "seed" else sources.get(a.name).ensure_up_to_date(a.path))
     return 0
 
 

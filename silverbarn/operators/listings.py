@@ -82,7 +82,7 @@ def products(rows: DataFrame, kind: str, fallback: str, provider: str, fields: t
     placed = ent.merge_or_split(rows, "_slug", "_alt", "_meta", "row_idx").select("row_idx", F.concat(F.lit(f"{kind}:"), "entity_id").alias("_id"))
     rows = rows.join(placed, "row_idx")
     members = ent.metadata_by_key(rows, "_id", "_meta", "row_idx")
-    mic = F.concat(F.lit("mic:"), F.lower(text.market(_col(rows, "exchange"), _col(rows, "symbol"))))
+    mic = F.concat(F.lit("mic:"), F.lower(text.market(_col(rows, "exchange"), _col(rows, "symbol"), static.exchange_codes())))
     family = F.concat(F.lit("fund_entity:"), F.nullif(text.slug(_col(rows, "family"), "-", None), F.lit("")))
     own = _entity(rows.join(members, "_id"), F.col("_id"), kind, _col(rows, "name"), F.col("members"))
     nodes = _first_entities(own, _entity(rows, mic, "exchange", F.upper(F.substring_index(mic, ":", -1))), _entity(rows, family, "fund_entity", _col(rows, "family")))

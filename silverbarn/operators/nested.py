@@ -253,3 +253,30 @@ def accession_children(index: DataFrame) -> DataFrame:
 def nested_tables(submissions: DataFrame, index: DataFrame) -> DataFrame:
     """Every child of both sources with its parent and place, distinct; kinds and keys of the two never meet."""
     return submission_children(submissions).distinct().unionByName(accession_children(index))
+
+
+_RECENT = "filings struct<recent struct<accessionNumber array<string>, form array<string>, filingDate array<string>, reportDate array<string>, primaryDocument array<string>>>"
+
+
+def filing_rows(submissions: DataFrame, strict: bool = False) -> DataFrame:
+    """(cik, accession, form, filing_date, report_date, document) of payloads whose recent filings are parallel lists.
+
+    The lists are cut to the shortest of accession, form and date; report date
+    and document may be absent. Of one accession of a cik the first row counts,
+    the latest payload first. A filing date that cannot be read is an error
+    with ``strict``, else the row is dropped.
+    """
+    rows = submissions.where(F.col("cik").isNotNull()).select("cik", "fetched_at", F.from_json("payload", _RECENT)["filings"]["recent"].alias("r"))
+    n = F.least(F.size("r.accessionNumber"), F.size("r.form"), F.size("r.filingDate"))
+    item = lambda i: F.struct(*[F.get(F.col(f"r.{m}"), i).alias(m) for m in ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")])
+    each = rows.where(n > 0).select("cik", "fetched_at", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), item)).alias("pos", "f")).select("cik", "fetched_at", "pos", "f.*")
+    day = F.try_to_date("filingDate", "yyyy-MM-dd")
+    if strict:
+        day = F.when(day.isNull(), F.raise_error(F.concat(F.lit("unreadable filing date: "), F.coalesce("filingDate", F.lit("null"))))).otherwise(day)
+    named = each.where(F.coalesce("accessionNumber", F.lit("")) != "").select(
+        "cik", plain_accession(F.col("accessionNumber")).alias("accession"), "form", day.alias("filing_date"), F.try_to_date("reportDate", "yyyy-MM-dd").alias("report_date"),
+        F.nullif(F.col("primaryDocument"), F.lit("")).alias("document"), F.struct((-F.unix_micros(F.col("fetched_at").cast("timestamp"))).alias("a"), "pos").alias("_order"),
+    )
+    kept = named.where(F.col("filing_date").isNotNull())
+    first = kept.groupBy("cik", "accession").agg(F.min_by(F.struct("form", "filing_date", "report_date", "document"), "_order").alias("f"))
+    return first.select("cik", "accession", "f.*")

@@ -8,8 +8,9 @@ and overwrites one path in one plan; ``catalog`` switches versions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silverbarn.functions.text import fingerprint
@@ -120,8 +121,9 @@ def audit(runs: DataFrame, keys: Sequence[str], failed: Column) -> DataFrame:
     )
 
 
-def started_run(run_id: str, provider: str, at: str, spark) -> DataFrame:
-    """The audit row of a run that has begun."""
+def started_run(provider: str, at: str, spark: SparkSession, run_id: str | None = None) -> DataFrame:
+    """The audit row of a run that has begun, under a new random id unless one is given."""
+    run_id = run_id or uuid4().hex
     row = [(run_id, provider, at, None, "running", None, None, None, None)]
     return spark.createDataFrame(row, RUN).withColumn("started_at", F.to_timestamp("started_at"))
 

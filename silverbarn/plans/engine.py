@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from silverbarn.functions import blobs, classify, markdown, metadata, periods, regions, static, text
-from silverbarn.operators import best, entities, facts, listings, ranges, upsert
+from silverbarn.operators import best, entities, facts, listings, nested, ranges, upsert
 from silverbarn.session import table
 from silverbarn.sources import archives, tables
 
@@ -804,3 +804,13 @@ def combined_calls(read: Read) -> DataFrame:
     last = upsert.keep_last(e, ["user_id", "event_type"], F.col("event_id"))
     late = F.col("event_type").isin("click", "view")
     return ranges.combined(last.where(~late), [last.where(late).withColumn("value", F.col("value"))], ["user_id", "event_type"]).select("user_id", "event_type", "value")
+
+
+@query("""WITH j AS (SELECT cik, fetched_at, CASE WHEN json_valid(payload) THEN json_extract(payload, '$.filings.recent') END AS r FROM edgar_submissions WHERE cik IS NOT NULL),
+l AS (SELECT cik, fetched_at, cast(json_extract(r, '$.accessionNumber') AS varchar[]) AS a, cast(json_extract(r, '$.form') AS varchar[]) AS f, cast(json_extract(r, '$.filingDate') AS varchar[]) AS d FROM j
+  WHERE json_type(r) = 'OBJECT' AND json_type(r, '$.accessionNumber') = 'ARRAY' AND json_type(r, '$.form') = 'ARRAY' AND json_type(r, '$.filingDate') = 'ARRAY'),
+e AS (SELECT cik, fetched_at, i, a[i] AS a, f[i] AS form, try_cast(d[i] AS date) AS day FROM (SELECT *, unnest(range(1, least(len(a), len(f), len(d)) + 1)) AS i FROM l))
+SELECT cik, replace(a, '-', '') AS accession, arg_min(form, row(-epoch_us(fetched_at), i)) AS form, arg_min(day, row(-epoch_us(fetched_at), i)) AS filing_date
+  FROM e WHERE coalesce(a, '') <> '' AND day IS NOT NULL GROUP BY 1, 2""")
+def filing_rows(read: Read) -> DataFrame:
+    return nested.filing_rows(read("edgar_submissions")).select("cik", "accession", "form", "filing_date")

@@ -87,18 +87,27 @@ def company_tickers(spark: SparkSession, path: str) -> DataFrame:
     return out.where((F.col("ticker") != "") & (F.col("name") != ""))
 
 
+def currency_codes(spark: SparkSession, path: str) -> DataFrame:
+    """(code, name) of a JSON object code to name, blank ones too."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("code", "name"))
+
+
 def currencies(spark: SparkSession, path: str) -> DataFrame:
     """(entity_id, code, name) of a JSON object code to name; blank codes are left out."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("code", "name"))
+    rows = currency_codes(spark, path)
     return rows.where(F.trim("code") != "").select(F.concat(F.lit("ccy:"), F.lower(F.trim("code"))).alias("entity_id"), F.upper(F.trim("code")).alias("code"), "name")
 
 
-def admin_regions(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> DataFrame:
+def regions_of(rows: DataFrame) -> DataFrame:
     """Region entities of (country, code, name, kind): the nation for a blank code, else state or province."""
-    df = spark.createDataFrame(rows, "country string, code string, name string, kind string")
     us_state = (F.lower("country") == "us") & F.lower("kind").isin("state", "district", "territory", "outlying area")
     kind = F.when(F.coalesce(F.col("code"), F.lit("")) == "", F.lit("national")).when(us_state, F.lit("state")).otherwise(F.lit("province"))
-    return df.select(regions.region_id(kind, F.col("name"), F.col("code"), F.lit(None), F.col("country")).alias("entity_id"), "name", kind.alias("kind"))
+    return rows.select(regions.region_id(kind, F.col("name"), F.col("code"), F.lit(None), F.col("country")).alias("entity_id"), "name", kind.alias("kind"))
+
+
+def admin_regions(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> DataFrame:
+    """``regions_of`` a list of the driver's."""
+    return regions_of(spark.createDataFrame(rows, "country string, code string, name string, kind string"))
 
 
 def exchanges(spark: SparkSession, rows: Sequence[tuple] = static.EXCHANGES) -> tuple[DataFrame, DataFrame]:

@@ -120,7 +120,7 @@ def test_null_keys_are_keys(spark):
 
 
 def test_runs(spark):
-    run = upsert.started_run("r1", "p", "2026-01-01 00:00:00", spark)
+    run = upsert.started_run("p", "2026-01-01 00:00:00", spark, "r1")
     rows = spark.createDataFrame([("r1", 1.0), ("r1", -1.0)], "run_id string, v double")
     done = upsert.finished_run(run, upsert.audit(rows, ["run_id"], F.col("v") < 0), F.lit("2026-01-01 01:00:00").cast("timestamp"), "e", "n").first()
     assert (done.status, done.updated, done.failed, done.etag, done.notes) == ("partial", 1, 1, "e", "n") and run.first().status == "running"
@@ -168,5 +168,15 @@ def test_markdown():
     assert "**x**" in markdown.textblocks_to_markdown("<r><PolicyTextBlock id='1'>&lt;b&gt;x&lt;/b&gt;</PolicyTextBlock><o>1</o></r>")
 
 
+def test_file_lists_and_urls(spark):
+    rows = [('{"directory":{"item":[{"name":"a"},{"name":"d/"},{"name":"a"},{"x":1}]}}', None, None), ("bad", '<a href="/x/y.xml">1</a>', None), (None, "<p>", '<a href="q.htm">1</a>'), (None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, j string, a string, b string").orderBy("i")
+    assert [r.f for r in df.select(text.listed_files(F.col("j"), F.col("a"), F.col("b")).alias("f")).collect()] == [["a"], ["y.xml"], ["q.htm"], []]
+    one = spark.range(1).select(text.accession_index_urls("http://h/", F.lit("0012"), F.lit("1-2"), F.lit("1-2")).alias("u"), text.submissions_url("http://h", F.lit("12")).alias("s"), text.filled_texts_of(F.array(F.lit(1), F.lit(None))).alias("t")).first()
+    assert one.u == ["http://h/12/12/index.json", "http://h/12/12/", "http://h/12/12/1-2-index.htm"] and one.s == "http://h/CIK0000000012.json" and one.t == ["1"]
+    stamps = spark.createDataFrame([("2026-01-01T00:00:00Z",), ("2026-01-01 02:00:00+02:00",), ("2026-01-01 00:00:00",)], "v string")
+    assert len({r.t for r in stamps.select(text.utc_timestamp(F.col("v")).alias("t")).collect()}) == 1
+
+
 def test_links(spark):
     assert _each(spark, ['<a href="b">1</a><A class="q" HREF=\'a\'>2</A><a href="d/">3</a><a href="b">4</a>', "", None], markdown.links) == [["b", "a"], [], None]

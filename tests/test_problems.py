@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from silverbarn.operators import nested, outliers
@@ -45,6 +46,14 @@ def test_submissions_of_every_shape(spark):
     assert nested.submission_children(df.limit(0)).count() == 0
 
 
+def test_filing_rows(spark):
+    recent = {"accessionNumber": ["1-2", "", "1-2", "3"], "form": ["a", "b", "c", "d"], "filingDate": ["2024-01-01", "x", "2024-01-03", "soon"], "reportDate": ["2023-12-31"]}
+    df = spark.createDataFrame([("1", datetime(2026, 1, 1), json.dumps({"filings": {"recent": recent}})), ("2", None, "bad"), (None, None, "{}")], "cik string, fetched_at timestamp, payload string")
+    assert [tuple(r) for r in nested.filing_rows(df).collect()] == [("1", "12", "a", date(2024, 1, 1), date(2023, 12, 31), None)]
+    with pytest.raises(Exception, match="unreadable filing date"):
+        nested.filing_rows(df, strict=True).collect()
+
+
 def test_payloads_wrapped_as_text_and_fetched_within_a_millisecond(spark):
     wrap = lambda o, n: o if n == 0 else wrap(json.dumps(o), n - 1)
     t = datetime(2026, 1, 1, 0, 0, 0, 5)

@@ -8,7 +8,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from silverbarn import ingest
+from silverbarn import ingest, seeding
 from silverbarn.catalog import Catalog
 from silverbarn.skills import FACTS, QUOTES, Skills
 from silverbarn.sources import archives, tables
@@ -105,7 +105,8 @@ def test_catalog_sources_and_cli(spark, tmp_path):
     assert [x.name for x in ingest.all_sources(cat).chosen([" Market "])] == ["market"] and len(ingest.all_sources(cat).chosen()) == 3
     with pytest.raises(ValueError):
         ingest.all_sources(cat).chosen(["nothing"])
-    assert ingest.main(["nothing", "x", "--data-root", str(tmp_path)]) == 1
+    assert ingest.main(["update", "nothing", "x", "--data-root", str(tmp_path)]) == 1 == ingest.main(["seed", "nothing", "--data-root", str(tmp_path)])
+    assert ingest.data_root("/x") == "/x" and ingest.data_root().endswith("data")
     cat.register()
     assert spark.sql("SELECT count(*) AS n FROM candles").first().n == 1
 
@@ -149,6 +150,43 @@ def test_empty_main_document_takes_its_pages(spark, tmp_path):
     assert json.loads(row.payload) == {"pages": [[1]]} and row.fetched_at is not None
 
 
+def test_seeding_adds_what_is_missing(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path / "root"))
+    assert seeding.seed(cat, "exchanges").entities > 70 and seeding.seed(cat, "exchanges") == seeding.Seeded(0, 0, 0, 0)
+    (tmp_path / "e.csv").write_text("symbol,name,exchange,cusip,country\nACM,Acme Inc.,NMS,C1,United States\n,Nobody Ltd,NMS,,\n")
+    done = seeding.seed(cat, "equities", str(tmp_path / "e.csv"))
+    assert done.skipped == 1 and done.provider_ids == 2 and seeding.seed(cat, "equities", str(tmp_path / "e.csv")).entities == 0
+    (tmp_path / "more.csv").write_text("symbol,name,exchange,cusip,country\nACM.L,Acme,LSE,C1,\n")
+    seeding.seed(cat, "equities", str(tmp_path / "more.csv"))
+    assert {r.entity_id for r in cat.read("provider_ids").where("provider_entity_id IN ('ACM', 'ACM.L')").collect()} == {"sec:ticker:acm"}
+    (tmp_path / "t.json").write_text(json.dumps({"0": {"cik_str": 7, "ticker": "ACM", "title": "Acme Inc."}}))
+    seeding.seed(cat, "companies", str(tmp_path / "t.json"))
+    assert cat.read("provider_ids").where("provider = 'provider:filings' AND entity_id = 'company:us:acme-inc'").count() == 1
+    (tmp_path / "c.json").write_text(json.dumps({"USD": "Dollar", "XXX": ""}))
+    assert seeding.seed(cat, "currencies", str(tmp_path / "c.json")).skipped == 1
+    (tmp_path / "r.csv").write_text("country,code,name,kind\nus,TX,Texas,State\nus,,United States,Country\n")
+    assert seeding.seed(cat, "regions", str(tmp_path / "r.csv")).entities == 2
+    (tmp_path / "f.csv").write_text("symbol,name,family,exchange\nSPY,Fund A,Fam,NYQ\n")
+    assert seeding.seed(cat, "etfs", str(tmp_path / "f.csv"), 5).entities == 2
+    with pytest.raises(KeyError):
+        seeding.seed(cat, "nothing")
+
+
+def test_bars_of_a_provider(spark):
+    class Fake:
+        name = "p"
+
+        def fetch(self, ids):
+            kind = "provider_entity_id string, day date, open double, high double, low double, close double, adj_close double, volume double"
+            rows = [("T1", date(2024, 1, 2), 1.0, 1.0, 1.0, 1.0, 1.0, 5.0), ("ABC", date(2024, 1, 2), 2.0, 2.0, 2.0, 2.0, 2.0, 5.0), ("ABC", date(2024, 1, 3), 2.0, 2.0, 2.0, None, 2.0, 5.0)]
+            return spark.createDataFrame(rows, kind).join(ids, "provider_entity_id", "left_semi")
+
+    mapping = spark.createDataFrame([("p", "T1", "sec:x", None), ("q", "T9", "sec:abc", None)], "provider string, provider_entity_id string, entity_id string, active_to date")
+    wanted = spark.createDataFrame([("sec:x",), ("sec:abc",), ("sec:none",)], "entity_id string")
+    got = ingest.provider_bars(Fake(), wanted, mapping, F.lit("2024-02-01").cast("date")).collect()
+    assert sorted((r.canonical_id, r.close, r.provider) for r in got) == [("sec:abc", 2.0, "p"), ("sec:x", 1.0, "p")]
+
+
 def _skills(spark):
     bars = spark.createDataFrame([("s", date(2024, 1, d), p, c) for d, p, c in ((1, "a", 1.0), (1, "b", 9.0), (2, "b", 3.0), (9, "a", 5.0))], "canonical_id string, start_ts date, provider string, close double")
     bars = bars.withColumns({c: F.lit(None).cast("double") for c in ("open", "high", "low", "adj_close", "volume", "dividend")})
