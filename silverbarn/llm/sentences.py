@@ -22,10 +22,12 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silverbarn.session import cut_lineage
+from silverbarn.operators.facts import left_lookup
+from silverbarn.session import cut_lineage, written
 
 #: Fixed values for words without evidence: abbreviations that stand before their word, so end no sentence.
 TITLES = frozenset(
@@ -108,6 +110,9 @@ class Open(NamedTuple):
         return not (self.listed > 0 if abbreviation is None else abbreviation) or bool(ordinary) or self.listed == 2
 
 
+_NOTHING = (None,) * len(Open._fields)
+
+
 def last_word(text: str) -> str:
     """The last word of a text that does not end in white space."""
     return text.rsplit(None, 1)[-1].lstrip("(\"“„«[/").lower()
@@ -574,8 +579,10 @@ def corpus_evidence(documents: DataFrame) -> Evidence:
     return frequent_evidence(cut_lineage(word_evidence(documents)))
 
 
-_UNITS = "doc_id bigint, start_char bigint, end_char bigint, chain array<struct<start_char:bigint,end_char:bigint,word:string,after:string,small:boolean,abbreviation:boolean,ordinary:boolean,listed:int>>"
-_CHAIN = pa.list_(pa.struct([("start_char", pa.int64()), ("end_char", pa.int64()), ("word", pa.string()), ("after", pa.string()), ("small", pa.bool_()), ("abbreviation", pa.bool_()), ("ordinary", pa.bool_()), ("listed", pa.int32())]))
+#: Units as they leave the split; those that hang on rare words carry the number of their chain and what is known of the words.
+_UNITS = "doc_id bigint, start_char bigint, end_char bigint, chain bigint, word string, after string, small boolean, abbreviation boolean, ordinary boolean, listed int"
+_KINDS = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.bool_()] * 3 + [pa.int32()]
+_NAMES = [c.split()[0] for c in _UNITS.split(", ")]
 
 
 def split_sentences(documents: DataFrame, known: Evidence | None = None) -> DataFrame:
@@ -593,46 +600,48 @@ def split_sentences(documents: DataFrame, known: Evidence | None = None) -> Data
         known = frequent_evidence(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        number = (task.partitionId() if task else 0) << 40
         for batch in batches:
-            docs, starts, ends, chains = [], [], [], []
+            docs, starts, ends, chains, told = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                chain: list = []
+                open_ = False
                 for a, b, hangs in units_with_open_ends(text, known) if text else ():
-                    if not chain:
-                        docs.append(doc)
-                        starts.append(a)
-                    if hangs is None:
-                        ends.append(b)
-                        chains.append([*chain, {"start_char": a, "end_char": b}] if chain else None)
-                        chain = []
-                    else:
-                        chain.append({"start_char": a, "end_char": b, **hangs._asdict()})
-                if chain:
-                    ends.append(chain[-1]["end_char"])
-                    chains.append(chain)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(chains, _CHAIN)], ["doc_id", "start_char", "end_char", "chain"])
+                    docs.append(doc)
+                    starts.append(a)
+                    ends.append(b)
+                    chains.append(number if open_ or hangs else None)
+                    told.append(hangs or _NOTHING)
+                    if open_ and not hangs:
+                        number += 1
+                    open_ = hangs is not None
+                number += open_
+            words = list(zip(*told)) or [()] * len(_NOTHING)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((docs, starts, ends, chains, *words), _KINDS)], _NAMES)
 
     parts = documents.select("doc_id", "text").mapInArrow(run, _UNITS)
-    parts = cut_lineage(parts)
+    parts = written(parts)
     closed = parts.where(F.col("chain").isNull()).select("doc_id", "start_char", "end_char")
     return closed.unionByName(settled(parts.where(F.col("chain").isNotNull()), table))
 
 
 def settled(chains: DataFrame, table: DataFrame | None) -> DataFrame:
     """Units of the chains: units joined where their open end is none by the evidence of its words."""
-    rows = chains.select("doc_id", F.monotonically_increasing_id().alias("chain_id"), "chain")
-    ends = rows.select("doc_id", "chain_id", F.posexplode("chain").alias("i", "c")).select("doc_id", "chain_id", "i", "c.*")
+    ends = chains
     if table is not None:
-        words = table.where("final IS NOT NULL").select("word", F.col("abbreviation").alias("_a"), (~F.col("final")).alias("_g"))
-        nexts = table.where("ordinary IS NOT NULL").select(F.col("word").alias("after"), F.col("ordinary").alias("_o"))
-        ends = ends.join(words, "word", "left").join(nexts, "after", "left")
+        # only what is not known yet is looked up; the rest spreads
+        words = table.where("final IS NOT NULL").select(F.col("word").alias("_w"), F.col("abbreviation").alias("_a"), (~F.col("final")).alias("_g"))
+        nexts = table.where("ordinary IS NOT NULL").select(F.col("word").alias("_n"), F.col("ordinary").alias("_o"))
+        ends = ends.withColumns({"_w": F.when(F.col("abbreviation").isNull(), F.col("word")), "_n": F.when(F.col("ordinary").isNull(), F.col("after"))})
+        ends = left_lookup(left_lookup(ends, words, "_w"), nexts, "_n")
         ends = ends.withColumns({"abbreviation": F.coalesce("abbreviation", F.when(F.col("small"), F.col("_g")).otherwise(F.col("_a"))), "ordinary": F.coalesce("ordinary", "_o")})
     abbreviation = F.coalesce("abbreviation", F.col("listed") > 0)
     # what no word is told of, the last of a chain, closes a unit
     before_capital = ~abbreviation | F.coalesce("ordinary", F.lit(False)) | (F.col("listed") == 2)
     is_end = F.when(F.col("word").isNull(), True).when(F.col("small"), F.coalesce(~F.col("abbreviation"), F.length("word") > SHORT)).otherwise(before_capital)
-    item = F.struct("i", "start_char", "end_char", is_end.alias("is_end"))
-    whole = ends.groupBy("doc_id", "chain_id").agg(F.array_sort(F.collect_list(item)).alias("e"))
-    whole = whole.select("doc_id", "e", F.filter("e", lambda x: x["is_end"] | (x["i"] == F.size("e") - 1)).alias("cuts"))
-    unit = lambda cut, k: F.struct(F.get("e", F.coalesce(F.get("cuts", k - 1)["i"] + 1, F.lit(0)))["start_char"].alias("start_char"), cut["end_char"].alias("end_char"))
+    item = F.struct("start_char", "end_char", is_end.alias("is_end"))
+    whole = ends.groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(item)).alias("e"))
+    places = F.sequence(F.lit(0), F.size("e") - 1)
+    whole = whole.select("doc_id", "e", F.filter(places, lambda i: F.get("e", i)["is_end"] | (i == F.size("e") - 1)).alias("cuts"))
+    unit = lambda cut, k: F.struct(F.get("e", F.coalesce(F.get("cuts", k - 1) + 1, F.lit(0)))["start_char"].alias("start_char"), F.get("e", cut)["end_char"].alias("end_char"))
     return whole.select("doc_id", F.inline(F.transform("cuts", unit)))

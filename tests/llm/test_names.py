@@ -99,7 +99,9 @@ def test_a_pair_that_shares_one_full_bucket_only_is_compared(spark, monkeypatch)
     word = "bretonia"
     own = set(enumerate(N.word_bands(word)))
     near = [word[:i] + c + word[i + 1 :] for i in range(len(word)) for c in "aeiklmorstz" if c != word[i]]
-    once = [w for w in near if len(own & set(enumerate(N.word_bands(w)))) == 1]
+    near += [w[:i] + c + w[i + 1 :] for w in near[::3] for i in range(len(w)) for c in "aeiou" if c != w[i]]  # and two errors
+    near = sorted(set(near) - {word})
+    once = [w for w in near if len(own & set(enumerate(N.word_bands(w)))) == 1][:40]
     assert len(once) > 5
     names = [[word], *([w] for w in once), *([word, f"{a}{b}{c}"] for a in ("mir", "tol", "ven") for b in ("dra", "ken", "pos") for c in ("wix", "gar", "lum"))]
     nodes = spark.createDataFrame([(i, "org", "#", w, "", "") for i, w in enumerate(names)], "node bigint, kind string, exact string, words array<string>, given string, middle string")
