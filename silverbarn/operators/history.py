@@ -272,12 +272,11 @@ REGION = ("provider", "provider_region_id", ["region_id"], ["provider_name"], "d
 def region_history_in_batches(region_provider_map: DataFrame, batches: int = 2) -> DataFrame:
     """The history of the regions loaded batch by batch, each of so many successive revisions; equals that of one load."""
     owner, key, values, descriptive, revision = REGION
-    span = region_provider_map.agg(F.min(revision).alias("_lo"), (F.max(revision) + 1).alias("_hi"))
-    rows = region_provider_map.join(F.broadcast(span))  # one row
-    part = F.floor((F.col(revision) - F.col("_lo")) * batches / (F.col("_hi") - F.col("_lo")))
+    first, last = region_provider_map.agg(F.min(revision), F.max(revision)).first()
+    part = F.floor((F.col(revision) - (first or 0)) * batches / ((last or 0) + 1 - (first or 0)))
     held = None
     for i in range(batches):
-        more = load_snapshots(rows.where(part == i).drop("_lo", "_hi"), *REGION, stored=held)
+        more = load_snapshots(region_provider_map.where(part == i), *REGION, stored=held)
         more = Satellites(cut_lineage(more.mapping), cut_lineage(more.names), cut_lineage(more.loads))
         held = held.plus(more) if held else more
     return _days(snapshot_versions(held, owner, key, values, revision), [owner, key, *values]).distinct()
