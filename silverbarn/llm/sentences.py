@@ -567,8 +567,8 @@ def word_evidence(documents: DataFrame) -> DataFrame:
 
 def frequent_evidence(table: DataFrame) -> Evidence:
     """The evidence of the frequent words, for every task."""
-    whole = table.agg(F.sum("dot").alias("_dots"), F.sum("head").alias("_heads"))
-    often = table.join(F.broadcast(whole)).where((F.col("dot") >= SHARE * F.col("_dots")) | (F.col("head") >= SHARE * F.col("_heads")))  # whole: one row
+    dots, heads = table.agg(F.coalesce(F.sum("dot"), F.lit(0)), F.coalesce(F.sum("head"), F.lit(0))).first()
+    often = table.where((F.col("dot") >= SHARE * dots) | (F.col("head") >= SHARE * heads))
     rows = often.select("word", "abbreviation", "ordinary", "starter", "counted", "final").collect()
     pick = lambda c, v: frozenset(r["word"] for r in rows if r[c] is v)
     return Evidence(pick("abbreviation", True), pick("abbreviation", False), pick("ordinary", True), pick("ordinary", False), pick("starter", True), pick("counted", True), pick("final", True))
