@@ -113,6 +113,8 @@ def survivors(
 TOLERANCE = {"close": 0.005, "adj_close": 0.005, "volume": 0.1}
 #: Fields that sources may count in units of their own, which are powers of ten.
 OWN_UNITS = ("volume",)
+#: Patterns that one task of a round takes.
+PATTERNS = 50_000
 #: Weak prior counts of the two qualities (told right, told wrong).
 SENSITIVE, SPECIFIC = (1.6, 0.4), (1.8, 0.2)
 
@@ -193,7 +195,8 @@ def _known(values: Mapping, key: Column, default: float) -> Column:
     """Value of a constant table, which has an entry a source at most."""
     if not values:
         return F.lit(default)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key), F.lit(default))
+    # one expression text instead of a call for every literal
+    return F.coalesce(F.element_at(F.expr("map(" + ", ".join(f"{int(k)}L, {float(v)!r}D" for k, v in values.items()) + ")"), key), F.lit(default))
 
 
 def _by_field(fields: Iterable[str], field: Column, make: Callable[[str], Column]) -> Column:
@@ -227,7 +230,9 @@ def learn_quality(facts: DataFrame, fields: Sequence[str], rounds: int = 200, ch
     teach = facts.where(F.size("sources") > 1).select("field", "sources", F.explode("facts").alias("fact"))
     teach = teach.select("field", "sources", F.array_sort(F.transform("fact", lambda e: e["source"])).alias("yes"))
     patterns = teach.groupBy("field", "yes", F.array_sort(F.array_except("sources", "yes")).alias("no")).agg(F.count(F.lit(1)).alias("n"))
-    patterns = cut_lineage(patterns.coalesce(max(1, min(64, patterns.sparkSession.sparkContext.defaultParallelism))))
+    patterns = cut_lineage(patterns)
+    # a round over few patterns is one task without a shuffle
+    patterns = patterns.coalesce(1 + patterns.count() // PATTERNS)
     said = lambda c, v: F.transform(c, lambda s: F.struct(s.alias("source"), F.lit(v).alias("said")))
     # the entry without a source counts the facts themselves
     votes = F.concat(said("yes", 1), said("no", 0), F.array(F.struct(F.lit(None).cast("bigint").alias("source"), F.lit(1).alias("said"))))
